@@ -27,21 +27,27 @@ def segment(docs: DataFrame, lexicon: DataFrame, column: str = "text", max_lengt
     """Left-to-right longest match against a lexicon: ``(doc_id, run, start, token, flag)``.
 
     Matches never cross anything but letters and digits, so text is cut into such runs first and
-    each later group is one run. Characters covered by no word are skipped. The lexicon is joined,
-    not collected: Spark broadcasts it when it is small and shuffles when it is not.
+    each later group is one run. Characters covered by no word are skipped. One-character words
+    are left out: they advance the walk no further than a skipped character does.
+
+    The lexicon is joined by the first two characters of its words, so a position becomes at most
+    one row, and that row holds its longest match. Spark broadcasts the lexicon when it is small
+    and shuffles when it is not.
     """
-    words = lexicon.where("token <> ''").groupBy("token").agg(F.max("flag").alias("flag"))
+    words = lexicon.where(F.length("token") > 1).groupBy("token").agg(F.max("flag").alias("flag"))
     if max_length is None:
-        max_length = words.agg(F.max(F.length("token"))).first()[0] or 1
+        max_length = words.agg(F.max(F.length("token"))).first()[0] or 2
+    entry = F.struct((-F.length("token")).alias("shorter"), "token", "flag")
+    heads = words.groupBy(F.substring("token", 1, 2).alias("head")).agg(F.sort_array(F.collect_list(entry)).alias("words"))
     found = F.regexp_extract_all(F.col(column), F.lit(RUNS), F.lit(0))
     runs = docs.select("doc_id", F.posexplode(found).alias("run", "s"))
     starts = runs.select("doc_id", "run", "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("start"))
-    # cut the window first, so that each candidate is a prefix of a short string
-    starts = starts.select("doc_id", "run", "start", F.substring("s", F.col("start"), F.lit(max_length)).alias("s"))
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.substring("s", F.lit(1), n))
-    hits = starts.select("doc_id", "run", "start", F.explode(prefixes).alias("token")).join(words, "token")
-    # longer words sort first at the same start
-    span = F.struct("start", (-F.length("token")).alias("shorter"), "token", "flag")
+    ahead = F.substring("s", F.col("start"), F.lit(max_length))
+    starts = starts.select("doc_id", "run", "start", ahead.alias("ahead")).withColumn("head", F.substring("ahead", 1, 2))
+    hits = starts.join(heads, "head")
+    longest = F.get(F.filter("words", lambda w: F.startswith(F.col("ahead"), w["token"])), F.lit(0))
+    hits = hits.select("doc_id", "run", "start", longest.alias("w")).where(F.col("w").isNotNull())
+    span = F.struct("start", "w.shorter", "w.token", "w.flag")
     per_run = hits.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     kept = per_run.select("doc_id", "run", F.explode(_take_in_turn(F.col("spans"))).alias("k"))
     return kept.select("doc_id", "run", "k.start", "k.token", "k.flag")

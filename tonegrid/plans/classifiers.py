@@ -23,6 +23,12 @@ from ..session import POS
 # Linear models keep one coefficient per word on the driver and in every task.
 MAX_VOCABULARY = 1 << 22
 
+ROWS_PER_TASK = 10_000
+
+# Stopping tolerances customary for linear and for kernel support vector machines.
+LINEAR_TOLERANCE = 1e-4
+KERNEL_TOLERANCE = 1e-3
+
 RANDOM_FEATURES = 256
 NU = 0.5
 NU_GRID = (1e-4, 1e-3, 1e-2, 1e-1)
@@ -153,11 +159,27 @@ def _fit_naive_bayes(kind):
     return fit
 
 
+def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """``(label, features)`` rows, persisted, and their number.
+
+    Every optimiser step is a job over all partitions, so a small training set is packed into few.
+    """
+    rows = df.select("label", "features").persist()
+    n = rows.count()
+    few = max(1, n // ROWS_PER_TASK)
+    if few >= rows.rdd.getNumPartitions():
+        return rows, n
+    packed = rows.repartition(few).persist()
+    packed.count()
+    rows.unpersist()
+    return packed, n
+
+
 def fit_presence(estimator, docs: DataFrame, words: list[str]) -> PresenceModel:
     count = vectorizer(words)
-    rows = count.transform(numeric_label(docs)).select("label", "features").persist()
+    rows, n = training_rows(count.transform(numeric_label(docs)))
     try:
-        model = estimator(rows.count()).fit(rows)
+        model = estimator(n).fit(rows)
     finally:
         rows.unpersist()
     return PresenceModel(PipelineModel(stages=[count, model]))
@@ -168,7 +190,7 @@ def logistic(n: int) -> LogisticRegression:
 
 
 def linear_svm(n: int) -> LinearSVC:
-    return LinearSVC(regParam=1.0 / max(n, 1), standardization=False, maxIter=100)
+    return LinearSVC(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, tol=LINEAR_TOLERANCE)
 
 
 def _fit_linear(estimator):
@@ -189,9 +211,9 @@ def _fourier(docs: DataFrame, features: DataFrame | None, dim: int, seed: int) -
 
 def fit_kernel_svm(docs: DataFrame, features: DataFrame | None, max_features=None, dim: int = RANDOM_FEATURES, seed: int = 0):
     model = _fourier(docs, features, dim, seed)
-    rows = model.features(numeric_label(docs)).select("label", "features").persist()
+    rows, n = training_rows(model.features(numeric_label(docs)))
     try:
-        model.linear = linear_svm(rows.count()).fit(rows)
+        model.linear = LinearSVC(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, tol=KERNEL_TOLERANCE).fit(rows)
     finally:
         rows.unpersist()
     return model
@@ -208,11 +230,11 @@ def fit_nu_svm(
     from pyspark.ml.functions import vector_to_array
 
     model = _fourier(docs, features, dim, seed)
-    rows = model.features(numeric_label(docs)).select("label", "features").persist()
+    rows, _ = training_rows(model.features(numeric_label(docs)))
     try:
         found = []
         for penalty in grid:
-            fitted = LinearSVC(regParam=penalty, standardization=False, maxIter=100).fit(rows)
+            fitted = LinearSVC(regParam=penalty, standardization=False, maxIter=100, tol=KERNEL_TOLERANCE).fit(rows)
             signed = (2.0 * F.col("label") - 1.0) * vector_to_array("rawPrediction")[1]
             share = fitted.transform(rows).agg(F.avg((signed < 1.0).cast("double"))).first()[0]
             found.append((abs((share or 0.0) - nu), penalty, fitted))

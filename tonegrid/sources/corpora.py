@@ -12,6 +12,18 @@ from pyspark.sql import types as T
 from ..functions.labels import dense_features, label_01
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out over all cores by ``key``; leave a large one as it was read.
+
+    A small file often is a single row group, hence a single task. The exchange is only made when
+    the scan has fewer splits than there are cores, so what it moves is bounded by cores x split size.
+    """
+    spark = scan.sparkSession
+    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def read_json_corpus(spark: SparkSession, path: str, label: str, whole_file: bool = True) -> DataFrame:
     """A JSON array of token arrays per file: ``(doc_id, label, tokens)``, ids in array order.
 

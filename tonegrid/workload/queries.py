@@ -92,21 +92,21 @@ def stopword_rows(spark, sf):
 
 @query
 def flag_filter(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id", "text")
+    docs = t.raw_documents(spark, sf)
     rows = corpus.flatten(corpus.tokenize(docs, pattern=text.LETTERS_DIGITS, min_length=1))
     return corpus.remove_flags(rows, flags=["m", "mq"])
 
 
 @query
 def flag_filter_default(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id", "text")
+    docs = t.raw_documents(spark, sf)
     rows = corpus.flatten(corpus.tokenize(docs, pattern=text.LETTERS_DIGITS, min_length=1))
     return corpus.remove_flags(rows)
 
 
 @query
 def clean_tokens(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id", "text")
+    docs = t.raw_documents(spark, sf)
     return corpus.flatten(corpus.clean(docs, t.stopwords(spark, sf), flags=["m", "mq"]))
 
 
@@ -115,7 +115,7 @@ def lexicon_segment(spark, sf):
     path = scratch_path(spark, "lexicon")
     t.lexicon(spark, sf).write.csv(path, sep=" ")
     joined = F.regexp_replace(F.lower("text"), "[ \\t\\r\\n]", "").alias("text")
-    docs = t.table(spark, sf, "documents").select("doc_id", joined)
+    docs = t.raw_documents(spark, sf).select("doc_id", joined)
     done = segment.segmented(docs, corpora.read_lexicon(spark, path))
     return done.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("words"))
 
@@ -342,7 +342,7 @@ def mnb_confusion(spark, sf):
 
 @query
 def predict_text(spark, sf):
-    rows = t.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    rows = t.raw_turns(spark, sf)
     model = SentimentModel("MultinomialNB", t.K, t.top_words(spark, sf), classifiers.NaiveBayesModel(_naive_bayes(spark, sf)))
     scored = model.predict_text(rows, stopwords=t.stopwords(spark, sf), flags=["m", "mq"])
     return _rounded(scored, "conv_id", "turn")

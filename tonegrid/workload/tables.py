@@ -9,6 +9,7 @@ from ..functions.labels import class_name
 from ..operators import association, corpus, counts
 from ..operators.split import random_split
 from ..plans import dense
+from ..sources.corpora import spread
 
 K = 700
 STOPWORDS = 50
@@ -20,15 +21,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, tokens)`` of every document."""
-    return corpus.tokenize(table(spark, sf, "documents").select("doc_id", "text"))
+    return corpus.tokenize(raw_documents(spark, sf))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, label, tokens)`` of the labelled documents."""
-    texts = table(spark, sf, "documents").select("doc_id", "text")
-    return corpus.tokenize(corpus.labelled(texts, table(spark, sf, "labels"))).select("doc_id", "label", "tokens")
+    texts = corpus.labelled(raw_documents(spark, sf), table(spark, sf, "labels"))
+    return corpus.tokenize(texts).select("doc_id", "label", "tokens")
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,8 +41,12 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select("doc_id", class_name(F.col("quality")).alias("label"))
 
 
+def raw_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
+
+
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.tokenize(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    return corpus.tokenize(raw_turns(spark, sf))
 
 
 def stopwords(spark: SparkSession, sf: str) -> DataFrame:
