@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = r"\p{L}+"
@@ -42,6 +42,15 @@ def drop_words(tokens: Column, listed: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*listed))
 
 
+def token_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """``(keys…, token)``, one row per token.
+
+    An inner explode of a plain column makes the optimiser infer a size filter and push it below
+    the tokeniser, which then runs once more per pushed copy; the outer form does not.
+    """
+    return docs.select(*keys, F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull())
+
+
 def bag(tokens: Column) -> Column:
     """Presence set of a document."""
     return F.array_distinct(tokens)

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi_square
-from ..session import GROUP_LIMIT, NEG, POS, tune
-from .counts import bigram_freq, class_word_counts, class_word_freq
+from ..session import GROUP_LIMIT, NEG, POS, materialize, tune
+from .counts import bigram_freq, by_class, class_word_freq
 from .skew import hot_keys, lookup, top_n
 
 DIGITS = 6
@@ -19,16 +19,17 @@ def class_scores(counts: DataFrame) -> DataFrame:
 
     The statistic of one class equals that of the other (only the sign inside the square
     changes), so the sum over both is twice the one computed here.
+
+    The table is read twice (totals, then scores), so it should be a stored one.
     """
-    totals = counts.agg(F.sum("n_pos").alias("p"), F.sum("n").alias("t"))
-    n_pos, n_all = totals.select("p").scalar(), totals.select("t").scalar()
-    chi2 = chi_square(F.col("n_pos"), F.col("n"), n_pos, n_all)
+    n_pos, n_all = counts.agg(F.sum("n_pos"), F.sum("n")).first()
+    chi2 = chi_square(F.col("n_pos"), F.col("n"), F.lit(n_pos), F.lit(n_all))
     return counts.withColumn("score", F.round(2.0 * chi2, DIGITS))
 
 
 def word_scores(docs: DataFrame) -> DataFrame:
     """``(token, n_pos, n_neg, n, score)``"""
-    return class_scores(class_word_freq(docs))
+    return class_scores(materialize(class_word_freq(docs)))
 
 
 def best(scores: DataFrame, k: int, key: str = "feature") -> DataFrame:
@@ -38,10 +39,13 @@ def best(scores: DataFrame, k: int, key: str = "feature") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("score"), key)))
 
 
-def bigram_scores(docs: DataFrame, cross_docs: bool = True) -> DataFrame:
-    """Association of the two words of each pair inside its class: ``(label, w1, w2, n, n1, n2, score)``."""
+def bigram_scores(docs: DataFrame, cross_docs: bool = True, words: DataFrame | None = None) -> DataFrame:
+    """Association of the two words of each pair inside its class: ``(label, w1, w2, n, n1, n2, score)``.
+
+    ``words`` is the stored class count table of ``docs``, if the caller has it.
+    """
     pairs = bigram_freq(docs, cross_docs)
-    words = class_word_counts(docs)
+    words = by_class(materialize(class_word_freq(docs)) if words is None else words)
     totals = words.groupBy("label").agg(F.sum("n").alias("n_all"))
     hot = hot_keys(words)
     first = words.select("label", F.col("token").alias("w1"), F.col("n").alias("n1"))
@@ -55,11 +59,13 @@ def bigram_scores(docs: DataFrame, cross_docs: bool = True) -> DataFrame:
     return x.select("label", "w1", "w2", "n", "n1", "n2", F.round(score, DIGITS).alias("score"))
 
 
-def top_bigrams(docs: DataFrame, n: int = GROUP_LIMIT, cross_docs: bool = True) -> DataFrame:
+def top_bigrams(
+    docs: DataFrame, n: int = GROUP_LIMIT, cross_docs: bool = True, words: DataFrame | None = None
+) -> DataFrame:
     """The ``n`` best pairs of each class, ties by pair."""
     tune(docs.sparkSession)
     order = [F.desc_nulls_last("score"), F.asc("w1"), F.asc("w2")]
-    return top_n(bigram_scores(docs, cross_docs), ["label"], order, n)
+    return top_n(bigram_scores(docs, cross_docs, words), ["label"], order, n)
 
 
 def word_bigram_scores(
@@ -71,7 +77,8 @@ def word_bigram_scores(
     class total by 1. ``negative_pairs_only`` gives both classes the pairs of the negative corpus,
     as one of the known implementations of this scoring does.
     """
-    pairs = top_bigrams(docs, n, cross_docs).select("label", F.array("w1", "w2").alias("feature"))
+    words = materialize(class_word_freq(docs))
+    pairs = top_bigrams(docs, n, cross_docs, words).select("label", F.array("w1", "w2").alias("feature"))
     if negative_pairs_only:
         pairs = pairs.where(F.col("label") == NEG).select(F.explode(F.array(F.lit(POS), F.lit(NEG))).alias("label"), "feature")
     pair_counts = pairs.groupBy("feature").agg(
@@ -79,5 +86,5 @@ def word_bigram_scores(
         F.count_if(F.col("label") == NEG).alias("n_neg"),
         F.count("*").alias("n"),
     )
-    words = class_word_freq(docs).select(F.array("token").alias("feature"), "n_pos", "n_neg", "n")
-    return class_scores(words.unionByName(pair_counts))
+    words = words.select(F.array("token").alias("feature"), "n_pos", "n_neg", "n")
+    return class_scores(words.unionByName(materialize(pair_counts)))

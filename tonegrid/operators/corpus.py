@@ -29,7 +29,7 @@ def labelled(docs: DataFrame, labels: DataFrame, flag: str = "quality", key: str
 def flatten(docs: DataFrame) -> DataFrame:
     """One row per token, ``(…, pos, token)`` with ``pos`` from 0."""
     kept = [c for c in docs.columns if c != "tokens"]
-    return docs.select(*kept, F.posexplode("tokens").alias("pos", "token"))
+    return docs.select(*kept, F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("token").isNotNull())
 
 
 def stopword_list(stopwords: DataFrame) -> list[str] | None:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import NEG, POS
+from ..session import NEG, POS, materialize
 from .skew import with_next
 
 
 def word_freq(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return text.token_rows(docs).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def class_counts(rows: DataFrame, key: str = "token") -> DataFrame:
@@ -24,7 +24,7 @@ def class_counts(rows: DataFrame, key: str = "token") -> DataFrame:
 
 
 def class_word_freq(docs: DataFrame) -> DataFrame:
-    return class_counts(docs.select("label", F.explode("tokens").alias("token")))
+    return class_counts(text.token_rows(docs, "label"))
 
 
 def class_totals(docs: DataFrame) -> DataFrame:
@@ -32,20 +32,22 @@ def class_totals(docs: DataFrame) -> DataFrame:
     return docs.rollup("label").agg(F.sum(F.size("tokens")).cast("long").alias("n"))
 
 
-def class_word_counts(docs: DataFrame) -> DataFrame:
-    """Long form: ``(label, token, n)``."""
-    rows = docs.select("label", F.explode("tokens").alias("token"))
-    return rows.groupBy("label", "token").agg(F.count("*").alias("n"))
+def by_class(counts: DataFrame, key: str = "token") -> DataFrame:
+    """Long form ``(label, key, n)`` of a count table, zero counts left out."""
+    sides = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"n_{c}").alias("n")) for c in (POS, NEG)])
+    return counts.select(key, F.inline(sides)).where("n > 0").select("label", key, "n")
 
 
 def border_pairs(docs: DataFrame) -> DataFrame:
     """Pairs across document borders of each class, documents in ``doc_id`` order, empty ones skipped."""
-    ends = docs.where(F.size("tokens") > 0).select(
+    ends = docs.select(
         "label",
         "doc_id",
         F.get("tokens", F.lit(0)).alias("first"),
         F.get("tokens", F.size("tokens") - 1).alias("w1"),
     )
+    # one narrow row per document, read three times below
+    ends = materialize(ends).where(F.col("first").isNotNull())
     return with_next(ends, "label", "doc_id", "first", "w2").where(F.col("w2").isNotNull()).select("label", "w1", "w2")
 
 

@@ -16,9 +16,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import token_rows
 from ..operators import naive_bayes as nb
 from ..operators.vectors import sentence_vectors
-from ..session import POS
+from ..session import POS, materialize
 
 # Linear models keep one coefficient per word on the driver and in every task.
 MAX_VOCABULARY = 1 << 22
@@ -41,7 +42,7 @@ def numeric_label(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, features: DataFrame | None) -> list[str]:
     """Selected single words by rank, or all words of the corpus; more than the bound is an error."""
     if features is None:
-        words = docs.select(F.explode("tokens").alias("w")).distinct().withColumn("rank", F.lit(0))
+        words = token_rows(docs).select(F.col("token").alias("w")).distinct().withColumn("rank", F.lit(0))
     else:
         words = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("w"), "rank")
     rows = words.limit(MAX_VOCABULARY + 1).collect()
@@ -202,9 +203,10 @@ def _fit_linear(estimator):
 
 def _fourier(docs: DataFrame, features: DataFrame | None, dim: int, seed: int) -> FourierModel:
     if features is None:
-        words = docs.select(F.explode("tokens").alias("word")).distinct()
+        words = token_rows(docs).select(F.col("token").alias("word")).distinct()
     else:
         words = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("word"))
+    words = materialize(words)
     size = words.count()
     return FourierModel(words, size, dim, 1.0 / max(size, 1), seed)
 

@@ -9,6 +9,7 @@ from ..functions.labels import class_name
 from ..operators import association, corpus, counts
 from ..operators.split import random_split
 from ..plans import dense
+from ..session import materialize
 from ..sources.corpora import spread
 
 K = 700
@@ -57,7 +58,7 @@ def stopwords(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Words of a minimum share of the corpus, so at most ``LEXICON_SHARE`` of them."""
-    freq = counts.word_freq(documents(spark, sf))
+    freq = materialize(counts.word_freq(documents(spark, sf)))
     total = freq.agg(F.sum("n").alias("t")).scalar()
     return freq.where(F.col("n") * LEXICON_SHARE >= total).select("token", F.col("n").alias("freq"), F.lit("x").alias("flag"))
 
@@ -75,7 +76,8 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     slot = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % size
     freq = counts.word_freq(documents(spark, sf))
     first = freq.groupBy(slot.alias("vec_id")).agg(F.min(F.struct((-F.col("n")).alias("o"), "token")).alias("m"))
-    return first.select("vec_id", F.col("m.token").alias("word")).join(vectors, "vec_id").select("word", F.col("embedding").alias("vec"))
+    named = first.select("vec_id", F.col("m.token").alias("word")).join(vectors, "vec_id")
+    return materialize(named.select("word", F.col("embedding").alias("vec")))  # a stored table in real use
 
 
 def dense_rows(spark: SparkSession, sf: str) -> DataFrame:
