@@ -20,12 +20,11 @@ from ..functions.text import token_rows
 from ..operators import naive_bayes as nb
 from ..operators.vectors import sentence_vectors
 from ..session import POS, materialize
+from .training import training_rows
 
 # Linear models keep one coefficient per word on the driver and in every task.
 MAX_VOCABULARY = 1 << 22
 
-ROWS_PER_TASK = 10_000
-
 # Stopping tolerances customary for linear and for kernel support vector machines.
 LINEAR_TOLERANCE = 1e-4
 KERNEL_TOLERANCE = 1e-3
@@ -160,22 +159,6 @@ def _fit_naive_bayes(kind):
     return fit
 
 
-def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """``(label, features)`` rows, persisted, and their number.
-
-    Every optimiser step is a job over all partitions, so a small training set is packed into few.
-    """
-    rows = df.select("label", "features").persist()
-    n = rows.count()
-    few = max(1, n // ROWS_PER_TASK)
-    if few >= rows.rdd.getNumPartitions():
-        return rows, n
-    packed = rows.repartition(few).persist()
-    packed.count()
-    rows.unpersist()
-    return packed, n
-
-
 def fit_presence(estimator, docs: DataFrame, words: list[str]) -> PresenceModel:
     count = vectorizer(words)
     rows, n = training_rows(count.transform(numeric_label(docs)))

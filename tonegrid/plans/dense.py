@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate
 from ..session import scratch_path, shared_dir
+from .training import training_rows
 
 GBT_ITERATIONS = 75
 
@@ -48,7 +49,7 @@ DENSE = {"LogisticRegression": logistic, "DecisionTree": tree, "RandomForest": f
 
 def fit(name: str, train: DataFrame, **params):
     shared_dir(train.sparkSession)
-    rows = train.select("label", "features").persist()
+    rows, _ = training_rows(train)
     try:
         return DENSE[name](**params).fit(rows)
     finally:
