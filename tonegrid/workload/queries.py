@@ -13,7 +13,7 @@ from ..operators import naive_bayes as nb
 from ..plans import classifiers, dense, sweeps
 from ..plans.selection import select_features
 from ..plans.sentiment import SentimentModel, VectorSentimentModel
-from ..session import scratch_path, tune
+from ..session import materialize, scratch_path, tune
 from ..sources import artefacts, corpora
 from ..streaming.scoring import score_stream
 from . import tables as t
@@ -424,7 +424,7 @@ def model_compare(spark, sf):
 
 @query
 def lr_feature_sweep(spark, sf):
-    docs = split.positional_split(t.labelled(spark, sf), 0.9, 42)
+    docs = materialize(split.positional_split(t.labelled(spark, sf), 0.9, 42))
     train, test = (docs.where(F.col("part") == p).drop("part") for p in ("train", "test"))
     return sweeps.feature_count_sweep(train, test, t.top_words(spark, sf), ["LogisticRegression"])
 
