@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import within
+
+# A lexicon of at most this many words is broadcast (some 100 MB).
+LEXICON_BROADCAST = 1_000_000
+
 RUNS = r"[\p{L}\p{N}]+"
 SPAN = "struct<start:int,shorter:int,token:string,flag:string>"
 
@@ -31,8 +36,8 @@ def segment(docs: DataFrame, lexicon: DataFrame, column: str = "text", max_lengt
     are left out: they advance the walk no further than a skipped character does.
 
     The lexicon is joined by the first two characters of its words, so a position becomes at most
-    one row, and that row holds its longest match. Spark broadcasts the lexicon when it is small
-    and shuffles when it is not.
+    one row, and that row holds its longest match. A lexicon of counted small size is broadcast;
+    a larger one is shuffled.
     """
     words = lexicon.where(F.length("token") > 1).groupBy("token").agg(F.max("flag").alias("flag"))
     if max_length is None:
@@ -44,9 +49,10 @@ def segment(docs: DataFrame, lexicon: DataFrame, column: str = "text", max_lengt
     starts = runs.select("doc_id", "run", "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("start"))
     ahead = F.substring("s", F.col("start"), F.lit(max_length))
     starts = starts.select("doc_id", "run", "start", ahead.alias("ahead")).withColumn("head", F.substring("ahead", 1, 2))
-    hits = starts.join(heads, "head")
-    longest = F.get(F.filter("words", lambda w: F.startswith(F.col("ahead"), w["token"])), F.lit(0))
-    hits = hits.select("doc_id", "run", "start", longest.alias("w")).where(F.col("w").isNotNull())
+    # size estimates ignore explode, so the side to broadcast is never left to them
+    heads = F.broadcast(heads) if within(words, LEXICON_BROADCAST) else heads.hint("merge")
+    matches = F.filter("words", lambda w: F.startswith(F.col("ahead"), w["token"]))
+    hits = starts.join(heads, "head").select("doc_id", "run", "start", F.explode(F.slice(matches, 1, 1)).alias("w"))
     span = F.struct("start", "w.shorter", "w.token", "w.flag")
     per_run = hits.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     kept = per_run.select("doc_id", "run", F.explode(_take_in_turn(F.col("spans"))).alias("k"))

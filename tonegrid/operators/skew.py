@@ -56,14 +56,15 @@ def lookup(
 
 
 def split_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Inner join by one key in two branches: hot keys by broadcast, the rest by whatever Spark picks.
+    """Inner join with a large table in two branches: hot keys by broadcast, the rest by shuffle.
 
-    ``hot`` is the part of ``table`` for at most ``HOT_SLOTS`` keys. Unlike ``lookup``, hot rows are
+    ``hot`` is the part of ``table`` for at most ``HOT_SLOTS`` keys. The shuffle is asked for, since
+    size estimates of exploded rows are far too low to choose a broadcast side by. Unlike ``lookup``, hot rows are
     never shuffled, which matters when the values are wide or the result is aggregated at once; the
     price is that ``rows`` is read twice.
     """
     common = rows.join(F.broadcast(hot), key)
-    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.hint("merge"), key)
     return common.unionByName(rare)
 
 
