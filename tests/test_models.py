@@ -56,12 +56,13 @@ def brute(rows, kind, keep=None):
 
 
 @pytest.mark.parametrize("kind", [nb.MULTINOMIAL, nb.BERNOULLI])
-@pytest.mark.parametrize("bound", [None, 26])
+@pytest.mark.parametrize("bound", [0, 26])
 @pytest.mark.parametrize("selected", [True, False])
-def test_naive_bayes_against_formulas(train, features, corpus_rows, kind, bound, selected):
+def test_naive_bayes_against_formulas(train, features, corpus_rows, kind, bound, selected, monkeypatch):
+    monkeypatch.setattr(nb, "BROADCAST_ROWS", bound)
     keep = {f"w{i}" for i in range(10)} if selected else None
     chosen = features.where("rank <= 10") if selected else None
-    model = nb.fit(train, chosen, kind, bound)
+    model = nb.fit(train, chosen, kind)
     want = brute(corpus_rows, kind, keep)
     for r in model.transform(train).collect():
         assert r.s_pos == pytest.approx(want[r.doc_id, "pos"]) and r.s_neg == pytest.approx(want[r.doc_id, "neg"])
@@ -78,7 +79,7 @@ def test_naive_bayes_agrees_with_spark_ml(train):
 
 
 def test_unseen_words_and_pairs_are_ignored(spark, train, features):
-    model = nb.fit(train, features, max_features=27)
+    model = nb.fit(train, features)
     odd = spark.createDataFrame([(1, ["never", "seen"]), (2, [])], "doc_id long, tokens array<string>")
     a, b = model.transform(odd).collect()
     assert (a.s_pos, a.s_neg) == (b.s_pos, b.s_neg) == model.bias
@@ -103,7 +104,7 @@ def test_sweep_equals_separate_fits(train, features, kind):
     ks = [1, 5, 12, 26]
     got = {r.k: r.auc_hard for r in sweeps.naive_bayes_sweep(train, train, features, ks, kind).collect()}
     for k in ks:
-        model = nb.fit(train, features.where(F.col("rank") <= k), kind, k)
+        model = nb.fit(train, features.where(F.col("rank") <= k), kind)
         want = evaluate.auc_hard(classifiers.numeric_label(model.transform(train))).first()[0]
         assert got[k] == pytest.approx(want)
 
@@ -121,7 +122,7 @@ def test_linear_sweep_and_best(train, features):
 
 @pytest.mark.parametrize("name", list(classifiers.CLASSIFIERS))
 def test_each_classifier_learns_and_survives_a_round_trip(spark, train, features, tmp_path, name):
-    model = classifiers.fit(name, train, features, 27)
+    model = classifiers.fit(name, train, features)
     scored = model.transform(train)
     assert evaluate.accuracy(classifiers.numeric_label(scored)).first()[0] > 0.6
     model.save(str(tmp_path / "m"))

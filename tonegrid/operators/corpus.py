@@ -96,11 +96,14 @@ def project(docs: DataFrame, features: DataFrame, match_bigrams: bool = False) -
     Single tokens only by default, so a selected pair takes a slot but never matches.
     """
     kept = [c for c in docs.columns if c != "tokens"]
-    found = F.transform(F.col("tokens"), lambda t: F.array(t))
-    if match_bigrams:
-        found = F.concat(found, text.bigrams(F.col("tokens")))
-    rows = docs.select(*kept, F.explode(F.array_distinct(found)).alias("feature"))
-    return rows.join(features.select("feature"), "feature", "left_semi").select(*kept, "feature")
+    words = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("token"))
+    single = bag_of_words(docs).join(words, "token", "left_semi").select(*kept, F.array("token").alias("feature"))
+    if not match_bigrams:
+        return single
+    # only selected pairs reach the distinct
+    pairs = docs.select(*kept, F.explode(text.bigrams(F.col("tokens"))).alias("feature"))
+    pairs = pairs.join(features.where(F.size("feature") == 2).select("feature"), "feature", "left_semi")
+    return single.unionByName(pairs.select(*kept, "feature").distinct())
 
 
 def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:

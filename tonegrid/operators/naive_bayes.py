@@ -16,8 +16,8 @@ from ..session import NEG, POS, materialize
 from .corpus import project
 from .skew import hot_keys, split_join
 
-# A weight table of at most this many rows is broadcast (some 10 MB).
-BROADCAST_ROWS = 100_000
+# A weight table of at most this many rows is broadcast (some 60 MB).
+BROADCAST_ROWS = 1_000_000
 
 MULTINOMIAL, BERNOULLI = "multinomial", "bernoulli"
 
@@ -28,19 +28,20 @@ class NaiveBayesTable:
     counts: DataFrame  # feature, n_pos, n_neg
     docs_pos: int
     docs_neg: int
-    max_features: int | None = None  # proven bound on the rows of counts, if there is one
 
     def __post_init__(self):
         p, q = F.col("n_pos") + 1.0, F.col("n_neg") + 1.0
         if self.kind == MULTINOMIAL:
-            total = [F.sum("n_pos"), F.sum("n_neg"), F.count("*")]
-            pos, neg, size = (v or 0 for v in self.counts.agg(*total).first())
+            total = [F.count("*"), F.sum("n_pos"), F.sum("n_neg")]
+            size, pos, neg = (v or 0 for v in self.counts.agg(*total).first())
             self._w = F.log(p / float(pos + size)), F.log(q / float(neg + size))
             absent = 0.0, 0.0
         else:
             p, q = p / (self.docs_pos + 2.0), q / (self.docs_neg + 2.0)
             self._w = F.log(p / (1.0 - p)), F.log(q / (1.0 - q))
-            absent = (v or 0.0 for v in self.counts.agg(F.sum(F.log(1.0 - p)), F.sum(F.log(1.0 - q))).first())
+            total = [F.count("*"), F.sum(F.log(1.0 - p)), F.sum(F.log(1.0 - q))]
+            size, *absent = (v or 0.0 for v in self.counts.agg(*total).first())
+        self.size = size
         docs = self.docs_pos + self.docs_neg
         prior = (log(n / docs) if n else float("-inf") for n in (self.docs_pos, self.docs_neg))
         # score of a document without any feature, per class
@@ -56,21 +57,20 @@ class NaiveBayesTable:
         features too. Those columns must identify the row.
 
         Explode keeps a document in its task, so partial aggregation leaves one narrow row per
-        document to shuffle. A weight table of proven size is broadcast; without a bound, common
+        document to shuffle. A weight table of counted small size is broadcast; beyond that, common
         features are answered from a bounded broadcast and the rest by a join Spark picks.
         """
         keys = [c for c in docs.columns if c != "tokens"]
-        words = F.array_distinct("tokens")
-        if self.max_features is not None and self.max_features <= BROADCAST_ROWS:
-            rows = docs.select(*keys, F.explode_outer(words).alias("feature"))
-            x = rows.join(F.broadcast(self.weights()), "feature", "left")
+        rows = docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("feature"))
+        if self.size <= BROADCAST_ROWS:
+            x = rows.join(F.broadcast(self.weights()), "feature")
         else:
-            rows = docs.select(*keys, F.explode(words).alias("feature"))
-            none = F.lit(None).cast("double")
-            every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
             hot = hot_keys(self.counts.withColumn("n", F.col("n_pos") + F.col("n_neg")))
             x = split_join(rows, self.weights(), "feature", self.weights(hot))
-            x = x.select(*keys, "w_pos", "w_neg").unionByName(every)
+        # one empty row per document (reads no text) instead of an outer join over all its words
+        none = F.lit(None).cast("double")
+        every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
+        x = x.select(*keys, "w_pos", "w_neg").unionByName(every)
         sums = x.groupBy(*keys).agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("q"))
         return sums.select(
             *keys,
@@ -100,13 +100,10 @@ def class_sizes(docs: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def fit(
-    docs: DataFrame, features: DataFrame | None = None, kind: str = MULTINOMIAL, max_features: int | None = None
-) -> NaiveBayesTable:
+def fit(docs: DataFrame, features: DataFrame | None = None, kind: str = MULTINOMIAL) -> NaiveBayesTable:
     """Count features per class, smoothing by one; features absent from training get no weight.
 
     The count table is written to the shared folder, so scoring does not count again.
-    ``max_features`` states a bound the caller has on the selection, such as its k.
     """
     counts = materialize(presence_counts(docs, features))
-    return NaiveBayesTable(kind, counts, *class_sizes(docs), max_features)
+    return NaiveBayesTable(kind, counts, *class_sizes(docs))

@@ -31,19 +31,20 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     """Sum of the vectors of a document's words: the columns of ``docs``, ``vec`` in place of ``tokens``.
 
     Words without a vector are skipped; a document with none gets zeros. A vector table of known
-    (``max_words``) or counted small size is broadcast. Otherwise frequent words meet their vectors in a bounded broadcast and are
-    summed before any shuffle; the others go to the vector table by a join without hot keys.
+    (``max_words``) or counted small size is broadcast. Beyond that, frequent words meet their
+    vectors in a bounded broadcast and are summed before any shuffle; the others go to the vector
+    table by a join without hot keys.
     """
     keys = [c for c in docs.columns if c != "tokens"]
     table = vectors.select(F.col("word").alias("token"), "vec")
     small = max_words * dim <= BROADCAST_CELLS if max_words is not None else within(vectors, BROADCAST_CELLS // dim)
-    if small:
-        rows = docs.select(*keys, F.explode_outer("tokens").alias("token"))
-        return sum_vectors(rows.join(F.broadcast(table), "token", "left"), keys, dim)
-    hot_words = hot_keys(word_freq(docs)).select("token")
-    hot = table.join(F.broadcast(hot_words), "token", "left_semi")
     rows = token_rows(docs, *keys)
-    found = split_join(rows, table, "token", hot).select(*keys, "vec")
+    if small:
+        found = rows.join(F.broadcast(table), "token")
+    else:
+        hot_words = hot_keys(word_freq(docs)).select("token")
+        found = split_join(rows, table, "token", table.join(F.broadcast(hot_words), "token", "left_semi"))
+    found = found.select(*keys, "vec")
     every = docs.select(*keys, F.lit(None).cast(table.schema["vec"].dataType).alias("vec"))
     return sum_vectors(found.unionByName(every), keys, dim)
 

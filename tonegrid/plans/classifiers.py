@@ -135,7 +135,7 @@ class NaiveBayesModel:
     def save(self, path: str) -> None:
         t = self.table
         t.counts.write.mode("overwrite").parquet(f"{path}/counts")
-        meta = {"shape": "naive_bayes", "kind": t.kind, "sizes": [t.docs_pos, t.docs_neg], "max_features": t.max_features}
+        meta = {"shape": "naive_bayes", "kind": t.kind, "sizes": [t.docs_pos, t.docs_neg]}
         _write_meta(t.counts.sparkSession, f"{path}/meta", meta)
 
 
@@ -149,12 +149,12 @@ def load(spark: SparkSession, path: str):
         linear = LinearSVCModel.load(f"{path}/linear")
         return FourierModel(words, meta["size"], meta["dim"], meta["gamma"], meta["seed"], linear)
     counts = spark.read.parquet(f"{path}/counts")
-    return NaiveBayesModel(nb.NaiveBayesTable(meta["kind"], counts, *meta["sizes"], meta["max_features"]))
+    return NaiveBayesModel(nb.NaiveBayesTable(meta["kind"], counts, *meta["sizes"]))
 
 
 def _fit_naive_bayes(kind):
-    def fit(docs: DataFrame, features: DataFrame | None, max_features: int | None) -> NaiveBayesModel:
-        return NaiveBayesModel(nb.fit(docs, features, kind, max_features))
+    def fit(docs: DataFrame, features: DataFrame | None) -> NaiveBayesModel:
+        return NaiveBayesModel(nb.fit(docs, features, kind))
 
     return fit
 
@@ -178,7 +178,7 @@ def linear_svm(n: int) -> LinearSVC:
 
 
 def _fit_linear(estimator):
-    def fit(docs: DataFrame, features: DataFrame | None, max_features: int | None) -> PresenceModel:
+    def fit(docs: DataFrame, features: DataFrame | None) -> PresenceModel:
         return fit_presence(estimator, docs, vocabulary(docs, features))
 
     return fit
@@ -194,7 +194,7 @@ def _fourier(docs: DataFrame, features: DataFrame | None, dim: int, seed: int) -
     return FourierModel(words, size, dim, 1.0 / max(size, 1), seed)
 
 
-def fit_kernel_svm(docs: DataFrame, features: DataFrame | None, max_features=None, dim: int = RANDOM_FEATURES, seed: int = 0):
+def fit_kernel_svm(docs: DataFrame, features: DataFrame | None, dim: int = RANDOM_FEATURES, seed: int = 0):
     model = _fourier(docs, features, dim, seed)
     rows, n = training_rows(model.features(numeric_label(docs)))
     try:
@@ -205,7 +205,7 @@ def fit_kernel_svm(docs: DataFrame, features: DataFrame | None, max_features=Non
 
 
 def fit_nu_svm(
-    docs: DataFrame, features: DataFrame | None, max_features=None, dim: int = RANDOM_FEATURES, seed: int = 0, nu: float = NU, grid=NU_GRID
+    docs: DataFrame, features: DataFrame | None, dim: int = RANDOM_FEATURES, seed: int = 0, nu: float = NU, grid=NU_GRID
 ):
     """Of a grid of penalties, the fit whose share of margin violations is nearest to ``nu``.
 
@@ -240,6 +240,6 @@ CLASSIFIERS = {
 }
 
 
-def fit(name: str, docs: DataFrame, features: DataFrame | None = None, max_features: int | None = None):
+def fit(name: str, docs: DataFrame, features: DataFrame | None = None):
     """Train the named classifier on the selected features, or on all words."""
-    return CLASSIFIERS[name](docs, features, max_features)
+    return CLASSIFIERS[name](docs, features)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.association import best, word_bigram_scores
 from ..operators.vectors import expand_features
@@ -19,11 +20,8 @@ def select_features(
     negative_pairs_only: bool = False,
 ) -> DataFrame:
     """``(feature, rank, source)``: the ``k`` best features, plus the neighbours of their words."""
-    from pyspark.sql import functions as F
-
     scores = word_bigram_scores(docs, pairs, cross_docs, negative_pairs_only)
-    chosen = best(scores, k).select("feature", "rank")
+    chosen = materialize(best(scores, k).select("feature", "rank"))  # k rows, read many times
     if vectors is None:
         return chosen.withColumn("source", F.lit("selected"))
-    # k rows, used both to fetch the query vectors and in the union
-    return expand_features(materialize(chosen), vectors, neighbours)
+    return expand_features(chosen, vectors, neighbours)

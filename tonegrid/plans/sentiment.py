@@ -42,8 +42,7 @@ class SentimentModel:
         features = select_features(docs, k, vectors, NEIGHBOURS, pairs)
         if root is not None:
             features = artefacts.save_features(features, root, k)
-        bound = k if vectors is None else k * (1 + NEIGHBOURS)
-        model = cls(name, k, features, classifiers.fit(name, docs, features, bound))
+        model = cls(name, k, features, classifiers.fit(name, docs, features))
         if root is not None:
             model.classifier.save(artefacts.model_path(root, name, k))
         return model

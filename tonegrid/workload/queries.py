@@ -288,7 +288,7 @@ def attach_label(spark, sf):
 
 
 def _naive_bayes(spark, sf, kind=nb.MULTINOMIAL):
-    return nb.fit(t.labelled(spark, sf), t.top_words(spark, sf), kind, t.K)
+    return nb.fit(t.labelled(spark, sf), t.top_words(spark, sf), kind)
 
 
 def _rounded(scored, *keys):
@@ -378,7 +378,7 @@ def _report(name, scored):
 def _selected_model(name):
     def run(spark, sf):
         docs = t.labelled(spark, sf)
-        model = classifiers.fit(name, docs, t.top_words(spark, sf), t.K)
+        model = classifiers.fit(name, docs, t.top_words(spark, sf))
         return _report(name, model.transform(docs))
 
     return run
@@ -453,7 +453,7 @@ def model_roundtrip(spark, sf):
     parts = []
     for name in ("MultinomialNB", "LogisticRegression", "SVC"):
         path = artefacts.model_path(root, name, t.K)
-        model = classifiers.fit(name, docs, t.top_words(spark, sf), t.K)
+        model = classifiers.fit(name, docs, t.top_words(spark, sf))
         model.save(path)
         parts.append(_agreement(name, model.transform(docs), classifiers.load(spark, path).transform(docs), ["doc_id"]))
     return reduce(DataFrame.unionByName, parts)
