@@ -214,3 +214,14 @@ def test_stream_scores_equal_batch(spark, train, tmp_path):
 def test_attach_label_takes_an_extractor(docs):
     rows = corpus.attach_label(docs.drop("label"), "pos", corpus.bag_of_words)
     assert rows.columns == ["doc_id", "token", "label"] and rows.count() == 8
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_documents_partitioned_by_id_stay_whole(spark, train, monkeypatch, limit):
+    monkeypatch.setattr(nb, "BROADCAST_ROWS", limit)
+    model = nb.fit(train)
+    by_id = train.repartition(16, "doc_id")
+    pick = lambda df: sorted((r.doc_id, round(r.s_pos, 6)) for r in df.collect())
+    assert pick(model.transform(by_id)) == pick(model.transform(train)) and len(pick(model.transform(by_id))) == 160
+    both = corpus.stack(by_id.select("doc_id", "label"), corpus.bag_of_words(by_id).select("doc_id", "label"))
+    assert both.groupBy("doc_id").count().count() == 160

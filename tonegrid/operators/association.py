@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi_square
-from ..session import GROUP_LIMIT, NEG, POS, materialize, tune
+from ..session import GROUP_LIMIT, NEG, POS, materialize, tune, union_all
 from .counts import bigram_freq, by_class, class_word_freq
 from .skew import hot_keys, lookup, top_n
 
@@ -87,4 +87,4 @@ def word_bigram_scores(
         F.count("*").alias("n"),
     )
     words = words.select(F.array("token").alias("feature"), "n_pos", "n_neg", "n")
-    return class_scores(words.unionByName(materialize(pair_counts)))
+    return class_scores(union_all(words, materialize(pair_counts)))

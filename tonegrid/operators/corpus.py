@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..session import NEG, POS
+from ..session import NEG, POS, union_all
 
 # A stopword list up to this size travels inside the plan; a longer one is joined.
 INLINE_WORDS = 20_000
@@ -103,7 +103,7 @@ def project(docs: DataFrame, features: DataFrame, match_bigrams: bool = False) -
     # only selected pairs reach the distinct
     pairs = docs.select(*kept, F.explode(text.bigrams(F.col("tokens"))).alias("feature"))
     pairs = pairs.join(features.where(F.size("feature") == 2).select("feature"), "feature", "left_semi")
-    return single.unionByName(pairs.select(*kept, "feature").distinct())
+    return stack(single, pairs.select(*kept, "feature").distinct())
 
 
 def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:
@@ -136,7 +136,7 @@ def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column
 def words_and_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:
     """A document's distinct words plus its best pairs, as ``(doc_id, feature)``."""
     single = bag_of_words(docs.select("doc_id", "tokens")).select("doc_id", F.array("token").alias("feature"))
-    return single.unionByName(document_bigrams(docs, n, score).select("doc_id", "feature"))
+    return stack(single, document_bigrams(docs, n, score).select("doc_id", "feature"))
 
 
 def attach_label(df: DataFrame, label: str, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -147,15 +147,9 @@ def attach_label(df: DataFrame, label: str, extract: Callable[[DataFrame], DataF
 
 def stack(*parts: DataFrame) -> DataFrame:
     """Rows of all parts, columns matched by name."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(*parts)
 
 
 def stack_positional(*parts: DataFrame) -> DataFrame:
     """Rows of all parts, columns matched by position."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return union_all(parts[0], *[part.toDF(*parts[0].columns) for part in parts[1:]])

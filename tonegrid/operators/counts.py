@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import NEG, POS, materialize
+from ..session import NEG, POS, materialize, union_all
 from .skew import with_next
 
 
@@ -59,5 +59,5 @@ def bigram_freq(docs: DataFrame, cross_docs: bool = True) -> DataFrame:
     inside = docs.select("label", F.explode(text.bigrams(F.col("tokens"))).alias("p"))
     pairs = inside.select("label", F.col("p")[0].alias("w1"), F.col("p")[1].alias("w2"))
     if cross_docs:
-        pairs = pairs.unionByName(border_pairs(docs))
+        pairs = union_all(pairs, border_pairs(docs))
     return pairs.groupBy("label", "w1", "w2").agg(F.count("*").alias("n"))

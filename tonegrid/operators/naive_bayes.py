@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import NEG, POS, materialize
+from ..session import NEG, POS, materialize, union_all
 from .corpus import project
 from .skew import hot_keys, split_join
 
@@ -61,16 +61,17 @@ class NaiveBayesTable:
         features are answered from a bounded broadcast and the rest by a join Spark picks.
         """
         keys = [c for c in docs.columns if c != "tokens"]
-        rows = docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("feature"))
+        words = F.array_distinct("tokens")
         if self.size <= BROADCAST_ROWS:
-            x = rows.join(F.broadcast(self.weights()), "feature")
+            rows = docs.select(*keys, F.explode_outer(words).alias("feature"))
+            x = rows.join(F.broadcast(self.weights()), "feature", "left")
         else:
+            rows = docs.select(*keys, F.explode(words).alias("feature"))
             hot = hot_keys(self.counts.withColumn("n", F.col("n_pos") + F.col("n_neg")))
             x = split_join(rows, self.weights(), "feature", self.weights(hot))
-        # one empty row per document (reads no text) instead of an outer join over all its words
-        none = F.lit(None).cast("double")
-        every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
-        x = x.select(*keys, "w_pos", "w_neg").unionByName(every)
+            none = F.lit(None).cast("double")
+            every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
+            x = union_all(x.select(*keys, "w_pos", "w_neg"), every)
         sums = x.groupBy(*keys).agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("q"))
         return sums.select(
             *keys,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import union_all
+
 # A key counts as hot when it holds more than 1/HOT_SLOTS of the rows, so at most
 # HOT_SLOTS keys can be hot whatever the data.
 HOT_SLOTS = 4096
@@ -65,7 +67,7 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> D
     """
     common = rows.join(F.broadcast(hot), key)
     rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.hint("merge"), key)
-    return common.unionByName(rare)
+    return union_all(common, rare)
 
 
 def within(df: DataFrame, rows: int) -> bool:

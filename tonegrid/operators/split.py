@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import union_all
 from .skew import hash_blocks, hash_key
 
 BLOCK_DIGITS = 3  # 4096 hash blocks per group
@@ -44,7 +45,7 @@ def positional_split(
     inside = F.row_number().over(W.partitionBy(by, "__block").orderBy("__h", key))
     ranked = x.where(on_cut).withColumn("__i", inside + F.col("__before"))
     ranked = ranked.select(*df.columns, F.when(F.col("__i") <= F.col("__cut"), "train").otherwise("test").alias("part"))
-    return sure.unionByName(ranked)
+    return union_all(sure, ranked)
 
 
 def random_split(df: DataFrame, fraction: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_rows
+from ..session import union_all
 from .counts import word_freq
 from .skew import hot_keys, split_join, within
 
@@ -38,15 +39,14 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     keys = [c for c in docs.columns if c != "tokens"]
     table = vectors.select(F.col("word").alias("token"), "vec")
     small = max_words * dim <= BROADCAST_CELLS if max_words is not None else within(vectors, BROADCAST_CELLS // dim)
-    rows = token_rows(docs, *keys)
     if small:
-        found = rows.join(F.broadcast(table), "token")
-    else:
-        hot_words = hot_keys(word_freq(docs)).select("token")
-        found = split_join(rows, table, "token", table.join(F.broadcast(hot_words), "token", "left_semi"))
-    found = found.select(*keys, "vec")
+        rows = docs.select(*keys, F.explode_outer("tokens").alias("token"))
+        return sum_vectors(rows.join(F.broadcast(table), "token", "left"), keys, dim)
+    hot_words = hot_keys(word_freq(docs)).select("token")
+    hot = table.join(F.broadcast(hot_words), "token", "left_semi")
+    found = split_join(token_rows(docs, *keys), table, "token", hot).select(*keys, "vec")
     every = docs.select(*keys, F.lit(None).cast(table.schema["vec"].dataType).alias("vec"))
-    return sum_vectors(found.unionByName(every), keys, dim)
+    return sum_vectors(union_all(found, every), keys, dim)
 
 
 def _block_top(queries: list[str], matrix: np.ndarray, n: int, digits: int):
@@ -116,9 +116,7 @@ def nearest_words(queries: DataFrame, vectors: DataFrame, n: int = 10, digits: i
         flush()
     if not parts:
         return spark.createDataFrame([], "query string, word string, cosine double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = union_all(*parts)
     best = W.partitionBy("query").orderBy(F.desc("cosine"), "word")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
@@ -134,6 +132,6 @@ def expand_features(features: DataFrame, vectors: DataFrame, n: int = 10) -> Dat
     near = nearest_words(queries, vectors, n).select(F.col("query").alias("by"), "word")
     near = near.join(single.withColumnRenamed("word", "by"), "by")
     added = near.select(F.array("word").alias("feature"), "rank", F.lit("expanded").alias("source"))
-    both = features.select("feature", "rank", F.lit("selected").alias("source")).unionByName(added)
+    both = union_all(features.select("feature", "rank", F.lit("selected").alias("source")), added)
     first = F.min(F.struct((F.col("source") != "selected").alias("late"), "rank", "source")).alias("m")
     return both.groupBy("feature").agg(F.min("rank").alias("rank"), first).select("feature", "rank", "m.source")
