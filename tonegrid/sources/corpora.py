@@ -18,10 +18,8 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     A small file often is a single row group, hence a single task. The exchange is only made when
     the scan has fewer splits than there are cores, so what it moves is bounded by cores x split size.
     """
-    spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        return scan
-    return scan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
 def read_json_corpus(spark: SparkSession, path: str, label: str, whole_file: bool = True) -> DataFrame:
