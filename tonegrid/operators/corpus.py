@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..session import NEG, POS, union_all
+from .skew import small_side
 
 # A stopword list up to this size travels inside the plan; a longer one is joined.
 INLINE_WORDS = 20_000
@@ -97,12 +98,13 @@ def project(docs: DataFrame, features: DataFrame, match_bigrams: bool = False) -
     """
     kept = [c for c in docs.columns if c != "tokens"]
     words = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("token"))
-    single = bag_of_words(docs).join(words, "token", "left_semi").select(*kept, F.array("token").alias("feature"))
+    single = bag_of_words(docs).join(small_side(words), "token", "left_semi").select(*kept, F.array("token").alias("feature"))
     if not match_bigrams:
         return single
     # only selected pairs reach the distinct
     pairs = docs.select(*kept, F.explode(text.bigrams(F.col("tokens"))).alias("feature"))
-    pairs = pairs.join(features.where(F.size("feature") == 2).select("feature"), "feature", "left_semi")
+    chosen = small_side(features.where(F.size("feature") == 2).select("feature"))
+    pairs = pairs.join(chosen, "feature", "left_semi")
     return stack(single, pairs.select(*kept, "feature").distinct())
 
 

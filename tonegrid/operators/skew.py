@@ -75,6 +75,14 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Mark a narrow table for broadcast if it has at most ``rows`` rows.
+
+    The size of a stored intermediate is unknown to the planner, which would shuffle the other side.
+    """
+    return F.broadcast(df) if within(df, rows) else df
+
+
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, fan_in: int = 64, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank, for few, very large groups.
 

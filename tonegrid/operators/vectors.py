@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import token_rows
 from ..session import union_all
 from .counts import word_freq
-from .skew import hot_keys, split_join, within
+from .skew import hot_keys, small_side, split_join, within
 
 # Query vectors shipped to the tasks at a time (400-wide doubles: 13 MB).
 QUERY_BLOCK = 4096
@@ -128,7 +128,7 @@ def expand_features(features: DataFrame, vectors: DataFrame, n: int = 10) -> Dat
     features that brought it in, so ``rank <= k`` gives the expansion of the first k features.
     """
     single = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("word"), "rank")
-    queries = vectors.join(single, "word").select("word", "vec")
+    queries = vectors.join(small_side(single), "word").select("word", "vec")
     near = nearest_words(queries, vectors, n).select(F.col("query").alias("by"), "word")
     near = near.join(single.withColumnRenamed("word", "by"), "by")
     added = near.select(F.array("word").alias("feature"), "rank", F.lit("expanded").alias("source"))
