@@ -30,7 +30,7 @@ def tune(spark: SparkSession) -> SparkSession:
     if int(spark.conf.get(key)) < GROUP_LIMIT:
         spark.conf.set(key, str(GROUP_LIMIT))
     # A union of equally partitioned inputs claims their partitioning, which adaptive execution can
-    # change afterwards on one side: seen on 4.1.2 as unequal partition counts and as split groups.
+    # change afterwards on one side: on 4.1.2 this failed on unequal partition counts and probably split groups.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
