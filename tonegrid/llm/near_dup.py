@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -133,91 +133,150 @@ def forest(apart: np.ndarray, most: int = MOST_BITS) -> tuple[list[tuple[int, in
 
 
 def proposals(apart: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Further pairs worth confirming: stars of a greedy cover, and each row's three nearest."""
+    """Further pairs worth confirming: a greedy cover by stars (each row with the first hub near it), the two nearest."""
     n = len(apart)
     near = apart <= most
     np.fill_diagonal(near, False)
-    out = set()
+    out = []
     left = near.any(axis=1)
     while left.any():
         hub = int((near & left[None, :]).sum(axis=1).argmax())
-        reach = np.flatnonzero(near[hub])
-        out.update((hub, int(j)) for j in reach)
+        reach = np.flatnonzero(near[hub] & left)
+        out += [(hub, int(j)) for j in reach]
         left[reach] = False
         left[hub] = False
     others = np.where(near, apart, 65535)
-    for _ in range(min(3, n - 1)):
+    for _ in range(min(2, n - 1)):
         best = others.argmin(axis=1)
-        out.update((i, int(j)) for i, j in enumerate(best) if others[i, j] <= most)
+        out += [(i, int(j)) for i, j in enumerate(best) if others[i, j] <= most]
         others[np.arange(n), best] = 65535
-    return list(out)
+    return out
 
 
 CANDIDATE = "a long, b long, first boolean, hub long, bucket long"
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one block of a bucket; the rows with most partners also go on as hubs of the block."""
-    keys = rows["__key"].to_numpy()
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    sketches = np.frombuffer(b"".join(rows["sketch"].iloc[order]), np.uint64).reshape(len(keys), -1)
+def _block(keys: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Candidate pairs of one block, forest edges first, and the rows with most partners."""
     apart = bits_apart(sketches)
-    tree_edges, _ = forest(apart)
-    chosen = {(min(p), max(p)) for p in tree_edges}
+    chosen = {(min(p), max(p)) for p in forest(apart)[0]}
     rest = {(min(p), max(p)) for p in proposals(apart)} - chosen
-    out = [(keys[i], keys[j], True, None, None) for i, j in chosen] + [(keys[i], keys[j], False, None, None) for i, j in rest]
-    if rows["blocks"].iloc[0] > 1:
-        hubs = np.argsort(-(apart <= MOST_BITS).sum(axis=1), kind="stable")[:HUBS]
-        out += [(None, None, None, keys[i], rows["bucket"].iloc[0]) for i in hubs]
+    out = [(keys[i], keys[j], True) for i, j in chosen] + [(keys[i], keys[j], False) for i, j in rest]
+    hubs = np.argsort(-(apart <= MOST_BITS).sum(axis=1), kind="stable")[:HUBS] if len(keys) > HUBS else np.arange(len(keys))
+    return out, keys[hubs]
+
+
+def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of whole blocks, sorted by (bucket, block, __key); buckets of two are compared all at once."""
+    keys, bucket, many = rows["__key"].to_numpy(), rows["bucket"].to_numpy(), rows["blocks"].to_numpy() > 1
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    block = rows["block"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    two = starts[sizes == 2]
+    near = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1) <= MOST_BITS
+    two_pairs = two[near]
+    pairs = [(a, b, True) for a, b in zip(keys[two_pairs], keys[two_pairs + 1])]
+    hubs: list[tuple] = []
+    for at, size in zip(starts, sizes):
+        if size > 2:
+            found, central = _block(keys[at : at + size], sketches[at : at + size])
+            pairs += found
+        else:
+            central = keys[at : at + size]
+        if many[at]:
+            hubs += [(hub, bucket[at]) for hub in central]
+    out = [(*p, None, None) for p in pairs] + [(None, None, None, *h) for h in hubs]
     frame = pd.DataFrame(out, columns=["a", "b", "first", "hub", "bucket"])
     return frame.astype({"a": "Int64", "b": "Int64", "first": "boolean", "hub": "Int64", "bucket": "Int64"})
 
 
-def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between rows of a block that lie in different components, found on their full sets.
+
+    Rows outside the block's largest component are held against all near rows of other components; a link
+    joins their components at once. No pair that is not a link leaves the task.
+    """
+    links = []
+    for _, g in rows.groupby(["bucket", "block"], sort=False):
+        keys, root = g["__key"].to_numpy(), np.unique(g["root"], return_inverse=True)[1]
+        near = bits_apart(np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)) <= MOST_BITS
+        near &= root[:, None] != root[None, :]
+        used = near.any(axis=1)
+        sets = [shingles(t) if u else np.empty(0, np.uint64) for t, u in zip(g["__text"], used)]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        for i in np.flatnonzero(used & (root != np.bincount(root).argmax())):
+            other = np.flatnonzero(near[i] & (root != root[i]))
+            if not len(other):
+                continue
+            both = np.bincount(owner[np.isin(flat, sets[i])], minlength=len(sets))[other]
+            for j in other[100 * both >= LINK * (sizes[i] + sizes[other] - both)]:
+                if root[i] != root[j]:
+                    links.append((keys[i], keys[j]))
+                    root[root == root[i]] = root[j]
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def _per_block(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by block; a block, at most about BLOCK rows, may span batches."""
     held = None
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         last = held[["bucket", "block"]].iloc[-1]
         open_ = (held["bucket"] == last["bucket"]) & (held["block"] == last["block"])
-        done = held[~open_]
-        if len(done):
-            yield pd.concat([_block(g) for _, g in done.groupby(["bucket", "block"], sort=False)], ignore_index=True)
+        if not open_.all():
+            yield work(held[~open_])
         held = held[open_]
     if held is not None and len(held):
-        yield _block(held)
+        yield work(held)
+
+
+def _compared(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on whole blocks of (bucket, block, __key, …)."""
 
+    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _per_block(batches, work)
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """Candidates of blocks of (bucket, block, blocks, __key, sketch)."""
-    dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInPandas(_by_block, CANDIDATE)
+    dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "__key")
+    return dealt.mapInPandas(by_block, schema)
 
 
-def candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Stored pairs (a < b) that share a band and whose sketches are near, with ``first`` for forest edges.
+def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) that share a band and whose sketches are near, with ``first`` for forest edges; the blocks.
 
     Every row of ``signed`` has its own set. Buckets of over ``block`` rows are cut into blocks; the hubs of the
     blocks form buckets of their own in the next round, until each bucket is one block.
     """
     bands = signed.select("__key", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = bands.join(shared, "bucket")
-    found = []
+    rows = bands.join(shared.hint("merge"), "bucket")
+    found, kept = [], []
     while True:
         blocks = F.ceil(F.col("n") / F.lit(block))
         rows = rows.select("__key", "bucket", blocks.alias("blocks"))
         cut = F.pmod(F.xxhash64("__key", "bucket"), F.col("blocks"))
-        rows = rows.join(signed.select("__key", "sketch"), "__key").select("bucket", cut.alias("block"), "blocks", "__key", "sketch")
-        out = stored(_compared(rows), "candidates")
+        rows = rows.join(signed.select("__key", "sketch").hint("merge"), "__key")
+        rows = stored(rows.select("bucket", cut.alias("block"), "blocks", "__key", "sketch"), "blocks")
+        out = stored(_compared(rows, _blocks, CANDIDATE), "candidates")
+        kept.append(rows)
         found.append(out.where("a IS NOT NULL").select("a", "b", "first"))
         hubs = out.where("hub IS NOT NULL").select(F.col("hub").alias("__key"), "bucket").distinct()
         if hubs.isEmpty():
             break
         rows = hubs.join(hubs.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
         block = max(block, 2 * HUBS)
-    return union_all(*found).groupBy("a", "b").agg(F.max("first").alias("first"))
+    return union_all(*found).groupBy("a", "b").agg(F.max("first").alias("first")), union_all(*kept)
+
+
+def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that still join two components of a block. Blocks of two have had their only pair confirmed."""
+    rows = blocks.join(roots.hint("merge"), blocks["__key"] == roots.node, "left")
+    rows = rows.select("bucket", "block", "__key", "sketch", F.coalesce("root", "__key").alias("root"))
+    split = rows.groupBy("bucket", "block").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
+    split = split.where("x < y AND n > 2").select("bucket", "block")
+    rows = rows.join(split.hint("merge"), ["bucket", "block"], "left_semi").join(texts.hint("merge"), "__key")
+    return _compared(rows, _across, "u long, v long")
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,37 +304,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, part: int = 1000) -> DataFrame
     """
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).alias("parts"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    right = dealt.join(texts, dealt.b == texts["__key"]).select("a", "part", "b", "__text")
+    right = dealt.join(texts.hint("merge"), dealt.b == texts["__key"]).select("a", "part", "b", "__text")
     lefts = count.select("a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    left = lefts.join(texts, lefts.a == texts["__key"]).select("a", "part", F.lit(None).cast("long").alias("b"), "__text")
+    left = lefts.join(texts.hint("merge"), lefts.a == texts["__key"]).select("a", "part", F.lit(None).cast("long").alias("b"), "__text")
     rows = union_all(left, right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return rows.mapInPandas(_confirm, "u long, v long")
 
 
-def clustered(docs: DataFrame) -> DataFrame:
+def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(__key, n_shingles, root)`` for every row of ``docs`` (__key, __text): the least key reachable over links.
 
     Rows with equal sets are one class, met by an aggregate; only its least row goes on. Rows without words have
     no link. Confirmation first takes the forest of each bucket, then the other candidates that still join
-    two components.
+    two components, then what is left inside each block.
     """
     signed = stored(signatures(docs), "signatures")
     some = signed.where("n_shingles > 0")
     classes = some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("__key").alias("least"), F.count("*").alias("copies"))
-    copies = some.join(classes.where("copies > 1"), ["n_shingles", "fp1", "fp2"]).where("__key > least")
+    copies = some.join(classes.where("copies > 1").hint("merge"), ["n_shingles", "fp1", "fp2"]).where("__key > least")
     copies = stored(copies.select(F.col("__key").alias("u"), F.col("least").alias("v")), "copies")
-    alone = some.join(copies.select(F.col("u").alias("__key")), "__key", "left_anti").select("__key", "bands", "sketch")
-    pairs = stored(candidates(stored(alone, "classes")), "pairs")
+    alone = some.join(copies.select(F.col("u").alias("__key")).hint("merge"), "__key", "left_anti").select("__key", "bands", "sketch")
+    pairs, blocks = candidates(stored(alone, "classes"), block)
+    pairs = stored(pairs, "pairs")
+    # merge joins throughout: whether a side is small enough to broadcast must not depend on the size of the corpus
     involved = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    texts = stored(docs.select("__key", "__text").join(involved, "__key", "left_semi"), "texts")
+    texts = stored(docs.select("__key", "__text").join(involved.hint("merge"), "__key", "left_semi"), "texts")
     links = stored(confirmed(pairs.where("first").select("a", "b"), texts), "links")
     roots = components(links)
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     rest = pairs.where("NOT first").join(a, "a", "left").join(b, "b", "left")
     rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    more = stored(confirmed(rest, texts), "links")
-    roots = components(union_all(links, more, copies))
-    out = signed.select("__key", "n_shingles").join(roots, signed["__key"] == roots.node, "left")
+    links = union_all(links, stored(confirmed(rest, texts), "links"))
+    links = union_all(links, stored(left_over(blocks, components(links), texts), "links"))
+    roots = components(union_all(links, copies))
+    out = signed.select("__key", "n_shingles").join(roots.hint("merge"), signed["__key"] == roots.node, "left")
     return out.select("__key", "n_shingles", F.coalesce("root", "__key").alias("root"))
 
 
@@ -294,7 +356,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = with_key(docs)
     groups = clustered(keyed.select("__key", utf8().alias("__text")))
     kept = groups.where("__key = root").select("__key")
-    return keyed.join(kept, "__key", "left_semi").select(docs.columns)
+    return keyed.join(kept.hint("merge"), "__key", "left_semi").select(docs.columns)
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +364,7 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_key(docs)
     groups = clustered(keyed.select("__key", utf8().alias("__text")))
     ids = keyed.select("__key", "doc_id")
-    out = groups.join(ids, "__key")
+    out = groups.join(ids.hint("merge"), "__key")
     roots = ids.select(F.col("__key").alias("root"), F.col("doc_id").alias("component_id"))
-    out = out.join(roots, "root")
+    out = out.join(roots.hint("merge"), "root")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("__key") == F.col("root")).alias("kept"))
