@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .near_dup import op9_near_dup
+from .packing import op2_packing
 from .quality import op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op9_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op6_decontaminate, op9_near_dup)}
 
 ORACLE: dict[str, str] = {}
