@@ -6,7 +6,8 @@ from .decontaminate import op6_decontaminate
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality import op5_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op6_decontaminate, op9_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_near_dup)}
 
 ORACLE: dict[str, str] = {}
