@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat
 from .decontaminate import op6_decontaminate
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality import op5_quality_rules
+from .sharding import op3_sharding
 from .suffix_dedup import op8_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_chat, op5_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_near_dup)}
 
 ORACLE: dict[str, str] = {}
