@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from .chat import op4_chat
 from .decontaminate import op6_decontaminate
+from .html import op7_html_text
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality import op5_quality_rules
 from .sharding import op3_sharding
 from .suffix_dedup import op8_suffix_dedup
+from .tokens import op1_token_counts
+from .urls import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_chat, op5_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_near_dup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_packing,
+        op3_sharding,
+        op4_chat,
+        op5_quality_rules,
+        op6_decontaminate,
+        op7_html_text,
+        op8_suffix_dedup,
+        op9_near_dup,
+        op10_url_filter,
+    )
+}
 
 ORACLE: dict[str, str] = {}
