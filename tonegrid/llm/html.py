@@ -209,11 +209,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with ``text``, the main text of the whole page.
 
     NULL html is empty and gives an empty text. A page without a host, or unlike its host's wrapper, is read by its own
-    structure. Repeated rows give equal rows; an empty table gives none.
+    structure. Repeated rows give equal rows; an empty table gives none. A column ``text`` of the input gives way.
     """
     small_batches(pages.sparkSession, rows=512)
     host, _ = parts(F.col("url"))
-    own = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("host", host)
+    own = pages.withColumn("__html", F.coalesce("html", F.lit(""))).withColumn("__h", host)
 
     @F.pandas_udf("string")
     def chosen(wrapper: pd.Series) -> pd.Series:
@@ -224,9 +224,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         return pd.Series([extract(t, m or "<body>") for t, m in zip(texts, main)])
 
     # one short tag per host; the join is left to the planner and its run-time sizes, which also split a hot host
-    mains = wrappers(own.select("host", "html")).select(F.col("host").alias("__host"), chosen("wrapper").alias("__main"))
-    out = own.join(mains, own.host == mains["__host"], "left")
-    return out.select(*[c for c in pages.columns], extracted("html", "__main").alias("text"))
+    mains = wrappers(own.select(F.col("__h").alias("host"), F.col("__html").alias("html"))).select(F.col("host").alias("__host"), chosen("wrapper").alias("__main"))
+    out = own.join(mains, own["__h"] == mains["__host"], "left")
+    return out.select(*[c for c in pages.columns if c != "text"], extracted("__html", "__main").alias("text"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,7 +337,7 @@ def _resolve(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFra
 
 
 def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
-    """``(__key, spans)``: for every row of ``keyed`` (__key, __text) with repeated strings, unordered byte spans.
+    """``(__key, __spans)``: for every row of ``keyed`` (__key, __text) with repeated strings, unordered byte spans.
 
     A segment that repeats inside a batch is settled there, so a passage that many documents hold sends one run
     per batch into the shuffle, not one per document.
@@ -357,7 +357,7 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     dealt = segments.repartition("shard").sortWithinPartitions("shard", "__key", "start")
     found = stored(dealt.mapInPandas(resolve, "__key long, `from` long, `to` long"), "resolved")
     spans = [x.where("`from` IS NOT NULL").select("__key", "from", "to") for x in (runs, settled, found)]
-    return union_all(*spans).groupBy("__key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return union_all(*spans).groupBy("__key").agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
 
 
 CUT = T.StructType(
@@ -395,7 +395,7 @@ def deduplicated(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     spans = spans_to_remove(keyed.select("__key", utf8().alias("__text")), shard_bytes)
     small_batches(docs.sparkSession, rows=2048, mb=8)
     joined = keyed.join(spans.hint("merge"), "__key", "left")
-    return joined.withColumn("__cut", _cut(utf8(), "spans")).withColumn("__bytes", F.length(utf8())).drop("spans", "__key")
+    return joined.withColumn("__cut", _cut(utf8(), "__spans")).withColumn("__bytes", F.length(utf8())).drop("__spans", "__key")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
