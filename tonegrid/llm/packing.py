@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Memo, partitions, small_batches, stored, table, utf8
+from .common import partitions, small_batches, stored, table, utf8
 
 CAPACITY = 4096
 END = 1
@@ -24,38 +26,76 @@ PIECES = T.StructType(
 )
 
 
+_END = np.array([END], "<u4").tobytes()
+
+
+#: The tokenizer's own split, for lower-case ASCII; "<|" may begin a special string and stays whole.
+_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def words(run: bytes) -> list[bytes]:
+    """Parts of a run that the tokenizer encodes independently: fewer different ones than runs."""
+    return _WORDS.findall(run.lower()) if run.isascii() and b"<|" not in run else [run]
+
+
+class Runs(dict):
+    """Ids of runs of text as bytes; unknown runs are encoded together. Starts anew when it holds ``limit`` runs."""
+
+    def __init__(self, tokenizer_file: str, limit: int = 1_500_000):
+        super().__init__()
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+
+    def of(self, runs: list[bytes]) -> list[bytes]:
+        new = {run for run in runs if run not in self}
+        if new:
+            if len(self) + 2 * len(new) > self.limit:
+                self.clear()
+                new = set(runs)
+            cut = {run: words(run) for run in new}
+            unknown = list({w for own in cut.values() for w in own if w not in self})
+            for at in range(0, len(unknown), 4096):
+                part = unknown[at : at + 4096]
+                found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+                self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            self.update((run, b"".join([self[w] for w in own])) for run, own in cut.items() if own != [run])
+        return [self[run] for run in runs]
+
+
+_MEMOS: dict[str, Runs] = {}
+
+
+def _remembered(tokenizer_file: str) -> Runs:
+    """One memory per worker process, kept from task to task."""
+    if tokenizer_file not in _MEMOS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _MEMOS[tokenizer_file] = Runs(tokenizer_file)
+    return _MEMOS[tokenizer_file]
+
+
 def tokenized(text: Column, tokenizer_file: str, capacity: int = CAPACITY, ids: bool = False) -> Column:
     """Pieces of a UTF-8 text: lengths and CRC-32 of their ids, or with ``ids`` the ids of the whole document.
 
     The tokenizer works inside runs between ASCII white space (no token, composition or special string spans it), so each
     distinct run is encoded once per worker and its ids are joined.
     """
-    state: dict = {}
-
-    def encoder() -> Memo:
-        if not state:
-            tokenizer = Tokenizer.from_file(tokenizer_file)
-            state["memo"] = Memo(
-                lambda run: np.array(tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-            )
-        return state["memo"]
 
-    def joined(value: bytes) -> bytes:
-        return b"".join(map(encoder().__getitem__, value.split())) + np.array([END], "<u4").tobytes()
+    def joined(values: pd.Series) -> Iterator[bytes]:
+        memo = _remembered(tokenizer_file)
+        for value in values:
+            yield b"".join(memo.of(value.split())) + _END
 
     if ids:
 
         @F.pandas_udf(T.ArrayType(T.LongType()))
         def encode(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: np.frombuffer(joined(t), "<u4").astype(np.int64))
+            return pd.Series([np.frombuffer(whole, "<u4").astype(np.int64) for whole in joined(texts)])
 
         return encode(text)
 
     @F.pandas_udf(PIECES)
     def pieces(texts: pd.Series) -> pd.DataFrame:
         lengths, crcs = [], []
-        for t in texts:
-            whole = joined(t)
+        for whole in joined(texts):
             cut = [whole[at : at + 4 * capacity] for at in range(0, len(whole), 4 * capacity)]
             lengths.append([len(c) // 4 for c in cut])
             crcs.append([zlib.crc32(c) for c in cut])

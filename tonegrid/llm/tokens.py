@@ -71,6 +71,16 @@ def words(text: str) -> list[str]:
     return [MARK + w for w in ([first] if first else []) + rest]
 
 
+_MEMOS: dict[str, Memo] = {}
+
+
+def _remembered(model_file: str) -> Memo:
+    """One memory of words per worker process, kept from task to task."""
+    if model_file not in _MEMOS:
+        _MEMOS[model_file] = Memo(Counter(read_vocabulary(model_file)[0]), 1_000_000)
+    return _MEMOS[model_file]
+
+
 COUNTS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -80,13 +90,9 @@ def counted(docs: DataFrame, model_file: str, column: str = "text") -> DataFrame
     Words are independent under this tokenizer, so a worker segments each distinct word once while it remembers it.
     """
     small_batches(docs.sparkSession)
-    state: dict = {}
-
     @F.pandas_udf(COUNTS)
     def count(texts: pd.Series) -> pd.DataFrame:
-        if not state:
-            state["memo"] = Memo(Counter(read_vocabulary(model_file)[0]))
-        get = state["memo"].__getitem__
+        get = _remembered(model_file).__getitem__
         rows = []
         for text in texts:
             own = words(text)
