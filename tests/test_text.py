@@ -145,3 +145,20 @@ def test_dense_csv_raises_on_bad_numbers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("label,v1,v2\np,1,oops\n")
     with pytest.raises(Exception):
         corpora.dense_rows(corpora.read_dense_csv(spark, str(tmp_path / "b.csv"), 2)).collect()
+
+
+def test_long_stopword_list_on_any_columns(spark, monkeypatch):
+    rows = [(1, 0, ["a", "b"]), (1, 1, ["b", "c"]), (1, 1, ["b", "c"]), (2, 0, None), (2, 1, ["b"])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, tokens array<string>")
+    stop = spark.createDataFrame([(f"s{i}",) for i in range(25_000)] + [("b",)], "token string")
+    long = corpus.remove_stopwords(turns, stop)
+    short = corpus.remove_stopwords(turns, stop.where("token = 'b'"))
+    canonical = lambda df: sorted(map(str, df.collect()))
+    assert canonical(long) == canonical(short)
+
+
+def test_ids_of_two_files_differ(spark, tmp_path):
+    for name in ("pos", "neg"):
+        (tmp_path / f"{name}.json").write_text('[["a"],["b","c"]]')
+    ids = [r.doc_id for n in ("pos", "neg") for r in corpora.read_json_corpus(spark, str(tmp_path / f"{n}.json"), n, across_files=True).collect()]
+    assert len(set(ids)) == 4 and ids[1] == ids[0] + 1

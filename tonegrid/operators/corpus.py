@@ -42,17 +42,18 @@ def stopword_list(stopwords: DataFrame) -> list[str] | None:
 def remove_stopwords(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Drop listed words from the token arrays; order and repeats are kept.
 
-    ``doc_id`` must be unique. A list beyond the inline bound goes through the anti join.
+    A list beyond the inline bound goes through the anti join, with the same result: rows are told apart by all
+    their columns (equal rows have equal results, so repeats share one), and NULL tokens stay NULL.
     """
     listed = stopword_list(stopwords)
     if listed is not None:
         return docs.withColumn("tokens", text.drop_words(F.col("tokens"), listed))
-    kept = remove_stopword_rows(flatten(docs.select("doc_id", "tokens")), stopwords)
-    arrays = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
-    arrays = arrays.select("doc_id", F.col("s.token").alias("__t"))
-    joined = docs.join(arrays, "doc_id", "left")
-    empty = F.array().cast("array<string>")
-    return joined.withColumn("tokens", F.coalesce("__t", empty)).drop("__t").select(docs.columns)
+    keyed = docs.withColumn("__row", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    kept = remove_stopword_rows(flatten(keyed.select("__row", "tokens").dropDuplicates(["__row"])), stopwords)
+    arrays = kept.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
+    joined = keyed.join(arrays.select("__row", F.col("s.token").alias("__t")), "__row", "left")
+    rest = F.when(F.col("tokens").isNotNull(), F.coalesce("__t", F.array().cast("array<string>")))
+    return joined.withColumn("tokens", rest).select(docs.columns)
 
 
 def remove_stopword_rows(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ class NaiveBayesTable:
             x = rows.join(F.broadcast(self.weights()), "feature", "left")
         else:
             rows = docs.select(*keys, F.explode(words).alias("feature"))
-            hot = hot_keys(self.counts.withColumn("n", F.col("n_pos") + F.col("n_neg")))
-            x = split_join(rows, self.weights(), "feature", self.weights(hot))
+            # frequent in the corpus that is scored, seen in training or not
+            hot = hot_keys(rows.groupBy("feature").agg(F.count("*").alias("n"))).select("feature")
+            x = split_join(rows, self.weights(), "feature", hot)
             none = F.lit(None).cast("double")
             every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
             x = union_all(x.select(*keys, "w_pos", "w_neg"), every)

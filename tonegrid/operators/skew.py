@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import union_all
+from ..session import raise_group_limit, union_all
 
 # A key counts as hot when it holds more than 1/HOT_SLOTS of the rows, so at most
 # HOT_SLOTS keys can be hot whatever the data.
@@ -57,22 +57,24 @@ def lookup(
     )
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, key: str, hot_keys: DataFrame) -> DataFrame:
     """Inner join with a large table in two branches: hot keys by broadcast, the rest by shuffle.
 
-    ``hot`` is the part of ``table`` for at most ``HOT_SLOTS`` keys. The shuffle is asked for, since
+    ``hot_keys`` names at most ``HOT_SLOTS`` keys, those that are frequent in ``rows`` whether ``table`` has them or
+    not: a frequent key without a partner must not stay in the shuffle branch. The shuffle is asked for, since
     size estimates of exploded rows are far too low to choose a broadcast side by. Unlike ``lookup``, hot rows are
     never shuffled, which matters when the values are wide or the result is aggregated at once; the
     price is that ``rows`` is read twice.
     """
-    common = rows.join(F.broadcast(hot), key)
-    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.hint("merge"), key)
+    frequent = F.broadcast(hot_keys.select(key))
+    common = rows.join(F.broadcast(table.join(frequent, key, "left_semi")), key)
+    rare = rows.join(frequent, key, "left_anti").join(table.hint("merge"), key)
     return union_all(common, rare)
 
 
 def within(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows (reads no more than one over)."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table has at most ``rows`` rows (each partition sends one number)."""
+    return df.count() <= rows
 
 
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -89,6 +91,7 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, fan_in: int
     A first round keeps the best ``n`` per (group, task bundle), so no single task ever sees more
     than ``fan_in * n`` rows of a group. How rows fall into bundles does not affect the result.
     """
+    raise_group_limit(df.sparkSession, n)
     bundled = df.withColumn("__b", F.spark_partition_id() % fan_in)
     first = W.partitionBy(*by, "__b").orderBy(*order)
     kept = bundled.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__b", "__r")

@@ -43,8 +43,7 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
         rows = docs.select(*keys, F.explode_outer("tokens").alias("token"))
         return sum_vectors(rows.join(F.broadcast(table), "token", "left"), keys, dim)
     hot_words = hot_keys(word_freq(docs)).select("token")
-    hot = table.join(F.broadcast(hot_words), "token", "left_semi")
-    found = split_join(token_rows(docs, *keys), table, "token", hot).select(*keys, "vec")
+    found = split_join(token_rows(docs, *keys), table, "token", hot_words).select(*keys, "vec")
     every = docs.select(*keys, F.lit(None).cast(table.schema["vec"].dataType).alias("vec"))
     return sum_vectors(union_all(found, every), keys, dim)
 

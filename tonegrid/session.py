@@ -26,15 +26,20 @@ def build_session(app: str = "tonegrid", master: str | None = None, **conf) -> S
 
 def tune(spark: SparkSession) -> SparkSession:
     """The two settings the operators rely on; everything else is left to the submitter."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key)) < GROUP_LIMIT:
-        spark.conf.set(key, str(GROUP_LIMIT))
+    raise_group_limit(spark, GROUP_LIMIT)
     # A union of equally partitioned inputs claims their partitioning, which adaptive execution can
     # change afterwards on one side: on 4.1.2 this failed on unequal partition counts and probably split groups.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
+def raise_group_limit(spark: SparkSession, n: int) -> None:
+    """Let Spark trim the best ``n`` of each group before the shuffle, whatever ``n`` the caller asks for."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key)) < n:
+        spark.conf.set(key, str(n))
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     """Rows of all parts, columns matched by name, under the settings above."""
     tune(parts[0].sparkSession)

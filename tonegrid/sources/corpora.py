@@ -22,16 +22,22 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
-def read_json_corpus(spark: SparkSession, path: str, label: str, whole_file: bool = True) -> DataFrame:
-    """A JSON array of token arrays per file: ``(doc_id, label, tokens)``, ids in array order.
+def read_json_corpus(spark: SparkSession, path: str, label: str, whole_file: bool = True, across_files: bool = False) -> DataFrame:
+    """A JSON array of token arrays per file: ``(doc_id, label, tokens)``.
+
+    Ids are the place in the array, so they are unique in one file. With ``across_files`` they stand below a number
+    made from label and file path: they then differ between files and classes as well (31-bit hash), follow array
+    order, and do not depend on how files are split.
 
     A whole-file value is parsed by one task. Large corpora should hold one such array per line
     (``whole_file=False``), which Spark splits; ids are then only unique, not dense.
     """
     docs = F.from_json("value", "array<array<string>>")
     text = spark.read.text(path, wholetext=whole_file)
-    rows = text.select(F.posexplode(docs).alias("doc_id", "tokens"))
-    doc_id = F.col("doc_id").cast("long") if whole_file else F.monotonically_increasing_id()
+    rows = text.select(F.col("_metadata.file_path").alias("__file"), F.posexplode(docs).alias("doc_id", "tokens"))
+    file = F.pmod(F.xxhash64(F.lit(label), "__file"), F.lit(1 << 31))
+    place = F.shiftleft(file, 32) + F.col("doc_id") if across_files else F.col("doc_id").cast("long")
+    doc_id = place if whole_file else F.monotonically_increasing_id()
     return rows.select(doc_id.alias("doc_id"), F.lit(label).alias("label"), "tokens")
 
 
