@@ -162,3 +162,20 @@ def test_ids_of_two_files_differ(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text('[["a"],["b","c"]]')
     ids = [r.doc_id for n in ("pos", "neg") for r in corpora.read_json_corpus(spark, str(tmp_path / f"{n}.json"), n, across_files=True).collect()]
     assert len(set(ids)) == 4 and ids[1] == ids[0] + 1
+
+
+def test_segmentation_keeps_rows_apart_without_a_key(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("國家", "n"), ("需要", "m"), ("正面", None)], "token string, flag string")
+    rows = [(1, 1, "國家更需要正面"), (1, 2, "正面，國家"), (1, 2, "正面，國家"), (2, 1, None), (None, 1, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    plan = segment.segmented(df, lexicon, flags=["m"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+    def got():
+        found = segment.segmented(df, lexicon, flags=["m"]).collect()
+        return sorted((r.conv_id or 0, r.turn, tuple(r.tokens)) for r in found)
+
+    near = got()
+    assert near == [(0, 1, ()), (1, 1, ("國家", "正面")), (1, 2, ("正面", "國家")), (1, 2, ("正面", "國家")), (2, 1, ())]
+    monkeypatch.setattr(segment, "LEXICON_BROADCAST", 0)
+    assert got() == near

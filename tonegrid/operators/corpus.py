@@ -102,11 +102,10 @@ def project(docs: DataFrame, features: DataFrame, match_bigrams: bool = False) -
     single = bag_of_words(docs).join(small_side(words), "token", "left_semi").select(*kept, F.array("token").alias("feature"))
     if not match_bigrams:
         return single
-    # only selected pairs reach the distinct
-    pairs = docs.select(*kept, F.explode(text.bigrams(F.col("tokens"))).alias("feature"))
+    pairs = docs.select(*kept, F.explode(F.array_distinct(text.bigrams(F.col("tokens")))).alias("feature"))
     chosen = small_side(features.where(F.size("feature") == 2).select("feature"))
     pairs = pairs.join(chosen, "feature", "left_semi")
-    return stack(single, pairs.select(*kept, "feature").distinct())
+    return stack(single, pairs.select(*kept, "feature"))
 
 
 def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:

@@ -48,13 +48,16 @@ def positional_split(
     return union_all(sure, ranked)
 
 
-def random_split(df: DataFrame, fraction: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Bernoulli split; the two parts cover every row once."""
-    train, test = df.randomSplit([fraction, 1.0 - fraction], seed)
-    return train, test
+def random_split(df: DataFrame, fraction: float = 0.8, seed: int = 0, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``hash_split``; they cover every row once, whatever the partition layout."""
+    both = hash_split(df, fraction, seed, key)
+    return tuple(both.where(F.col("part") == part).drop("part") for part in ("train", "test"))
 
 
 def hash_split(df: DataFrame, fraction: float = 0.8, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """Add ``part`` by a threshold on a hash of ``key``: narrow, stable under any repartitioning."""
-    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("part", F.when(share < fraction, "train").otherwise("test"))
+    """Add ``part`` by a threshold on the md5 of ``key``: narrow, stable under any repartitioning.
+
+    Rows with equal keys, and all with a NULL key (test), share a side.
+    """
+    drawn = F.conv(F.substring(hash_key(F.col(key), seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn("part", F.when(drawn < int(fraction * (1 << 32)), "train").otherwise("test"))

@@ -48,34 +48,37 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     return sum_vectors(union_all(found, every), keys, dim)
 
 
+def _first(n: int, q: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``n`` of each query ``q`` by score ``s``, ties by word ``w``."""
+    order = np.lexsort((w, -s, q))
+    q = q[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+    return q[keep], s[order][keep], w[order][keep]
+
+
 def _block_top(queries: list[str], matrix: np.ndarray, n: int, digits: int):
     """Arrow task: best ``n`` words of this partition for each query, by rounded cosine, ties by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(queries)
+        best = np.empty(0, np.int64), np.empty(0), np.empty(0, str)
+        own: dict[str, list[int]] = {}
+        for q, name in enumerate(queries):
+            own.setdefault(name, []).append(q)
         for batch in batches:
             words = np.array(batch.column("word").to_pylist(), dtype=object)
             if not len(words):
                 continue
             values = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             table = values.reshape(len(words), -1)
-            order = np.argsort(words, kind="stable")
-            words, table = words[order], table[order]
             norms = np.linalg.norm(table, axis=1)
             sims = np.round((table @ matrix.T) / np.where(norms == 0.0, np.nan, norms)[:, None], digits)
-            for q, name in enumerate(queries):
-                ok = (words != name) & ~np.isnan(sims[:, q])
-                s = np.concatenate([best[q][0], sims[ok, q]])
-                w = np.concatenate([best[q][1], words[ok]])
-                if len(s) > n:
-                    cut = np.partition(s, len(s) - n)[len(s) - n]
-                    keep = s >= cut
-                    s, w = s[keep], w[keep]
-                pick = np.lexsort((w.astype(str), -s))[:n]
-                best[q] = (s[pick], w[pick])
-        out_q = [name for name, b in zip(queries, best) for _ in b[0]]
-        out_w = [w for b in best for w in b[1]]
-        out_s = [float(v) for b in best for v in b[0]]
+            sims = np.where(np.isnan(sims), -np.inf, sims)
+            for i, word in enumerate(words):
+                sims[i, own.get(word, [])] = -np.inf
+            cut = np.partition(sims, len(words) - n, axis=0)[len(words) - n] if len(words) > n else -np.inf
+            i, q = np.nonzero((sims >= cut) & (sims > -np.inf))
+            best = _first(n, *[np.concatenate(p) for p in zip(best, (q, sims[i, q], words[i].astype(str)))])
+        out_q, out_s, out_w = [queries[q] for q in best[0]], best[1], best[2].tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array(out_q, pa.string()), pa.array(out_w, pa.string()), pa.array(out_s, pa.float64())],
             names=["query", "word", "cosine"],

@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import corpus, evaluate
+from ..operators.segment import segmented
 from ..operators.split import positional_split
 from ..operators.vectors import sentence_vectors
 from ..session import GROUP_LIMIT
@@ -19,6 +22,20 @@ DEFAULT_FEATURES = 700
 NEIGHBOURS = 10
 
 
+def text_tokens(
+    rows: DataFrame, column: str = "text", stopwords: DataFrame | None = None, lexicon: DataFrame | None = None, **options
+) -> DataFrame:
+    """Raw text to filtered tokens: split at blanks and marks, or, with a lexicon ``(token, flag)``, segmented.
+
+    Text is lower-cased. ``options`` are those of ``corpus.clean``; with a lexicon, ``flags`` and ``min_length``.
+    """
+    if lexicon is None:
+        return corpus.clean(rows, stopwords, column, **options)
+    options = {"flags": text.DROP_FLAGS} | options
+    tokens = segmented(rows.withColumn(column, F.lower(column)), lexicon, column, **options)
+    return tokens if stopwords is None else corpus.remove_stopwords(tokens, stopwords)
+
+
 @dataclass
 class SentimentModel:
     """Feature selection plus one named classifier."""
@@ -77,9 +94,11 @@ class SentimentModel:
         """Label rows that carry ``tokens``, without any token filter."""
         return self.classifier.transform(docs)
 
-    def predict_text(self, rows: DataFrame, column: str = "text", stopwords: DataFrame | None = None, **options) -> DataFrame:
-        """Label raw text: tokenise and filter, then as above."""
-        return self.predict_tokens(corpus.clean(rows, stopwords, column, **options))
+    def predict_text(
+        self, rows: DataFrame, column: str = "text", stopwords: DataFrame | None = None, lexicon: DataFrame | None = None, **options
+    ) -> DataFrame:
+        """Label raw text: tokenise and filter, then as above. With a lexicon, unspaced text is segmented by it."""
+        return self.predict_tokens(text_tokens(rows, column, stopwords, lexicon, **options))
 
     def score(self, docs: DataFrame) -> float:
         """Area under the ROC curve of the 0/1 predictions."""
@@ -117,5 +136,12 @@ class VectorSentimentModel:
         scored = self.model.transform(dense.to_vectors(summed.withColumnRenamed("vec", "features")))
         return scored.select(*[c for c in docs.columns if c != "tokens"], "probability", "prediction")
 
+    def predict_text(
+        self, rows: DataFrame, vectors: DataFrame, column: str = "text", stopwords: DataFrame | None = None,
+        lexicon: DataFrame | None = None, **options,
+    ) -> DataFrame:
+        """Score raw sentences against a ``(word, vec)`` table."""
+        return self.predict(text_tokens(rows, column, stopwords, lexicon, **options), vectors)
+
     def score(self, rows: DataFrame) -> float:
         return evaluate.auc_hard(self.transform(rows)).first()[0]

@@ -11,7 +11,7 @@ PARTS = {
     "corpus": """SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\p{L}+'), lambda t: length(t) > 1) AS tokens
         FROM documents""",
     "docs": """SELECT c.doc_id, CASE WHEN l.quality = 1 THEN 'pos' ELSE 'neg' END AS label, c.tokens
-        FROM corpus c JOIN labels l USING (doc_id)""",
+        FROM corpus c JOIN labels l USING (doc_id){only}""",
     "toks": "SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token FROM corpus",
     "ltoks": "SELECT doc_id, label, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token FROM docs",
     "freq": "SELECT token, count(*) AS n FROM toks GROUP BY token",
@@ -99,7 +99,7 @@ def _fill(body: str, options: dict[str, str]) -> str:
 
 def sql(select: str, *parts: str, extra: dict[str, str] | None = None, **options: str) -> str:
     """``WITH`` the named parts and what they need, then the select."""
-    options = {"mixed": "mixed", "counts": "fcounts", "pattern": "\\p{L}+"} | options
+    options = {"mixed": "mixed", "counts": "fcounts", "pattern": "\\p{L}+", "only": ""} | options
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -231,7 +231,8 @@ ORACLE = {
     "split_90_10": f"""SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id)
         <= floor(0.9::DOUBLE * count(*) OVER (PARTITION BY label)) THEN 'train' ELSE 'test' END AS part FROM {CLASSES}""",
     "shuffle_order": f"SELECT doc_id, label, row_number() OVER (ORDER BY md5(doc_id || '-42'), doc_id) AS position FROM {CLASSES}",
-    "random_split": "SELECT count(*) AS n_rows, 0 AS n_twice FROM labels",
+    "random_split": f"""SELECT doc_id, label, CASE WHEN ('0x' || substr(md5(doc_id || '-42'), 1, 8))::BIGINT < 3435973836
+        THEN 'train' ELSE 'test' END AS part FROM {CLASSES}""",
     "attach_label": sql("SELECT doc_id, label, feature FROM bags SEMI JOIN top USING (feature)", "bags", "top"),
     "mnb_predict": sql(BY_DOC + FROM_DOCS.format(m="mnb", b="mnb_bias"), "present", "mnb", "mnb_bias"),
     "bnb_predict": sql(BY_DOC + FROM_DOCS.format(m="bnb", b="bnb_bias"), "present", "bnb", "bnb_bias"),
@@ -250,6 +251,27 @@ ORACLE = {
         BY_TURN + FROM_TURNS.replace("{t}", "SELECT conv_id, turn, feature FROM ctoks, (SELECT feature AS token) "
         f"WHERE {FLAG} <> 'm' AND feature NOT IN (SELECT token FROM stops)"),
         "ctoks", "stops", "mnb", "mnb_bias", pattern="[\\p{L}\\p{N}]+"),
+    "predict_unspaced": sql(
+        BY_TURN + FROM_TURNS.replace("{t}", "SELECT DISTINCT conv_id, turn, feature FROM cut "
+        "WHERE length(feature) > 2 AND feature NOT IN (SELECT token FROM stops)"),
+        "freq", "stops", "mnb", "mnb_bias",
+        extra={"lex": f"SELECT token FROM freq WHERE n * {LEXICON_SHARE} >= (SELECT sum(n) FROM freq)",
+               "cut": """SELECT conv_id, turn, unnest(regexp_extract_all(lower(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')),
+        (SELECT string_agg(token, '|' ORDER BY length(token) DESC) FROM lex))) AS feature FROM conversations"""}),
+    "sentiment_held_out": sql(
+        f"SELECT tp, fp, tn, fn, {AUC} AS auc_hard FROM (" + PARTS["confusion"].replace("FROM scored", "FROM hscored") + ")",
+        "wv", "selected", "bags", "mnb_bias", counts="hcounts", q="picked",
+        only=""" QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(c.doc_id || '-42'), c.doc_id)
+        <= floor(0.9::DOUBLE * count(*) OVER (PARTITION BY label))""",
+        extra={
+            "picked": "SELECT word, vec FROM wv SEMI JOIN selected ON w1 = word AND w2 IS NULL", "near": NEAR,
+            "feats": "SELECT w1 AS feature FROM selected WHERE w2 IS NULL UNION SELECT word FROM near",
+            "hcounts": PARTS["fcounts"].replace("SEMI JOIN top", "SEMI JOIN feats"), "hmnb": PARTS["mnb"],
+            "tests": """SELECT c.doc_id, CASE WHEN l.quality = 1 THEN 'pos' ELSE 'neg' END AS label, c.tokens
+        FROM corpus c JOIN labels l USING (doc_id) ANTI JOIN docs USING (doc_id)""",
+            "tbags": "SELECT DISTINCT doc_id, unnest(tokens) AS feature FROM tests",
+            "hscored": PARTS["scored"].replace("docs d", "tests d").replace("bags b", "tbags b").replace("JOIN mnb U", "JOIN hmnb U"),
+        }),
     "predict_tokens": sql(BY_TURN + FROM_TURNS.replace("{t}", "SELECT * FROM ctoks"), "ctoks", "mnb", "mnb_bias"),
     "feature_count_sweep": sql(
         f"SELECT model, k, {AUC} AS auc_hard FROM series", "docs", "bags", "top", "fcounts", "bnb", "sizes",

@@ -270,9 +270,7 @@ def shuffle_order(spark, sf):
 def random_split(spark, sf):
     rows = t.classes(spark, sf)
     train, test = split.random_split(rows, 0.8, 42)
-    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    per_id = both.groupBy("doc_id").agg(F.count("*").alias("times"))
-    return per_id.agg(F.count("*").alias("n_rows"), F.count_if(F.col("times") > 1).alias("n_twice"))
+    return corpus.stack(train.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test")))
 
 
 @query
@@ -348,6 +346,16 @@ def predict_text(spark, sf):
     return _rounded(scored, "conv_id", "turn")
 
 
+@query
+def predict_unspaced(spark, sf):
+    """Turns without blanks: segmented by a lexicon whose two-letter words carry a dropped flag."""
+    rows = t.raw_turns(spark, sf).withColumn("text", F.regexp_replace("text", "[ \\t\\r\\n]", ""))
+    lexicon = t.lexicon(spark, sf).withColumn("flag", F.when(F.length("token") == 2, "m").otherwise("x"))
+    model = SentimentModel("MultinomialNB", t.K, t.top_words(spark, sf), classifiers.NaiveBayesModel(_naive_bayes(spark, sf)))
+    scored = model.predict_text(rows, stopwords=t.stopwords(spark, sf), lexicon=lexicon, flags=["m"])
+    return _rounded(scored, "conv_id", "turn")
+
+
 @query
 def predict_tokens(spark, sf):
     model = SentimentModel("MultinomialNB", t.K, t.top_words(spark, sf), classifiers.NaiveBayesModel(_naive_bayes(spark, sf)))
@@ -426,7 +434,17 @@ def model_compare(spark, sf):
 def lr_feature_sweep(spark, sf):
     docs = materialize(split.positional_split(t.labelled(spark, sf), 0.9, 42))
     train, test = (docs.where(F.col("part") == p).drop("part") for p in ("train", "test"))
-    return sweeps.feature_count_sweep(train, test, t.top_words(spark, sf), ["LogisticRegression"])
+    return sweeps.feature_count_sweep(train, test, t.best_words(train), ["LogisticRegression"])
+
+
+@query
+def sentiment_held_out(spark, sf):
+    """Split, selection with pairs and expansion on the train part, naive Bayes, scores of the held-out part."""
+    docs = materialize(split.positional_split(t.labelled(spark, sf), 0.9, 42))
+    train, test = (docs.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    features = materialize(select_features(train, t.K, t.word_vectors(spark, sf)))
+    scored = classifiers.fit("MultinomialNB", train, features).transform(test)
+    return evaluate.metrics(classifiers.numeric_label(scored)).select("tp", "fp", "tn", "fn", "auc_hard")
 
 
 # saved artefacts

@@ -65,7 +65,11 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_words(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     """``(feature, rank)`` of the k best single words."""
-    scored = association.word_scores(labelled(spark, sf)).select(F.array("token").alias("feature"), "score")
+    return best_words(labelled(spark, sf), k)
+
+
+def best_words(docs: DataFrame, k: int = K) -> DataFrame:
+    scored = association.word_scores(docs).select(F.array("token").alias("feature"), "score")
     return association.best(scored, k).select("feature", "rank", "score")
 
 
