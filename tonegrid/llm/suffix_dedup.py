@@ -272,8 +272,10 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, order: np.ndarray, spo
         at[lanes] += 1
 
 
-def repeats(keys: np.ndarray, begins: np.ndarray, segments: list[bytes], known: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-    """Spans of the strings of one shard that start earlier in it or are ``known``; the sorted strings it adds.
+def repeats(
+    keys: np.ndarray, begins: np.ndarray, segments: list[bytes], known: np.ndarray, more: bool
+) -> tuple[pd.DataFrame, np.ndarray]:
+    """Spans of the strings of one shard that start earlier in it or are ``known``; with ``more``, the strings it adds.
 
     Segments come sorted by (key, start); ``known`` are the sorted strings of the shards before, all earlier.
     """
@@ -289,9 +291,10 @@ def repeats(keys: np.ndarray, begins: np.ndarray, segments: list[bytes], known:
     by = np.lexsort((begins[owner[places]] + places - starts[owner[places]], keys[owner[places]], group))
     places, group = places[by], group[by]
     again = np.r_[False, group[1:] == group[:-1]]
-    text = data.tobytes()
-    first = places[~again]
-    strings = np.array([text[p : p + LENGTH] for p in first], f"S{LENGTH}")
+    strings = known[:0]
+    if more or len(known):  # only a group that takes several arrays needs its strings themselves
+        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        strings = np.ascontiguousarray(windows[places[~again]]).view(f"S{LENGTH}")[:, 0]
     if len(known):
         at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
         old = known[at] == strings
@@ -310,8 +313,8 @@ def _resolve(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFra
         nonlocal known, last
         if rows["shard"].iloc[0] != last:
             known = known[:0]
-        spans, added = repeats(rows["__key"].to_numpy(), rows["start"].to_numpy(), list(rows["segment"]), known)
         single = rows["shard"].iloc[0] == rows["shard"].iloc[-1]
+        spans, added = repeats(rows["__key"].to_numpy(), rows["start"].to_numpy(), list(rows["segment"]), known, single)
         known = np.sort(np.concatenate([known, added])) if single else known[:0]
         last = rows["shard"].iloc[-1] if single else None
         return spans
