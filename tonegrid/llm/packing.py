@@ -41,7 +41,7 @@ def words(run: bytes) -> list[bytes]:
 class Runs(dict):
     """Ids of runs of text as bytes; unknown runs are encoded together. Starts anew when it holds ``limit`` runs."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 1_500_000):
+    def __init__(self, tokenizer_file: str, limit: int = 400_000):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
 
