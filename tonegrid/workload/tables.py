@@ -86,9 +86,14 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``(label DOUBLE, features VECTOR)`` from the embedding table."""
-    rows = table(spark, sf, "embeddings")
-    return dense.to_vectors(rows.select((F.col("label") < 5).cast("double").alias("label"), F.col("embedding").alias("features")))
+    return _dense_rows(spark, sf).drop("vec_id")
+
+
+def _dense_rows(spark: SparkSession, sf: str) -> DataFrame:
+    label = (F.col("label") < 5).cast("double").alias("label")
+    return dense.to_vectors(table(spark, sf, "embeddings").select("vec_id", label, F.col("embedding").alias("features")))
 
 
 def dense_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return random_split(dense_rows(spark, sf), 0.8, 7)
+    train, test = random_split(_dense_rows(spark, sf), 0.8, 7, "vec_id")
+    return train.drop("vec_id"), test.drop("vec_id")
