@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import union_all
-from .common import small_batches, stored, table, utf8, with_key
+from .common import partitions, small_batches, stored, table, utf8, with_key
 from .graph import components
 
 SHINGLE = 5
@@ -319,9 +319,14 @@ def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     two components, then what is left inside each block.
     """
     signed = stored(signatures(docs), "signatures")
-    some = signed.where("n_shingles > 0")
-    classes = some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("__key").alias("least"), F.count("*").alias("copies"))
-    copies = some.join(classes.where("copies > 1").hint("merge"), ["n_shingles", "fp1", "fp2"]).where("__key > least")
+    same = ["n_shingles", "fp1", "fp2"]
+    slices = partitions(docs.sparkSession)
+    some = signed.where("n_shingles > 0").withColumn("slice", F.pmod(F.xxhash64("__key"), F.lit(slices)))
+    # a set that a third of all rows share is met in slices; only its least row per slice meets the others
+    parts = some.groupBy(*same, "slice").agg(F.min("__key").alias("least"), F.count("*").alias("copies"))
+    classes = parts.groupBy(*same).agg(F.min("least").alias("least"), F.sum("copies").alias("copies"), F.collect_list("slice").alias("slices"))
+    classes = classes.where("copies > 1").select(*same, F.explode("slices").alias("slice"), "least")
+    copies = some.join(classes.hint("merge"), [*same, "slice"]).where("__key > least")
     copies = stored(copies.select(F.col("__key").alias("u"), F.col("least").alias("v")), "copies")
     alone = some.join(copies.select(F.col("u").alias("__key")).hint("merge"), "__key", "left_anti").select("__key", "bands", "sketch")
     pairs, blocks = candidates(stored(alone, "classes"), block)
