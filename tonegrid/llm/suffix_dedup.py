@@ -26,7 +26,9 @@ REACH = LENGTH - GRAM + 1
 #: Ranges of the anchor's offset in a string; a shard's segments agree on all but 17 bytes of a string.
 PARTS = 4
 #: Bytes that are hashed at once, and bytes in one suffix array.
-CHUNK, SHARD = 1 << 20, 2 << 20
+CHUNK, SHARD = 1 << 20, 1 << 20
+#: Segments that are handed on at once.
+HANDED = 20_000
 
 _RANDOM = np.random.default_rng(8)
 _BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -190,11 +192,15 @@ SEGMENT = "shard long, __key long, start long, segment binary"
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per run and range of the anchor's offset: the bytes under its strings, keyed by what all of them share."""
     step = -(-REACH // PARTS)
+    columns = ["shard", "__key", "start", "segment"]
+    out: list[tuple] = []
     for batch in batches:
-        out = []
         for key, text, runs in zip(batch["__key"], batch["__text"], batch["runs"]):
             text = bytes(text)
             for run in runs:
+                if len(out) >= HANDED:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
                 start, n, at = int(run["start"]), int(run["n"]), int(run["at"])
                 for part in range(PARTS):
                     # strings whose anchor lies low .. high bytes behind their start
@@ -204,7 +210,8 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         common = text[at - low : at - high + LENGTH]
                         shard = hashlib.blake2b(common + bytes([part]), digest_size=8).digest()
                         out.append((int.from_bytes(shard, "little", signed=True), key, first, text[first : last + LENGTH]))
-        yield pd.DataFrame(out, columns=["shard", "__key", "start", "segment"])
+    if out:
+        yield pd.DataFrame(out, columns=columns)
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +221,17 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     numbers one step further on.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    place = np.arange(n)
-    fresh = np.r_[True, key[order][1:] != key[order][:-1]]
-    rank = np.empty(n + 1, np.int64)
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    del key, padded
+    place = np.arange(n, dtype=np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
     step = 8
@@ -239,7 +249,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank[sub] = np.maximum.accumulate(np.where(new, tied, 0))
         fresh[tied] = new
         step *= 2
-    spot = np.empty(n, np.int64)
+    spot = np.empty(n, np.int32)
     spot[order] = place
     return order, spot
 
@@ -249,8 +259,8 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, order: np.ndarray, spo
 
     The segments are walked side by side: going one byte on in each loses at most one byte of its last prefix.
     """
-    ends = np.repeat(starts[1:] - 1, np.diff(starts))
-    out = np.zeros(len(data), np.int64)
+    ends = np.repeat((starts[1:] - 1).astype(np.int32), np.diff(starts))
+    out = np.zeros(len(data), np.int16)
     lanes = np.arange(len(starts) - 1)
     at, have = starts[:-1].copy(), np.zeros(len(lanes), np.int64)
     while True:
@@ -284,7 +294,7 @@ def repeats(
     data = np.frombuffer(b"\xff".join([*segments, b""]), np.uint8)
     order, spot = suffix_array(data)
     shared = common_prefixes(data, starts, order, spot)
-    owner = np.repeat(np.arange(len(segments)), np.diff(starts))
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), np.diff(starts))
     whole = (np.arange(len(data)) + LENGTH < starts[owner + 1])[order]
     places, shared = order[whole], shared[whole]
     group = np.cumsum(shared < LENGTH)  # equal strings are neighbours in order
@@ -352,6 +362,7 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     settled = stored(dealt.mapInPandas(_shared, MARKED), "settled")
     wanted = settled.where("m IS NOT NULL").groupBy("__key").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
     texts = keyed.join(wanted.hint("merge"), "__key")
+    small_batches(keyed.sparkSession, rows=512, mb=2)  # a run is some hundred bytes in Python
     segments = texts.select("__key", "__text", "runs").mapInPandas(_segments, SEGMENT)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
