@@ -308,6 +308,33 @@ def test_near_duplicates_in_blocks(spark):
     assert [r.root for r in out] == [0]
 
 
+def test_near_duplicates_across_blocks(spark):
+    """A family of three-quarter likeness, far larger than a block, and what it was made from, which links them all."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for k, at in enumerate(rng.sample(range(5, 195), n)):
+            out[at] = f"{tag}-{k}"
+        return out
+
+    family = [base] + [edited(base, 3, f"m{i}") for i in range(500)]
+    family += [edited(family[i], 6, f"c{i}") for i in range(1, 20)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in family]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = [(i, " ".join(w).encode()) for i, w in enumerate(family)]
+    keyed = spark.createDataFrame(rows, "__key long, __text binary")
+    got = {r["__key"]: r.root for r in near_dup.clustered(keyed, block=40).collect()}
+    assert root.count(0) > 450 and [got[i] for i in range(len(root))] == root
+
+
 def test_url_parts_and_rules(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/x?q#f"), (2, "https://example.org/en/1"), (3, "x.com/fr/"), (4, None), (5, "http://b.com/fr/?a"), (6, "s://notorg/"), (7, "u://org"), (8, "v://org/a\nb#c"), (9, "w://z.com?/de/")]
     out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)))

@@ -24,7 +24,8 @@ LINK = 85
 #: Two documents at the link threshold differ in at most this many sketch bits but for odds below one in a
 #: million: five standard deviations (0.036 each at 100 samples) under 0.85 is 0.67, and 66 samples that differ set 58 bits.
 MOST_BITS = 58
-#: Documents of a bucket that are compared in one task; larger buckets are cut into blocks joined through their hubs.
+#: Documents of a bucket that are compared in one task; larger buckets are cut into blocks joined through their hubs, and
+#: what that leaves apart is compared block by block.
 BLOCK = 1500
 HUBS = 16
 
@@ -191,30 +192,65 @@ def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"a": "Int64", "b": "Int64", "first": "boolean", "hub": "Int64", "bucket": "Int64"})
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, as products of 0/1 matrices ``width`` values wide."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for sets in (left, right):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate(sets) if sets else np.empty(0, np.uint64), owner))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for flat, owner in sides:
+        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        at, owner = at[hit], owner[hit]
+        by = np.argsort(at, kind="stable")
+        placed.append((at[by], owner[by]))
+    for low in range(0, len(common), width):
+        cells = []
+        for (at, owner), n in zip(placed, out.shape):
+            some = slice(*np.searchsorted(at, [low, low + width]))
+            cell = np.zeros((n, width), np.float32)  # sums stay below 2^24, so they are exact
+            cell[owner[some], at[some] - low] = 1
+            cells.append(cell)
+        out += (cells[0] @ cells[1].T).astype(np.int64)
+    return out
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between rows of a block that lie in different components, found on their full sets.
+    """Links between rows of a task that lie in different components, found on their full sets.
 
-    Rows outside the block's largest component are held against all near rows of other components; a link
-    joins their components at once. No pair that is not a link leaves the task.
+    ``far`` rows are held against all near rows of other components; the rest of the task is one component. In a task of
+    two groups (``part``) of far rows the groups are held against each other only. A link joins its components at once.
+    No pair that is not a link leaves the task.
     """
     links = []
     for _, g in rows.groupby(["bucket", "block"], sort=False):
         keys, root = g["__key"].to_numpy(), np.unique(g["root"], return_inverse=True)[1]
-        near = bits_apart(np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)) <= MOST_BITS
-        near &= root[:, None] != root[None, :]
-        used = near.any(axis=1)
-        sets = [shingles(t) if u else np.empty(0, np.uint64) for t, u in zip(g["__text"], used)]
-        sizes = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        for i in np.flatnonzero(used & (root != np.bincount(root).argmax())):
-            other = np.flatnonzero(near[i] & (root != root[i]))
-            if not len(other):
-                continue
-            both = np.bincount(owner[np.isin(flat, sets[i])], minlength=len(sets))[other]
-            for j in other[100 * both >= LINK * (sizes[i] + sizes[other] - both)]:
-                if root[i] != root[j]:
-                    links.append((keys[i], keys[j]))
-                    root[root == root[i]] = root[j]
+        sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        far, part = g["far"].to_numpy(), g["part"].to_numpy()
+        left, right = np.flatnonzero(far), np.arange(len(g))
+        if far.all() and part.min() < part.max():
+            left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        apart = np.zeros((len(left), len(right)), np.uint16)
+        for word in sketches.T:
+            apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
+        near = (apart <= MOST_BITS) & (root[left][:, None] != root[right][None, :])
+        rows_near, columns_near = near.any(axis=1), near.any(axis=0)
+        left, right, near = left[rows_near], right[columns_near], near[np.ix_(rows_near, columns_near)]
+        if not len(left):
+            continue
+        texts = g["__text"].to_numpy()
+        sets = {i: shingles(texts[i]) for i in {*left.tolist(), *right.tolist()}}
+        own, other = [sets[i] for i in left], [sets[j] for j in right]
+        both = shared_counts(own, other)
+        union = np.array([len(x) for x in own])[:, None] + np.array([len(x) for x in other])[None, :] - both
+        for i, j in np.argwhere(near & (100 * both >= LINK * union)):
+            i, j = left[i], right[j]
+            if root[i] != root[j]:
+                links.append((keys[i], keys[j]))
+                root[root == root[i]] = root[j]
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
@@ -246,7 +282,8 @@ def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
     """Pairs (a < b) that share a band and whose sketches are near, with ``first`` for forest edges; the blocks.
 
     Every row of ``signed`` has its own set. Buckets of over ``block`` rows are cut into blocks; the hubs of the
-    blocks form buckets of their own in the next round, until each bucket is one block.
+    blocks form buckets of their own in the next round (``of_hubs``), until each bucket is one block. Hubs only spare
+    later work: ``left_over`` takes the pairs of all blocks.
     """
     bands = signed.select("__key", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -259,7 +296,7 @@ def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
         rows = rows.join(signed.select("__key", "sketch").hint("merge"), "__key")
         rows = stored(rows.select("bucket", cut.alias("block"), "blocks", "__key", "sketch"), "blocks")
         out = stored(_compared(rows, _blocks, CANDIDATE), "candidates")
-        kept.append(rows)
+        kept.append(rows.withColumn("of_hubs", F.lit(bool(kept))))
         found.append(out.where("a IS NOT NULL").select("a", "b", "first"))
         hubs = out.where("hub IS NOT NULL").select(F.col("hub").alias("__key"), "bucket").distinct()
         if hubs.isEmpty():
@@ -269,14 +306,39 @@ def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
     return union_all(*found).groupBy("a", "b").agg(F.max("first").alias("first")), union_all(*kept)
 
 
-def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that still join two components of a block. Blocks of two have had their only pair confirmed."""
-    rows = blocks.join(roots.hint("merge"), blocks["__key"] == roots.node, "left")
-    rows = rows.select("bucket", "block", "__key", "sketch", F.coalesce("root", "__key").alias("root"))
-    split = rows.groupBy("bucket", "block").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
-    split = split.where("x < y AND n > 2").select("bucket", "block")
-    rows = rows.join(split.hint("merge"), ["bucket", "block"], "left_semi").join(texts.hint("merge"), "__key")
-    return _compared(rows, _across, "u long, v long")
+def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links that still join two components of a bucket. Buckets of two have had their only pair confirmed.
+
+    Rows outside the bucket's largest component are far. A bucket of at most ``block`` rows is one task; in a larger one
+    far and other rows are dealt into groups of half as many, and every two groups with a far one among them are a task.
+    So every pair of a bucket that may join two components meets in one task.
+    """
+    bucket = blocks.join(roots.hint("merge"), blocks["__key"] == roots.node, "left")
+    rows = bucket.select("bucket", "block", "blocks", "__key", "sketch", F.coalesce("root", "__key").alias("root"))
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
+    size, most = F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")
+    sizes = sizes.groupBy("bucket").agg(size, most, F.count("*").alias("roots"), F.max("blocks").alias("blocks"))
+    # one row per block, so that no row of a join meets a whole bucket
+    sizes = sizes.where("roots > 1 AND n > 2").select(
+        "bucket",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.col("most.root").alias("largest"),
+        F.when(F.col("n") <= block, F.lit(0)).otherwise(F.ceil((F.col("n") - F.col("most.n")) * 2 / block)).alias("fars"),
+        F.ceil(F.col("most.n") * 2 / block).alias("others"),
+    )
+    rows = rows.drop("blocks").join(sizes.hint("merge"), ["bucket", "block"])
+    far = F.col("root") != F.col("largest")
+    part = F.pmod(F.xxhash64("__key", "bucket"), F.when(far, F.greatest("fars", F.lit(1))).otherwise(F.col("others")))
+    name = lambda i, j: i * (F.col("fars") + F.col("others")) + j
+    group = F.col("part")
+    # tasks of a far group: itself and each later one, each earlier one, and each group of others; of another: each far group
+    with_far = F.transform(F.sequence(F.lit(0).cast("long"), F.col("fars") - 1), lambda k: name(F.least(k, group), F.greatest(k, group)))
+    with_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: name(group, F.col("fars") + k))
+    from_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("fars") - 1), lambda k: name(k, F.col("fars") + group))
+    tasks = F.when(F.col("fars") == 0, F.array(F.lit(0).cast("long"))).when(F.col("far"), F.concat(with_far, with_others)).otherwise(from_others)
+    dealt = rows.withColumn("far", far).withColumn("part", part)
+    dealt = dealt.select("bucket", F.explode(tasks).alias("block"), "__key", "sketch", "root", "far", "part")
+    return _compared(dealt.join(texts.hint("merge"), "__key"), _across, "u long, v long")
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,7 +378,7 @@ def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Rows with equal sets are one class, met by an aggregate; only its least row goes on. Rows without words have
     no link. Confirmation first takes the forest of each bucket, then the other candidates that still join
-    two components, then what is left inside each block.
+    two components, then every pair of a bucket, also across its blocks, that may join two of what is left.
     """
     signed = stored(signatures(docs), "signatures")
     same = ["n_shingles", "fp1", "fp2"]
@@ -332,7 +394,8 @@ def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs, blocks = candidates(stored(alone, "classes"), block)
     pairs = stored(pairs, "pairs")
     # merge joins throughout: whether a side is small enough to broadcast must not depend on the size of the corpus
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
+    # a row of a cut bucket may have its only partner in another block
+    involved = union_all(pairs.select(F.explode(F.array("a", "b")).alias("__key")), blocks.where("blocks > 1").select("__key")).distinct()
     texts = stored(docs.select("__key", "__text").join(involved.hint("merge"), "__key", "left_semi"), "texts")
     links = stored(confirmed(pairs.where("first").select("a", "b"), texts), "links")
     roots = components(links)
@@ -340,7 +403,7 @@ def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rest = pairs.where("NOT first").join(a, "a", "left").join(b, "b", "left")
     rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     links = union_all(links, stored(confirmed(rest, texts), "links"))
-    links = union_all(links, stored(left_over(blocks, components(links), texts), "links"))
+    links = union_all(links, stored(left_over(blocks.where("NOT of_hubs"), components(links), texts, block), "links"))
     roots = components(union_all(links, copies))
     out = signed.select("__key", "n_shingles").join(roots.hint("merge"), signed["__key"] == roots.node, "left")
     return out.select("__key", "n_shingles", F.coalesce("root", "__key").alias("root"))
