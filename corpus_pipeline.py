@@ -10,6 +10,8 @@ from tonegrid.llm.common import stored, table
 
 #: Not expressible in SQL: sketches, suffix arrays and the packing plan are tested against brute force instead.
 ORACLE_SQL = None
+#: Hundredths of likeness from which the stage takes two documents for near duplicates.
+NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dup.drop_near_duplicates(docs)
+    """One document of each group of near duplicates: four fifths alike or more (op9's own contract is 0.85)."""
+    return near_dup.drop_near_duplicates(docs, link=NEAR)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

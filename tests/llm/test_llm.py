@@ -335,6 +335,16 @@ def test_near_duplicates_across_blocks(spark):
     assert root.count(0) > 450 and [got[i] for i in range(len(root))] == root
 
 
+def test_near_duplicates_thresholds(spark):
+    """A copy 0.82 alike goes in the pipeline's stage and stays in op9."""
+    assert [(near_dup.band_rows(x), near_dup.most_bits(x)) for x in (85, 80)] == [(5, 58), (4, 68)]
+    words = [f"w{i}" for i in range(300)]
+    copy = [f"x{i}" if i % 50 == 20 else w for i, w in enumerate(words)]  # 266 of 326 shingles
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+    assert near_dup.drop_near_duplicates(docs).count() == 2
+
+
 def test_url_parts_and_rules(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/x?q#f"), (2, "https://example.org/en/1"), (3, "x.com/fr/"), (4, None), (5, "http://b.com/fr/?a"), (6, "s://notorg/"), (7, "u://org"), (8, "v://org/a\nb#c"), (9, "w://z.com?/de/")]
     out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,15 +16,13 @@ from .common import partitions, small_batches, stored, table, utf8, with_key
 from .graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
-SAMPLES = BANDS * ROWS
+SAMPLES = 100
 #: Bits of an odd sketch.
 BITS = 512
-#: Links: 100 * intersection >= LINK * union.
+#: Links: 100 * intersection >= link * union. This is the link of op9; other callers give theirs.
 LINK = 85
-#: Two documents at the link threshold differ in at most this many sketch bits but for odds below one in a
-#: million: five standard deviations (0.036 each at 100 samples) under 0.85 is 0.67, and 66 samples that differ set 58 bits.
-MOST_BITS = 58
+#: Odds that two documents at the link threshold share no band are below this.
+MISSED = 1e-5
 #: Documents of a bucket that are compared in one task; larger buckets are cut into blocks joined through their hubs, and
 #: what that leaves apart is compared block by block.
 BLOCK = 1500
@@ -36,6 +35,21 @@ _MASKS = _SEEDS.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def band_rows(link: int) -> int:
+    """Samples of a band: as many as keep the odds of sharing no band under MISSED (5 at 0.85, in 20 bands; 4 at 0.80, in 25)."""
+    return max(r for r in range(1, 11) if r == 1 or (1 - (link / 100) ** r) ** (SAMPLES // r) < MISSED)
+
+
+def most_bits(link: int) -> int:
+    """Two documents at the link threshold differ in at most this many sketch bits but for odds below one in a million.
+
+    At 0.85, five standard deviations (0.036 each at 100 samples) down is 0.67, and the 66 parities of samples that
+    differ set 58 bits; at 0.80 it is 0.60, 80 and 68.
+    """
+    differ = min(SAMPLES, math.ceil(SAMPLES - link + 5 * math.sqrt(SAMPLES * (link / 100) * (1 - link / 100))))
+    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -72,10 +86,12 @@ def odd_sketch(least: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(least: np.ndarray, link: int) -> np.ndarray:
+    size = band_rows(link)
+    bands = SAMPLES // size
+    rows = least[: bands * size].reshape(bands, size)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(size):
         key = mix((key ^ rows[:, k]) * _WORD)
     return key.view(np.int64)
 
@@ -83,7 +99,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 SIGNATURE = "__key long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], link: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, text in zip(batch["__key"], batch["__text"]):
@@ -93,14 +109,14 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             whole = [int(f) for f in (np.bitwise_xor.reduce(mix(values)).view(np.int64), mix(values * _WORD).sum(dtype=np.uint64).view(np.int64))]
             least = samples(values)
-            rows.append((key, len(values), *whole, band_keys(least), odd_sketch(least)))
+            rows.append((key, len(values), *whole, band_keys(least, link), odd_sketch(least)))
         yield pd.DataFrame(rows, columns=["__key", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, link: int = LINK) -> DataFrame:
     """Per row of ``docs`` (__key, __text): set size, set fingerprint, band keys and odd sketch."""
     small_batches(docs.sparkSession)
-    return docs.select("__key", "__text").mapInPandas(_sign, SIGNATURE)
+    return docs.select("__key", "__text").mapInPandas(lambda batches: _sign(batches, link), SIGNATURE)
 
 
 def bits_apart(sketches: np.ndarray) -> np.ndarray:
@@ -112,7 +128,7 @@ def bits_apart(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(apart: np.ndarray, most: int = MOST_BITS) -> tuple[list[tuple[int, int]], np.ndarray]:
+def forest(apart: np.ndarray, most: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Edges of a spanning forest that prefers the most similar pairs (Boruvka rounds), and the tree of each row."""
     n = len(apart)
     tree, edges = np.arange(n), []
@@ -133,7 +149,7 @@ def forest(apart: np.ndarray, most: int = MOST_BITS) -> tuple[list[tuple[int, in
             return edges, tree
 
 
-def proposals(apart: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
+def proposals(apart: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Further pairs worth confirming: a greedy cover by stars (each row with the first hub near it), the two nearest."""
     n = len(apart)
     near = apart <= most
@@ -157,31 +173,32 @@ def proposals(apart: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]
 CANDIDATE = "a long, b long, first boolean, hub long, bucket long"
 
 
-def _block(keys: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+def _block(keys: np.ndarray, sketches: np.ndarray, most: int) -> tuple[list[tuple], np.ndarray]:
     """Candidate pairs of one block, forest edges first, and the rows with most partners."""
     apart = bits_apart(sketches)
-    chosen = {(min(p), max(p)) for p in forest(apart)[0]}
-    rest = {(min(p), max(p)) for p in proposals(apart)} - chosen
+    chosen = {(min(p), max(p)) for p in forest(apart, most)[0]}
+    rest = {(min(p), max(p)) for p in proposals(apart, most)} - chosen
     out = [(keys[i], keys[j], True) for i, j in chosen] + [(keys[i], keys[j], False) for i, j in rest]
-    hubs = np.argsort(-(apart <= MOST_BITS).sum(axis=1), kind="stable")[:HUBS] if len(keys) > HUBS else np.arange(len(keys))
+    hubs = np.argsort(-(apart <= most).sum(axis=1), kind="stable")[:HUBS] if len(keys) > HUBS else np.arange(len(keys))
     return out, keys[hubs]
 
 
-def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def _blocks(rows: pd.DataFrame, link: int) -> pd.DataFrame:
     """Candidates of whole blocks, sorted by (bucket, block, __key); buckets of two are compared all at once."""
+    most = most_bits(link)
     keys, bucket, many = rows["__key"].to_numpy(), rows["bucket"].to_numpy(), rows["blocks"].to_numpy() > 1
     sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
     block = rows["block"].to_numpy()
     starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])])
     sizes = np.diff(np.r_[starts, len(rows)])
     two = starts[sizes == 2]
-    near = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1) <= MOST_BITS
+    near = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1) <= most
     two_pairs = two[near]
     pairs = [(a, b, True) for a, b in zip(keys[two_pairs], keys[two_pairs + 1])]
     hubs: list[tuple] = []
     for at, size in zip(starts, sizes):
         if size > 2:
-            found, central = _block(keys[at : at + size], sketches[at : at + size])
+            found, central = _block(keys[at : at + size], sketches[at : at + size], most)
             pairs += found
         else:
             central = keys[at : at + size]
@@ -218,7 +235,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
+def _across(rows: pd.DataFrame, link: int) -> pd.DataFrame:
     """Links between rows of a task that lie in different components, found on their full sets.
 
     ``far`` rows are held against all near rows of other components; the rest of the task is one component. In a task of
@@ -236,7 +253,7 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         apart = np.zeros((len(left), len(right)), np.uint16)
         for word in sketches.T:
             apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
-        near = (apart <= MOST_BITS) & (root[left][:, None] != root[right][None, :])
+        near = (apart <= most_bits(link)) & (root[left][:, None] != root[right][None, :])
         rows_near, columns_near = near.any(axis=1), near.any(axis=0)
         left, right, near = left[rows_near], right[columns_near], near[np.ix_(rows_near, columns_near)]
         if not len(left):
@@ -246,7 +263,7 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         own, other = [sets[i] for i in left], [sets[j] for j in right]
         both = shared_counts(own, other)
         union = np.array([len(x) for x in own])[:, None] + np.array([len(x) for x in other])[None, :] - both
-        for i, j in np.argwhere(near & (100 * both >= LINK * union)):
+        for i, j in np.argwhere(near & (100 * both >= link * union)):
             i, j = left[i], right[j]
             if root[i] != root[j]:
                 links.append((keys[i], keys[j]))
@@ -278,7 +295,7 @@ def _compared(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sch
     return dealt.mapInPandas(by_block, schema)
 
 
-def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def candidates(signed: DataFrame, block: int = BLOCK, link: int = LINK) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) that share a band and whose sketches are near, with ``first`` for forest edges; the blocks.
 
     Every row of ``signed`` has its own set. Buckets of over ``block`` rows are cut into blocks; the hubs of the
@@ -295,7 +312,7 @@ def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
         cut = F.pmod(F.xxhash64("__key", "bucket"), F.col("blocks"))
         rows = rows.join(signed.select("__key", "sketch").hint("merge"), "__key")
         rows = stored(rows.select("bucket", cut.alias("block"), "blocks", "__key", "sketch"), "blocks")
-        out = stored(_compared(rows, _blocks, CANDIDATE), "candidates")
+        out = stored(_compared(rows, lambda held: _blocks(held, link), CANDIDATE), "candidates")
         kept.append(rows.withColumn("of_hubs", F.lit(bool(kept))))
         found.append(out.where("a IS NOT NULL").select("a", "b", "first"))
         hubs = out.where("hub IS NOT NULL").select(F.col("hub").alias("__key"), "bucket").distinct()
@@ -306,7 +323,7 @@ def candidates(signed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
     return union_all(*found).groupBy("a", "b").agg(F.max("first").alias("first")), union_all(*kept)
 
 
-def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFrame:
     """Links that still join two components of a bucket. Buckets of two have had their only pair confirmed.
 
     Rows outside the bucket's largest component are far. A bucket of at most ``block`` rows is one task; in a larger one
@@ -338,10 +355,10 @@ def left_over(blocks: DataFrame, roots: DataFrame, texts: DataFrame, block: int
     tasks = F.when(F.col("fars") == 0, F.array(F.lit(0).cast("long"))).when(F.col("far"), F.concat(with_far, with_others)).otherwise(from_others)
     dealt = rows.withColumn("far", far).withColumn("part", part)
     dealt = dealt.select("bucket", F.explode(tasks).alias("block"), "__key", "sketch", "root", "far", "part")
-    return _compared(dealt.join(texts.hint("merge"), "__key"), _across, "u long, v long")
+    return _compared(dealt.join(texts.hint("merge"), "__key"), lambda held: _across(held, link), "u long, v long")
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(batches: Iterator[pd.DataFrame], link: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by (a, part, b): first the text of a (b missing), then its partners' texts."""
     left, own = None, None
     for batch in batches:
@@ -353,12 +370,12 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             assert left == a, "the text of a pair's left side is missing"
             other = shingles(text)
             both = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * both >= LINK * (len(own) + len(other) - both):
+            if 100 * both >= link * (len(own) + len(other) - both):
                 out.append((a, b))
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, part: int = 1000) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK, part: int = 1000) -> DataFrame:
     """The pairs (a, b) that are links on their full sets.
 
     Each text travels once per pair it is the right side of; a left side with many partners is repeated
@@ -370,17 +387,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, part: int = 1000) -> DataFrame
     lefts = count.select("a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     left = lefts.join(texts.hint("merge"), lefts.a == texts["__key"]).select("a", "part", F.lit(None).cast("long").alias("b"), "__text")
     rows = union_all(left, right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return rows.mapInPandas(_confirm, "u long, v long")
+    return rows.mapInPandas(lambda batches: _confirm(batches, link), "u long, v long")
 
 
-def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def clustered(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFrame:
     """``(__key, n_shingles, root)`` for every row of ``docs`` (__key, __text): the least key reachable over links.
 
     Rows with equal sets are one class, met by an aggregate; only its least row goes on. Rows without words have
     no link. Confirmation first takes the forest of each bucket, then the other candidates that still join
     two components, then every pair of a bucket, also across its blocks, that may join two of what is left.
     """
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, link), "signatures")
     same = ["n_shingles", "fp1", "fp2"]
     slices = partitions(docs.sparkSession)
     some = signed.where("n_shingles > 0").withColumn("slice", F.pmod(F.xxhash64("__key"), F.lit(slices)))
@@ -391,19 +408,19 @@ def clustered(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     copies = some.join(classes.hint("merge"), [*same, "slice"]).where("__key > least")
     copies = stored(copies.select(F.col("__key").alias("u"), F.col("least").alias("v")), "copies")
     alone = some.join(copies.select(F.col("u").alias("__key")).hint("merge"), "__key", "left_anti").select("__key", "bands", "sketch")
-    pairs, blocks = candidates(stored(alone, "classes"), block)
+    pairs, blocks = candidates(stored(alone, "classes"), block, link)
     pairs = stored(pairs, "pairs")
     # merge joins throughout: whether a side is small enough to broadcast must not depend on the size of the corpus
     # a row of a cut bucket may have its only partner in another block
     involved = union_all(pairs.select(F.explode(F.array("a", "b")).alias("__key")), blocks.where("blocks > 1").select("__key")).distinct()
     texts = stored(docs.select("__key", "__text").join(involved.hint("merge"), "__key", "left_semi"), "texts")
-    links = stored(confirmed(pairs.where("first").select("a", "b"), texts), "links")
+    links = stored(confirmed(pairs.where("first").select("a", "b"), texts, link), "links")
     roots = components(links)
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     rest = pairs.where("NOT first").join(a, "a", "left").join(b, "b", "left")
     rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    links = union_all(links, stored(confirmed(rest, texts), "links"))
-    links = union_all(links, stored(left_over(blocks.where("NOT of_hubs"), components(links), texts, block), "links"))
+    links = union_all(links, stored(confirmed(rest, texts, link), "links"))
+    links = union_all(links, stored(left_over(blocks.where("NOT of_hubs"), components(links), texts, block, link), "links"))
     roots = components(union_all(links, copies))
     out = signed.select("__key", "n_shingles").join(roots.hint("merge"), signed["__key"] == roots.node, "left")
     return out.select("__key", "n_shingles", F.coalesce("root", "__key").alias("root"))
@@ -419,10 +436,10 @@ def near_duplicates(docs: DataFrame, column: str = "text", key: str = "doc_id")
     return keyed.join(groups, "__key")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, the least by (doc_id, text), with its own columns."""
+def drop_near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """One row of each group of near duplicates (``link`` hundredths alike), the least by (doc_id, text), with its own columns."""
     keyed = with_key(docs)
-    groups = clustered(keyed.select("__key", utf8().alias("__text")))
+    groups = clustered(keyed.select("__key", utf8().alias("__text")), link=link)
     kept = groups.where("__key = root").select("__key")
     return keyed.join(kept.hint("merge"), "__key", "left_semi").select(docs.columns)
 
