@@ -247,6 +247,15 @@ def test_html_inference():
     assert html.align(both, a) == html.align(both, b) == both
 
 
+def test_html_raw_elements_end():
+    for raw in ('<svg width="1"/>', "<object data=a />", "<button>x", "<select><option>x<option>y", "<svg><path d=1>", "<canvas>x", "<noscript>", "<iframe src=x>"):
+        for page in (f"<body>{raw}<article><p>one</p><p>two</p></article></body>", f"<body><article><p>one{raw}</p><p>two</p></article><svg></svg></body>"):
+            assert html.extract(page, "<article>") == "one\ntwo", page
+    page = "<article><button>x<p>one</p><button>y</button><select-box>two</select-box><span>t<svg><path></span>hree<svg><title>x</title><svg></svg>y</svg></article>"
+    assert html.extract(page, "<article>") == "one\ntwo\nthree"
+    assert html.extract("<article>one<script>two</article>", "<article>") == "one"
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for _, text in rows:

@@ -14,10 +14,17 @@ from .common import small_batches, table
 from .urls import parts
 
 #: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|iframe|object|svg|canvas|textarea|select|button"
+RAW = frozenset("noscript template iframe object svg canvas textarea select button".split())
+#: A second one inside the first closes it.
+FLAT = frozenset("textarea select button".split())
+#: Where a RAW element without a close tag ends, if not at the close of an element around it.
+BLOCKS = frozenset(
+    "address article aside blockquote body details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html "
+    "li main nav ol p pre section table ul".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style)(?![^\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|(?P<text>[^<]+|<)",
@@ -55,6 +62,45 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                 out.append(("open", name, marks.lower()))
                 if m["rest"].endswith("/") and name not in VOID and name not in INLINE:
                     out.append(("close", name, ""))
+    return without_raw(out)
+
+
+def without_raw(own: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """``own`` without RAW elements. One without its own close tag inside the element around it ends at the next block."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def pop(name: str) -> int:
+        while True:
+            last, at = stack.pop()
+            count[last] -= 1
+            if last == name:
+                return at
+
+    for at, (kind, name, _) in enumerate(own):
+        if kind == "open" and name not in VOID:
+            if name in FLAT and count.get(name):
+                pop(name)
+            stack.append((name, at))
+            count[name] = count.get(name, 0) + 1
+        elif kind == "close" and count.get(name):
+            ends[pop(name)] = at
+    starts = {end: at for at, end in ends.items()}
+    out, at = [], 0
+    while at < len(own):
+        kind, name, _ = own[at]
+        if kind == "text" or name not in RAW:
+            out.append(own[at])
+            at += 1
+        elif kind == "close":
+            at += 1
+        elif at in ends:
+            at = ends[at] + 1
+        else:
+            first, at = at, at + 1
+            while at < len(own) and own[at][1] not in BLOCKS and own[at][1] not in RAW and starts.get(at, first) >= first:
+                at += 1
     return out
 
 
