@@ -247,6 +247,16 @@ def test_html_inference():
     assert html.align(both, a) == html.align(both, b) == both
 
 
+def test_html_regions_hold_no_main_text():
+    main = '<article><div class="article-header"><h1>one</h1></div><p class="notice">two</p><section class="related-work">three</section><div class="social-share">s</div><div class="x comments">c</div></article>'
+    for page in ('<body class="has-sidebar">{}</body>', '<div class="page with-sidebar">{}</div>', '<div class="login-form-page">{}</div>', '<html class=login><body id="search">{}</body></html>', '<div class="widget">{}</div>', "<form>{}</form>"):
+        assert html.extract(page.format(main), "<article>") == "one\ntwo\nthree", page
+    # a teaser in a region is not the main text where there is one outside
+    assert html.extract(f"<nav><article>teaser</article></nav>{main}<aside><article>teaser</article></aside>", "<article>") == "one\ntwo\nthree"
+    page = '<main id="post-with-comments"><p>one</p><div id="comments">c</div></main>'
+    assert html.extract(page, '<main id=post-with-comments>') == "one"
+
+
 def test_html_raw_elements_end():
     for raw in ('<svg width="1"/>', "<object data=a />", "<button>x", "<select><option>x<option>y", "<svg><path d=1>", "<canvas>x", "<noscript>", "<iframe src=x>"):
         for page in (f"<body>{raw}<article><p>one</p><p>two</p></article></body>", f"<body><article><p>one{raw}</p><p>two</p></article><svg></svg></body>"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,7 +37,9 @@ INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kb
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Regions that are not main text wherever they stand.
 ASIDE = frozenset("nav footer aside form head dialog menu".split())
-#: Words of class, id or role that mark such a region.
+#: Elements that are the page, its main text, or a piece of text; no class, id or role makes them such a region.
+TEXTUAL = frozenset("html body main article p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th".split()) | INLINE
+#: Words of class, id or role that mark such a region, where one of these consists of them.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies "
     "consent disqus footer form header login menu nav navbar navigation newsletter notice notices notification popup "
@@ -170,13 +173,50 @@ def main_element(wrapper: list[str]) -> str:
 
 
 def aside(name: str, marks: str) -> bool:
-    return name in ASIDE or bool(marks) and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", marks))
+    """Whether an element is no main text: by its name, or where a whole class, id or role says so, word for word."""
+    if name in ASIDE:
+        return True
+    if not marks or name in TEXTUAL:
+        return False
+    whole = [re.findall(r"[a-z]+", mark.removeprefix("class=").removeprefix("id=").removeprefix("role=")) for mark in marks.split()]
+    return any(words and ASIDE_WORDS.issuperset(words) for words in whole)
+
+
+def tag(name: str, marks: str) -> str:
+    return f"<{name}{' ' + marks if marks else ''}>"
+
+
+def regions(own: list[tuple[str, str, str]], main: str, held: bool = False) -> Iterator[tuple[str, str, str]]:
+    """``own`` with every region that is no main text as one ("aside", name, marks).
+
+    The main element is none, and with ``held`` nothing before it is, as it may be around it.
+    """
+    skipped, depth = "", 0
+    for kind, name, value in own:
+        if skipped:
+            if name == skipped:
+                depth += (kind == "open") - (kind == "close")
+            if depth == 0 or (name in ("body", "html", "article", "main") and kind == "close" and skipped not in ("article", "main")):
+                skipped = ""
+                if depth:
+                    depth = 0
+                else:
+                    continue
+            else:
+                continue
+        if kind == "open" and tag(name, value) == main:
+            held = False
+        elif kind == "open" and not held and name not in VOID and aside(name, value):
+            yield "aside", name, value
+            skipped, depth = name, 1
+            continue
+        yield kind, name, value
 
 
 def extract(page: str, main: str) -> str:
     """Blocks of the host's main element, or of the best element that this page has instead, joined by line ends."""
     own = tokens(page)
-    opens = {f"<{name}{' ' + value if value else ''}>" for kind, name, value in own if kind == "open"}
+    opens = {tag(name, value) for kind, name, value in own if kind == "open"}
     if main not in opens:
         main = main_element([t for t in stream(page)])
     blocks: list[str] = []
@@ -192,25 +232,14 @@ def extract(page: str, main: str) -> str:
     inside = 0 if main in opens else 1
     everywhere = bool(inside)
     wanted = main[1:-1].split(" ")[0]
-    skipped, depth = "", 0
-    for kind, name, value in own:
-        if skipped:
-            if name == skipped:
-                depth += (kind == "open") - (kind == "close")
-            if depth == 0 or (name in ("body", "html", "article", "main") and kind == "close" and skipped not in ("article", "main")):
-                skipped = ""
-                if depth:
-                    depth = 0
-                else:
-                    continue
-            else:
-                continue
-        if kind == "open" and not inside and f"<{name}{' ' + value if value else ''}>" == main:
+    # an element around every main element of the page is no region to leave out
+    held = main in opens and not any(kind == "open" and tag(name, value) == main for kind, name, value in regions(own, main))
+    for kind, name, value in regions(own, main, held):
+        if kind == "open" and not inside and tag(name, value) == main:
             inside = 1
             continue
-        if kind == "open" and name not in VOID and aside(name, value):
+        if kind == "aside":
             end()
-            skipped, depth = name, 1
             continue
         if not inside:
             continue
