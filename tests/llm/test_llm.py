@@ -191,6 +191,22 @@ def test_quality_verdicts(spark, docs, empty):
     assert quality.filter_documents(docs).columns == docs.columns and quality.filter_documents(empty).count() == 0
 
 
+def test_quality_limits_hold_in_junk_sources(spark):
+    rng = random.Random(8)
+
+    def text(kind):
+        if kind == "lines":
+            return "\n".join(rng.choices([f"line{i}" for i in range(10)], k=40))
+        return (" " if kind == "good" else "### ").join(f"word{rng.randint(0, 999)}" for _ in range(40))
+
+    rows = []
+    for source, junk, share, n in [("a", "symbols", 0, 120), ("b", "symbols", 0, 120), ("c", "symbols", 0, 120), ("s30", "symbols", 30, 400), ("s90", "symbols", 90, 900), ("d40", "lines", 40, 200)]:
+        rows += [(kind, text(kind), "en", source) for kind in (junk if 100 * i < share * n else "good" for i in range(n))]
+    table = spark.createDataFrame(rows, "kind string, text string, lang string, source string")
+    kept = quality.filter_documents(table).groupBy("kind").count().collect()
+    assert [tuple(r) for r in kept] == [("good", sum(r[0] == "good" for r in rows))]
+
+
 def test_quality_sketch_merges_exactly(spark):
     values = spark.range(5000).select(F.lit("g").alias("g"), F.expr("(id * 7919) % 100003").alias("symbol_rate"), F.col("id").alias("dup_line_rate"), F.col("id").alias("word_length"))
     whole = quality.sketches(values, ["g"])

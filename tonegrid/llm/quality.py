@@ -122,7 +122,12 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(rates: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Limits per (lang, source); small groups take those of the language, and these those of all rows."""
+    """Limits per (lang, source); small groups take those of the language, and these those of all rows.
+
+    A group that is junk by a quarter would set its own limit beyond the junk. So no upper limit of a one-sided rate
+    lies above the median of the limits of its language's groups, nor of all groups: each group of ``group_rows`` counts
+    once, so that a hot source moves it no further than a small one. Word lengths differ by language and have no such bound.
+    """
     finest = sketches(rates, ["lang", "source"])
     by_lang = merged(finest, ["lang"])
     all_rows = fences(merged(by_lang, []), [])
@@ -130,11 +135,17 @@ def thresholds(rates: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     own = fences(finest, ["lang", "source"])
     lang = fences(by_lang, ["lang"]).select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"__l_{c}") for c in ("rows", *limits)])
     whole = all_rows.select(*[F.col(c).alias(f"__a_{c}") for c in limits])  # a single row
+    medians = lambda p: [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(p + c) for c in bounded]
+    bounded = [f"high_{name}" for name, *_, lower in RATES if not lower]
+    typical = own.where(F.col("rows") >= group_rows)
+    in_lang = typical.groupBy(F.col("lang").alias("__typical_lang")).agg(*medians("__tl_"))
     out = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(whole), how="left")
+    out = out.join(in_lang, F.col("lang").eqNullSafe(F.col("__typical_lang")), "left").join(F.broadcast(typical.agg(*medians("__ta_"))), how="left")
 
     def limit(c: str) -> Column:
         coarser = F.when(F.col("__l_rows") >= group_rows, F.col(f"__l_{c}")).otherwise(F.col(f"__a_{c}"))
-        return F.when(F.col("rows") >= group_rows, F.col(c)).otherwise(coarser).alias(c)
+        out = F.when(F.col("rows") >= group_rows, F.col(c)).otherwise(coarser)
+        return (F.least(out, f"__tl_{c}", f"__ta_{c}") if c in bounded else out).cast("long").alias(c)
 
     return out.select("lang", "source", *[limit(c) for c in limits])
 
