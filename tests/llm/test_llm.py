@@ -405,6 +405,18 @@ def test_url_trees_learn_held_out(spark):
     assert out.where("label = __method").count() / 1200 > 0.95
 
 
+def test_url_sample_is_bounded(spark, monkeypatch):
+    """A URL that most labelled rows repeat is one row of the sample."""
+    hot = spark.range(3000).select(F.lit("http://h.com/").alias("url"), F.lit("h.com").alias("host"))
+    rest = spark.range(2000).select(F.format_string("http://h%d.com/", "id").alias("url"), F.format_string("h%d.com", "id").alias("host"))
+    label = F.when(F.xxhash64("url") % 3 == 0, "block").otherwise("allow")
+    drawn = []
+    lexical = urls.lexical
+    monkeypatch.setattr(urls, "lexical", lambda df: drawn.append(df.count()) or lexical(df))
+    urls.UrlModel(hot.union(rest).select("url", "host", F.lit("/").alias("path"), label.alias("label")), sample=500, trees=1)
+    assert 350 < drawn[0] < 650
+
+
 def test_pipeline_stages(spark, docs, empty):
     import os
     import tempfile

@@ -17,7 +17,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: Labelled URLs that the trees are fitted on: about so many, drawn by hash from all.
+#: Distinct labelled URLs that the trees are fitted on: about so many, drawn by hash from all.
 SAMPLE = 50_000
 FEATURES = ("length", "host_length", "host_parts", "depth", "digits", "entropy", "params", "hyphens", "suffix_rate")
 
@@ -85,18 +85,20 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 4):
         spark = labelled.sparkSession
-        total = labelled.count()
+        # distinct URLs are drawn, so that one that many rows repeat is one row of that weight
+        total = labelled.agg(F.approx_count_distinct("url")).first()[0]
         part = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))
         drawn = labelled.where(part).select("url", "host", "path", (F.col("label") == "block").cast("double").alias("y"))
+        drawn = drawn.groupBy("url", "host", "path", "y").agg(F.count("*").cast("double").alias("__rows"))
         rows = lexical(drawn).coalesce(8)
-        rates = [(r["__suffix"], r["s"], r["n"]) for r in rows.groupBy("__suffix").agg(F.sum("y").alias("s"), F.count("*").alias("n")).collect()]
+        rates = [(r["__suffix"], r["s"], r["n"]) for r in rows.groupBy("__suffix").agg(F.sum(F.col("y") * F.col("__rows")).alias("s"), F.sum("__rows").alias("n")).collect()]
         blocked, n = sum(r[1] for r in rates), sum(r[2] for r in rates)
         self.prior = (blocked + 1) / (n + 2)
         self.rates = spark.createDataFrame([(s, (b + 2 * self.prior) / (m + 2)) for s, b, m in rates], "__suffix string, suffix_rate double")
         self.constant = "block" if n and blocked == n else "allow" if blocked == 0 else None
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
         if self.constant is None:
-            fit = GBTClassifier(featuresCol="__features", labelCol="y", predictionCol="__block", maxIter=trees, maxDepth=depth, seed=1)
+            fit = GBTClassifier(featuresCol="__features", labelCol="y", weightCol="__rows", predictionCol="__block", maxIter=trees, maxDepth=depth, seed=1)
             self.model = fit.fit(self._vectors(rows))
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
