@@ -29,60 +29,105 @@ PIECES = T.StructType(
 _END = np.array([END], "<u4").tobytes()
 
 
-#: The tokenizer's own split, for lower-case ASCII; "<|" may begin a special string and stays whole.
-_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Latin letters beyond ASCII; the one whose lower case is two characters is not among them.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: The tokenizer's own split, for text in these letters whose ASCII is in lower case.
+_WORDS = re.compile(f"[a-z{_LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9{_LATIN}]+")
+#: Whatever else may compose, change its class or begin a special string: such a run stays whole.
+_ODD = re.compile(f"[^\\x21-\\x7f{_LATIN}]|<\\|")
+
+
+def _shown() -> dict[int, str]:
+    """Byte-level tokenizers write a byte that Latin-1 prints as that character, the others as U+0100 onwards."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SHOWN = _shown()
 
 
 def words(run: bytes) -> list[bytes]:
-    """Parts of a run that the tokenizer encodes independently: fewer different ones than runs."""
-    return _WORDS.findall(run.lower()) if run.isascii() and b"<|" not in run else [run]
+    """Parts of a run without white space that the tokenizer encodes independently of each other."""
+    low = run.lower().decode("utf-8")  # ASCII letters only; the tokenizer lower-cases the others
+    return [run] if _ODD.search(low) else [w.encode("utf-8") for w in _WORDS.findall(low)]
 
 
-class Runs(dict):
-    """Ids of runs of text as bytes; unknown runs are encoded together. Starts anew when it holds ``limit`` runs."""
+class Ids:
+    """Ids of runs of text and of their words. A generation is bounded in bytes; when it is full, the one before is forgotten.
 
-    def __init__(self, tokenizer_file: str, limit: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+    What is in use moves on to the new generation, so frequent words are encoded once. Runs of over ``LONG`` bytes are not
+    kept.
+    """
+
+    LONG, SPARE = 256, 250
 
-    def of(self, runs: list[bytes]) -> list[bytes]:
-        new = {run for run in runs if run not in self}
+    def __init__(self, tokenizer_file: str, limit: int = 96 << 20):
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+        self.model = self.tokenizer.model
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def of(self, text: bytes) -> bytes:
+        runs = text.split()  # bytes split at ASCII white space only
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = self._missing(set(runs))
         if new:
-            if len(self) + 2 * len(new) > self.limit:
-                self.clear()
-                new = set(runs)
             cut = {run: words(run) for run in new}
-            unknown = list({w for own in cut.values() for w in own if w not in self})
-            for at in range(0, len(unknown), 4096):
-                part = unknown[at : at + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-                self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-            self.update((run, b"".join([self[w] for w in own])) for run, own in cut.items() if own != [run])
-        return [self[run] for run in runs]
+            self._keep(self._encoded(self._missing({w for own in cut.values() for w in own})))
+            self._keep({run: b"".join([self.young[w] for w in own]) for run, own in cut.items() if own != [run]})
+        out = b"".join(map(self.young.__getitem__, runs))
+        if new:
+            for run in {run for run in new.union(*cut.values()) if len(run) > self.LONG}:
+                self.size -= len(run) + len(self.young.pop(run)) + self.SPARE
+        return out
+
+    def _missing(self, keys: set[bytes]) -> set[bytes]:
+        new = keys.difference(self.young)
+        self._keep({key: self.old[key] for key in new if key in self.old})
+        return new.difference(self.young)
+
+    def _keep(self, found: dict[bytes, bytes]) -> None:
+        self.young.update(found)
+        self.size += sum(len(key) + len(ids) + self.SPARE for key, ids in found.items())
+
+    def _encoded(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        """Ids from the tokenizer's model for a word, from the whole tokenizer for a run that is not cut."""
+        out = {}
+        for run in unknown:
+            text = run.decode("utf-8")
+            if _ODD.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in self.model.tokenize(text.lower().encode("utf-8").decode("latin-1").translate(_SHOWN))]
+            out[run] = np.array(ids, "<u4").tobytes()
+        return out
 
 
-_MEMOS: dict[str, Runs] = {}
+_MEMOS: dict[str, Ids] = {}
 
 
-def _remembered(tokenizer_file: str) -> Runs:
+def _remembered(tokenizer_file: str) -> Ids:
     """One memory per worker process, kept from task to task."""
     if tokenizer_file not in _MEMOS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _MEMOS[tokenizer_file] = Runs(tokenizer_file)
+        _MEMOS[tokenizer_file] = Ids(tokenizer_file)
     return _MEMOS[tokenizer_file]
 
 
 def tokenized(text: Column, tokenizer_file: str, capacity: int = CAPACITY, ids: bool = False) -> Column:
     """Pieces of a UTF-8 text: lengths and CRC-32 of their ids, or with ``ids`` the ids of the whole document.
 
-    The tokenizer works inside runs between ASCII white space (no token, composition or special string spans it), so each
-    distinct run is encoded once per worker and its ids are joined.
+    The tokenizer works inside runs between ASCII white space, and inside the words of a run (no token, composition or
+    special string spans them), so each distinct word is encoded once per worker, as long as it is remembered.
     """
 
     def joined(values: pd.Series) -> Iterator[bytes]:
         memo = _remembered(tokenizer_file)
         for value in values:
-            yield b"".join(memo.of(value.split())) + _END
+            yield memo.of(value) + _END
 
     if ids:
 
