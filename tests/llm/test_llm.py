@@ -115,6 +115,29 @@ def test_special_strings_are_encoded_as_the_tokenizer_does(spark):
     assert ids == [*Tokenizer.from_file(BPE).encode(rows.first().text, add_special_tokens=False).ids, 1]
 
 
+def test_runs_are_cut_as_the_tokenizer_does():
+    """Random strings of letters, marks, blanks, composing and special characters; a memory that forgets all the time."""
+    real, rng = Tokenizer.from_file(BPE), random.Random(1)
+    memo = packing.Ids(BPE, limit=20_000)
+    alphabet = list("aAbsStTrReEvVmMlLdD'’.,;!?-_*#<|>1 2\t\n") + ["é", "É", "ß", "ñ", "ſ", "ŉ", "Ǆ", "ĳ", "÷", "×", "“", "…", "–", "²", "ª", "µ", "İ", "ı", "Σ", "ς"]
+    alphabet += ["國", "\u0301", "\u0338", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "\u200b", "K", "😀", "ﬁ", "'s", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "École"]
+    for _ in range(5000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 14)))
+        assert np.frombuffer(memo.of(text.encode()), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text
+
+
+def test_memory_of_runs_is_bounded_in_bytes():
+    """Text without a blank, and many long runs: the memory stays below its two generations."""
+    real = Tokenizer.from_file(BPE)
+    memo = packing.Ids(BPE, limit=200_000)
+    long = "ab.c1" * 200_000  # 1 MB, one run
+    assert np.frombuffer(memo.of(long.encode()), "<u4").tolist() == real.encode(long, add_special_tokens=False).ids
+    for i in range(200):
+        memo.of(" ".join(f"{i}-{k}-" + "x" * 100 for k in range(50)).encode())
+    held = sum(len(k) + len(v) for part in (memo.young, memo.old) for k, v in part.items())
+    assert held < 2 * 200_000 + 50_000 and max(map(len, memo.young)) <= memo.LONG
+
+
 def test_sharding(docs, empty):
     out = sharding.shard_documents(docs).toPandas()
     assert len(out) == docs.count() and (out["size"] >= 1).all()
@@ -207,6 +230,48 @@ def test_quality_limits_hold_in_junk_sources(spark):
     assert [tuple(r) for r in kept] == [("good", sum(r[0] == "good" for r in rows))]
 
 
+def test_quality_keeps_honest_sources(spark):
+    """A source that is symbol-rich throughout, narrowly or widely, keeps its documents; so does one with long words."""
+    rng = random.Random(9)
+
+    def text(share):
+        return " ".join(rng.choice(["#", "|", "{}$"]) if rng.random() < share else f"word{rng.randint(0, 999)}" for _ in range(200))
+
+    rows = [(text(0.0), "en", f"plain{i % 3}") for i in range(450)]
+    rows += [(text(0.4), "en", "narrow") for _ in range(150)]
+    rows += [(text(0.4 * rng.random()), "en", "wide") for _ in range(400)]
+    table = spark.createDataFrame(rows, "text string, lang string, source string")
+    kept = {r.source: r["count"] for r in quality.filter_documents(table).groupBy("source").count().collect()}
+    assert kept == {"plain0": 150, "plain1": 150, "plain2": 150, "narrow": 150, "wide": 400}
+
+
+def test_quality_ties_repeats_and_clashes(spark):
+    """Values equal to a limit pass; repeated rows share a verdict; columns named like measures stay; long texts are whole."""
+    fine = " ".join(f"word{i}" for i in range(40))
+    rows = [(fine, "en", "s", 7, "m")] * 300 + [("#" * 3000, "en", "s", 8, "m")] * 5 + [(" ".join(f"x{i}" for i in range(400_000)), "en", "s", 9, "m")]
+    table = spark.createDataFrame(rows, "text string, lang string, source string, n_words long, symbol_rate string")
+    out = quality.filter_documents(table)
+    assert out.columns == table.columns and {r.n_words: r["count"] for r in out.groupBy("n_words").count().collect()} == {7: 300, 9: 1}
+    narrow = quality.measured(table)
+    limits = quality.limits_of(narrow)
+    high = limits.first().high_symbol_rate
+    assert high == 60
+    edge = spark.createDataFrame([("a" * 47 + " " + "b c d e f g h i " + "#" * 4 + "j", n) for n in (1, 2)], "text string, n long")
+    edge = quality.measured(edge.selectExpr("text", "'en' lang", "'s' source"))
+    assert {r["__m"].n_symbols * 1000 // r["__m"].word_chars for r in edge.collect()} == {66}
+    exact = limits.withColumn("high_symbol_rate", F.lit(66).cast("long")).withColumn("low_word_length", F.lit(0).cast("long"))
+    assert [r["__kept"] for r in quality.judged(edge, exact).collect()] == [True, True]
+    assert [r["__kept"] for r in quality.judged(edge, exact.withColumn("high_symbol_rate", F.lit(65).cast("long"))).collect()] == [False, False]
+
+
+def test_quality_measures_once(spark, docs):
+    """The pipeline's stage reads stored measures: no Python, and no text, goes with the verdict by language and source."""
+    plan = corpus_pipeline.quality_rules(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    for line in plan.splitlines():
+        assert not ("Exchange hashpartitioning(" in line and "source" in line and "text" in line)
+
+
 def test_quality_sketch_merges_exactly(spark):
     values = spark.range(5000).select(F.lit("g").alias("g"), F.expr("(id * 7919) % 100003").alias("symbol_rate"), F.col("id").alias("dup_line_rate"), F.col("id").alias("word_length"))
     whole = quality.sketches(values, ["g"])

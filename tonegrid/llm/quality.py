@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import small_side
 from .common import small_batches, stored, table, utf8
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,6 +24,8 @@ RATES = (
 )
 #: Fences lie this many spreads (interquartile ranges, at least the rate's own) beyond the quartiles.
 FENCE = 3
+#: Percents below the lower quartile from which an upper limit starts to climb.
+CLIMB = (5, 10)
 #: A group with fewer documents takes the thresholds of its language, then of all documents.
 GROUP_ROWS = 100
 
@@ -102,64 +105,66 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     """One row per group: its document count and ``low_``/``high_`` limits for every rate.
 
+    An upper limit of a one-sided rate climbs the quantiles of the group: from each, the next must lie within FENCE spreads
+    of what has been passed. A group whose documents are of one kind, symbol-rich or not, is climbed to the upper quartile and
+    gets its fence. In a group that is junk by 30 or 90 % the next quantile lies beyond a gap: the limit stays below it.
+
     The window holds the buckets of one group and rate: at most 256 plus 128 per further bit, whatever the data.
     """
     group = W.partitionBy(*by, "rate")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
 
     def quantile(percent: int) -> Column:
-        return F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("value")))
+        return F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("value"))).alias(f"q{percent}")
 
-    quartiles = ranked.groupBy(*by, "rate").agg(quantile(25).alias("q1"), quantile(75).alias("q3"), F.max("all").alias("rows"))
+    steps = (0, *CLIMB, 25, 50, 75)
+    quantiles = ranked.groupBy(*by, "rate").agg(*[quantile(p) for p in steps], F.max("all").alias("rows"))
     parts = [F.max("rows").alias("rows")]
     for name, _, _, least, lower in RATES:
-        spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        fence = lambda a, b: FENCE * F.greatest(F.col(f"q{b}") - F.col(f"q{a}"), F.lit(least))  # noqa: B023, E731
+        high = F.col("q75") + fence(25, 75)
+        if not lower:
+            for last, step in reversed(list(zip(steps[1:], steps[2:]))):
+                stop = F.col(f"q{last}") + fence(0, last)
+                high = F.when(F.col(f"q{step}") > stop, stop).otherwise(high)
         here = F.col("rate") == name
-        parts.append(F.max(F.when(here, F.col("q3") + spread)).alias(f"high_{name}"))
+        parts.append(F.max(F.when(here, high)).alias(f"high_{name}"))
         if lower:
-            parts.append(F.max(F.when(here, F.col("q1") - spread)).alias(f"low_{name}"))
-    return quartiles.groupBy(*by).agg(*parts)
+            parts.append(F.max(F.when(here, F.col("q25") - fence(25, 75))).alias(f"low_{name}"))
+    return quantiles.groupBy(*by).agg(*parts)
 
 
 def thresholds(rates: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Limits per (lang, source); small groups take those of the language, and these those of all rows.
-
-    A group that is junk by a quarter would set its own limit beyond the junk. So no upper limit of a one-sided rate
-    lies above the median of the limits of its language's groups, nor of all groups: each group of ``group_rows`` counts
-    once, so that a hot source moves it no further than a small one. Word lengths differ by language and have no such bound.
-    """
+    """Limits per (lang, source), from its own sketch; small groups take those of the language, and these those of all rows."""
     finest = sketches(rates, ["lang", "source"])
     by_lang = merged(finest, ["lang"])
-    all_rows = fences(merged(by_lang, []), [])
-    limits = [c for c in all_rows.columns if c != "rows"]
+    whole = fences(merged(by_lang, []), [])
+    limits = [c for c in whole.columns if c != "rows"]
     own = fences(finest, ["lang", "source"])
     lang = fences(by_lang, ["lang"]).select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"__l_{c}") for c in ("rows", *limits)])
-    whole = all_rows.select(*[F.col(c).alias(f"__a_{c}") for c in limits])  # a single row
-    medians = lambda p: [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(p + c) for c in bounded]
-    bounded = [f"high_{name}" for name, *_, lower in RATES if not lower]
-    typical = own.where(F.col("rows") >= group_rows)
-    in_lang = typical.groupBy(F.col("lang").alias("__typical_lang")).agg(*medians("__tl_"))
-    out = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(whole), how="left")
-    out = out.join(in_lang, F.col("lang").eqNullSafe(F.col("__typical_lang")), "left").join(F.broadcast(typical.agg(*medians("__ta_"))), how="left")
+    last = whole.first()  # a single row
+    out = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
 
     def limit(c: str) -> Column:
-        coarser = F.when(F.col("__l_rows") >= group_rows, F.col(f"__l_{c}")).otherwise(F.col(f"__a_{c}"))
-        out = F.when(F.col("rows") >= group_rows, F.col(c)).otherwise(coarser)
-        return (F.least(out, f"__tl_{c}", f"__ta_{c}") if c in bounded else out).cast("long").alias(c)
+        coarser = F.when(F.col("__l_rows") >= group_rows, F.col(f"__l_{c}")).otherwise(F.lit(last[c]))
+        return F.when(F.col("rows") >= group_rows, F.col(c)).otherwise(coarser).cast("long").alias(c)
 
     return out.select("lang", "source", *[limit(c) for c in limits])
 
 
-def judged(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Measured documents with ``__kept``: they pass the base rule and every limit of their language and source.
+def limits_of(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The stored limits of measured rows; those that fail the base rule do not shape them."""
+    rates = rows.where("NOT __failed").select("lang", "source", "__m")
+    rates = rates.select("lang", "source", *[rate(f"__m.{over}", f"__m.{under}").alias(name) for name, over, under, *_ in RATES])
+    return stored(thresholds(rates, group_rows), "limits")
+
+
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Measured rows with ``__kept``: they pass the base rule and every limit of their language and source.
 
-    The base rule's failures do not shape the limits. A missing ``lang`` or ``source`` is a group of its own.
-    Repeated rows count as often as they occur and get the same verdict. An empty table gives an empty one.
+    A value equal to a limit passes. A missing ``lang`` or ``source`` is a group of its own. Repeated rows count as
+    often as they occur and get the same verdict. An empty table gives an empty one.
     """
-    rates = docs
-    for name, over, under, _, _ in RATES:
-        rates = rates.withColumn(name, rate(f"__m.{over}", f"__m.{under}"))
-    limits = thresholds(rates.where("NOT __failed").select("lang", "source", *[r[0] for r in RATES]), group_rows)
     named = limits.select(*[F.col(c).alias(f"__t_{c}") for c in limits.columns])
     both = F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source"))
     passes = ~F.col("__failed")
@@ -168,22 +173,25 @@ def judged(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         passes &= F.coalesce(value <= F.col(f"__t_high_{name}"), F.lit(True))
         if lower:
             passes &= F.coalesce(value >= F.col(f"__t_low_{name}"), F.lit(True))
-    joined = docs.join(named, both, "left")
-    return joined.withColumn("__kept", passes).drop(*named.columns)
+    return rows.join(small_side(named), both, "left").withColumn("__kept", passes).drop(*named.columns)
 
 
 def filter_documents(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
+    """The rows of ``docs`` that are kept, with their own columns; columns named like a measure stay as they are.
 
-    Texts are measured twice, once for the limits and once for the verdict; they are neither stored nor
-    shuffled unless the table of limits is too large to broadcast. Columns named like a measure stay as they are.
+    Each text is measured once, into a stored table that holds it with its measures and a row number. Verdicts come from
+    the narrow columns of that table and go back by row number, so no text is dealt out by language or source. A text of any
+    length is measured whole; NULL and empty ones fail the base rule.
     """
-    return judged(measured(docs), group_rows).where("__kept").select(docs.columns)
+    whole = stored(measured(docs).withColumn("__row", F.monotonically_increasing_id()), "measured")
+    narrow = whole.select("__row", "lang", "source", "__m", "__failed")
+    kept = judged(narrow, limits_of(narrow, group_rows)).where("__kept").select("__row")
+    return whole.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     narrow = stored(measured(docs).drop("text"), "measures")
-    out = judged(narrow)
+    out = judged(narrow, limits_of(narrow))
     base = [F.col(f"__m.{name}").alias(name) for name in MEASURES if name != "n_lines"]
     return out.select("doc_id", *base, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
