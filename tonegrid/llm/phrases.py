@@ -24,8 +24,10 @@ from ..session import union_all
 from .common import partitions, small_batches, stored, table, utf8
 from .near_dup import mix
 
-#: Places of a block, and groups that are counted in one bucket on average.
-BLOCK, BUCKET = 1 << 21, 1 << 21
+#: Places of a block.
+BLOCK = 1 << 21
+#: Bytes of text for one more bucket, in which groups are counted, and for one more task.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 #: Bytes of a text whose words are cut at once; words of a row.
 SLICE, ROW = 1 << 20, 1 << 14
 
@@ -50,9 +52,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<i8")
 
 
-def frame(schema: str, *values) -> pd.DataFrame:
-    """One row of the schema's columns."""
-    return pd.DataFrame([values], columns=[field.split()[0] for field in schema.split(", ")], dtype=object)
+def frames(schema: str, rows: Iterator[tuple], size: int = 64) -> Iterator[pd.DataFrame]:
+    """Rows of the schema's columns, some at a time."""
+    columns = [field.split()[0] for field in schema.split(", ")]
+    while some := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(some, columns=columns, dtype=object)
+
+
+def runs(values: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """The parts of ``order`` in which ``values`` are equal."""
+    if len(order):
+        yield from np.split(order, np.flatnonzero(np.diff(values[order])) + 1)
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -65,26 +75,30 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-RELATION = "block long, mask binary, refs binary, lang string, word array<binary>, ref array<long>, n array<long>"
+RELATION = "block long, mask binary, refs binary, bucket long, lang string, words binary, ref binary, n binary, count long"
 
 
-def _words(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """The relation of single words in blocks, by numbers inside the block; and what the numbers mean, with counts."""
+def _words(batches: Iterator[pd.DataFrame], size: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """The relation of single words in blocks, by numbers inside the block; and by bucket what they mean, with counts."""
     number = TaskContext.get().partitionId() << 32
     names: dict = {}
     held: list[np.ndarray] = []
     count, places = itertools.count(1), 0
 
-    def flush() -> Iterator[pd.DataFrame]:
+    def flush() -> Iterator[tuple]:
         refs = np.concatenate(held)
-        yield frame(RELATION, number, None, packed(refs), None, None, None, None)
+        yield number, None, packed(refs), *[None] * 6
         times = np.bincount(refs)
         for lang, own in names.items():
             del own[MARK]
-            words = list(own.items())
-            for at in range(0, len(words), ROW):
-                word, ref = zip(*words[at : at + ROW])
-                yield frame(RELATION, number, None, None, lang, list(word), list(ref), times[list(ref)].tolist())
+            words = list(own)
+            ref = np.fromiter(own.values(), np.int64, len(words))
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for some in runs(bucket, order):
+                n = times[ref[some]]
+                joined = b" ".join([words[i] for i in some])
+                yield number, None, None, int(bucket[some[0]]), lang, joined, packed(ref[some]), packed(n), int(n.sum())
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
@@ -98,16 +112,52 @@ def _words(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
             held.append(np.zeros(1, np.int64))
             places += 1
             if places >= size:
-                yield from flush()
+                yield from frames(RELATION, flush())
                 names, held, count, places, number = {}, [], itertools.count(1), 0, number + 1
     if held:
-        yield from flush()
+        yield from frames(RELATION, flush())
+
+
+SINGLES = "block long, at array<long>, got array<long>, lang string, id array<long>, word array<binary>, f array<long>"
+
+
+def _count_words(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (bucket, lang): the frequent words of a bucket, numbered, and which words of each block are they."""
+    name, held, next_id = None, [], 0
+
+    def done() -> Iterator[tuple]:
+        nonlocal next_id
+        total: dict[bytes, int] = defaultdict(int)
+        for _, words, _, n in held:
+            for word, times in zip(words, n):
+                total[word] += times
+        often = [word for word, times in total.items() if times >= least]
+        ids = {word: (name[0] << 32) + next_id + i for i, word in enumerate(often)}
+        next_id += len(often)
+        for low in range(0, len(often), ROW):
+            some = often[low : low + ROW]
+            yield -1, None, None, name[1], [ids[w] for w in some], some, [total[w] for w in some]
+        for block, words, ref, _ in held:
+            hit = [(at, ids[word]) for word, at in zip(words, ref) if word in ids]
+            if hit:
+                yield block, *map(list, zip(*hit)), None, None, None, None
+
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if (row.bucket, row.lang) != name:
+                if held:
+                    yield from frames(SINGLES, done())
+                next_id = 0 if name is None or row.bucket != name[0] else next_id
+                name, held = (int(row.bucket), row.lang), []
+            held.append((row.block, row.words.split(b" "), unpacked(row.ref).tolist(), unpacked(row.n).tolist()))
+    if held:
+        yield from frames(SINGLES, done())
 
 
 PAIRS = "block long, mask binary, refs binary, bucket long, base long, x binary, y binary, n binary"
 
 
-def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
+def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Merge-join of a block's relation with itself at the adjacent place: its pairs by bucket, and where they are."""
     near = np.flatnonzero(places[1:] == places[:-1] + 1)
     if not len(near):
@@ -121,12 +171,11 @@ def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> I
     place[order] = np.arange(len(order))
     mask = np.zeros(int(places[near[-1]]) + 1, bool)
     mask[places[near]] = True
-    yield frame(PAIRS, block, zlib.compress(np.packbits(mask).tobytes(), 1), packed(place[refs]), None, None, None, None, None)
-    own = bucket[order]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    for low, high in zip(starts, np.r_[starts[1:], len(own)]):
-        some = order[low:high]
-        yield frame(PAIRS, block, None, None, int(own[low]), int(low), packed(x[some]), packed(y[some]), packed(n[some]))
+    yield block, zlib.compress(np.packbits(mask).tobytes(), 1), packed(place[refs]), *[None] * 5
+    base = 0
+    for some in runs(bucket, order):
+        yield block, None, None, int(bucket[some[0]]), base, packed(x[some]), packed(y[some]), packed(n[some])
+        base += len(some)
 
 
 def _semi_join(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
@@ -143,7 +192,7 @@ def _semi_join(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Dat
         found = np.full(int(refs.max()) + 1, -1, np.int64)
         found[at] = got
         ids = found[refs]
-        yield from extended(block, places[ids >= 0], ids[ids >= 0], buckets)
+        yield from frames(PAIRS, extended(block, places[ids >= 0], ids[ids >= 0], buckets), 16)
 
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -164,7 +213,7 @@ def _count(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
     """Rows sorted by (bucket, block): the frequent pairs of a bucket, numbered, and which pairs of each block are they."""
     bucket, held = None, []
 
-    def done() -> Iterator[pd.DataFrame]:
+    def done() -> Iterator[tuple]:
         sides = [np.concatenate([h[k] for h in held]) for k in (2, 3, 4)]
         (known_x, x), (known_y, y) = (np.unique(side, return_inverse=True) for side in sides[:2])
         codes, at = np.unique(x * len(known_y) + y, return_inverse=True)
@@ -177,50 +226,52 @@ def _count(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
         chosen = codes[often]
         level = (ids[often], known_x[chosen // len(known_y)], known_y[chosen % len(known_y)], sums[often])
         for low in range(0, len(chosen), ROW):
-            yield frame(GROUPS, -1, None, None, *[v[low : low + ROW].tolist() for v in level])
+            yield -1, None, None, *[v[low : low + ROW].tolist() for v in level]
         got, low = ids[at], 0
         for block, base, own, *_ in held:
             some = got[low : low + len(own)]
             low += len(own)
             hit = np.flatnonzero(some >= 0)
             if len(hit):
-                yield frame(GROUPS, block, (hit + base).tolist(), some[hit].tolist(), None, None, None, None)
+                yield block, (hit + base).tolist(), some[hit].tolist(), None, None, None, None
 
     for batch in batches:
         for row in batch.itertuples(index=False):
             if row.bucket != bucket:
                 if held:
-                    yield from done()
+                    yield from frames(GROUPS, done())
                 bucket, held = int(row.bucket), []
             held.append((row.block, int(row.base), *[unpacked(v) for v in (row.x, row.y, row.n)]))
     if held:
-        yield from done()
+        yield from frames(GROUPS, done())
 
 
 def frequent(docs: DataFrame, least: int, longest: int, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """Words per language ``(lang, n)``; per length the phrases found ``least`` times or more, from the pair tables (id, x, y, f)."""
     spark = docs.sparkSession
-    small_batches(spark)
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), utf8().alias("text"))
-    relation = stored(text.mapInPandas(lambda batches: _words(batches, block), RELATION), "words")
-    words = relation.where("lang IS NOT NULL")
-    total = stored(words.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, v: s + v)).alias("n")), "totals")
-    buckets = max(partitions(spark), -(-(total.agg(F.sum("n")).first()[0] or 0) // BUCKET))
-    rows = words.select("block", "lang", F.explode(F.arrays_zip("word", "ref", "n")).alias("w")).select("block", "lang", "w.*")
-    level = rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    level = stored(level.withColumn("id", F.monotonically_increasing_id()), "level")
-    replies = rows.join(level.hint("merge"), ["lang", "word"]).groupBy("block", F.floor(F.col("ref") / ROW).alias("r"))
-    replies = replies.agg(F.collect_list("ref").alias("at"), F.collect_list("id").alias("got"))
-    phrases = level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # numbers that grow with the input; given outright, they are not merged again by the size of what is packed
+    buckets, tasks = (max(partitions(spark), size // share) for share in (BUCKET_BYTES, TASK_BYTES))
+    small_batches(spark)
+    relation = stored(text.mapInPandas(lambda batches: _words(batches, block, buckets), RELATION), "words")
+    chunks = relation.where("bucket IS NOT NULL")
+    total = stored(chunks.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
+    small_batches(spark, rows=64, mb=8)
+    chunks = chunks.select("block", "bucket", "lang", "words", "ref", "n").repartition(tasks, "bucket").sortWithinPartitions("bucket", "lang")
+    found = stored(chunks.mapInPandas(lambda batches: _count_words(batches, least), SINGLES), "singles")
+    replies = found.where("block >= 0")
+    phrases = found.where("block < 0").select("lang", F.explode(F.arrays_zip("id", "word", "f")).alias("g")).select("lang", "g.*")
+    phrases = phrases.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = [phrases]
     for length in range(2, longest + 1):
         bodies = relation.where("refs IS NOT NULL").select("block", "mask", "refs", F.lit(0).alias("kind"))
         both = bodies.unionByName(replies.select("block", "at", "got", F.lit(1).alias("kind")), allowMissingColumns=True)
-        dealt = both.repartition("block").sortWithinPartitions("block", "kind")
-        small_batches(spark, rows=16, mb=32)
+        dealt = both.repartition(tasks, "block").sortWithinPartitions("block", "kind")
+        small_batches(spark, rows=16, mb=8)
         relation = stored(dealt.mapInPandas(lambda batches: _semi_join(batches, buckets), PAIRS), "pairs")
         chunks = relation.where("bucket IS NOT NULL").select("block", "bucket", "base", "x", "y", "n")
-        found = chunks.repartition("bucket").sortWithinPartitions("bucket", "block")
+        found = chunks.repartition(tasks, "bucket").sortWithinPartitions("bucket", "block")
         found = stored(found.mapInPandas(lambda batches: _count(batches, least), GROUPS), "groups")
         pairs = found.where("block < 0").select(F.explode(F.arrays_zip("id", "x", "y", "f")).alias("g")).select("g.*")
         replies = found.where("block >= 0")
