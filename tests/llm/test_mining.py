@@ -85,6 +85,8 @@ def test_exact_arithmetic_passes_64_bits(spark):
 def test_packed_arrays():
     for values in ([], [0], [0, 255, 256, 2**40, 2**62], list(range(1000))):
         assert phrases.unpacked(phrases.packed(np.array(values, np.int64))).tolist() == values
+    for refs in ([], [0], [1], [0, 1, 2, 0, 2, 1, 3, 0, 0, 4, 1], [1, 1, 2]):
+        assert phrases.renumbered(phrases.numbered(np.array(refs, np.int64))).tolist() == refs
 
 
 VECTORS = "vec_id long, embedding array<float>, query_id long, rank int, score double"

@@ -26,6 +26,8 @@ from .near_dup import mix
 
 #: Places of a block.
 BLOCK = 1 << 21
+#: Compression of arrays.
+LEVEL = 5
 #: Bytes of text for one more bucket, in which groups are counted, and for one more task.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 #: Bytes of a text whose words are cut at once; words of a row.
@@ -41,7 +43,7 @@ def packed(values: np.ndarray) -> bytes:
     """An array as its bytes of one rank after those of another, compressed."""
     wide = np.ascontiguousarray(values.astype("<i8"))
     size = max(1, -(-int(wide.max()).bit_length() // 8)) if len(wide) else 1
-    return bytes([size]) + zlib.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes(), 1)
+    return bytes([size]) + zlib.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes(), LEVEL)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -52,6 +54,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<i8")
 
 
+def numbered(refs: np.ndarray) -> bytes:
+    """Numbers given from 1 on in order of appearance, 0 for a border, packed: a number's first place says only that it is new."""
+    new = np.r_[refs[:1] > 0, refs[1:] > np.maximum.accumulate(refs)[:-1]]
+    return packed(np.where(new, 1, np.where(refs > 0, refs + 1, 0)))
+
+
+def renumbered(data: bytes) -> np.ndarray:
+    codes = unpacked(data)
+    return np.where(codes == 1, np.cumsum(codes == 1), np.maximum(codes - 1, 0))
+
+
 def frames(schema: str, rows: Iterator[tuple], size: int = 64) -> Iterator[pd.DataFrame]:
     """Rows of the schema's columns, some at a time."""
     columns = [field.split()[0] for field in schema.split(", ")]
@@ -87,7 +100,7 @@ def _words(batches: Iterator[pd.DataFrame], size: int, buckets: int) -> Iterator
 
     def flush() -> Iterator[tuple]:
         refs = np.concatenate(held)
-        yield number, None, packed(refs), *[None] * 6
+        yield number, None, numbered(refs), *[None] * 6
         times = np.bincount(refs)
         for lang, own in names.items():
             del own[MARK]
@@ -154,40 +167,52 @@ def _count_words(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
         yield from frames(SINGLES, done())
 
 
-PAIRS = "block long, mask binary, refs binary, bucket long, base long, x binary, y binary, n binary"
+PAIRS = "block long, mask binary, refs binary, known binary, bucket long, base long, x binary, y binary, n binary"
 
 
-def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Merge-join of a block's relation with itself at the adjacent place: its pairs by bucket, and where they are."""
+def adjacent(places: np.ndarray, ids: np.ndarray, buckets: int):
+    """Merge-join of a relation with itself at the adjacent place.
+
+    Where pairs begin, the number of each one's pair, and the pairs by number: bucket, x, y, n. Numbers follow the buckets.
+    """
     near = np.flatnonzero(places[1:] == places[:-1] + 1)
-    if not len(near):
-        return
     known, at = np.unique(ids, return_inverse=True)
     codes, refs, n = np.unique(at[near] * len(known) + at[near + 1], return_inverse=True, return_counts=True)
-    x, y = known[codes // len(known)], known[codes % len(known)]
+    x, y = known[codes // max(1, len(known))], known[codes % max(1, len(known))]
     bucket = (mix(mix(x.view(np.uint64)) + y.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    mask = np.zeros(int(places[near[-1]]) + 1, bool)
-    mask[places[near]] = True
-    yield block, zlib.compress(np.packbits(mask).tobytes(), 1), packed(place[refs]), *[None] * 5
-    base = 0
-    for some in runs(bucket, order):
-        yield block, None, None, int(bucket[some[0]]), base, packed(x[some]), packed(y[some]), packed(n[some])
-        base += len(some)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return places[near], number[refs], bucket[order], x[order], y[order], n[order]
+
+
+def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """A block's relation, and the pairs of its adjacent places by bucket."""
+    _, refs, bucket, x, y, n = adjacent(places, ids, buckets)
+    if not len(refs):
+        return
+    known, at = np.unique(ids, return_inverse=True)
+    mask = np.zeros(int(places[-1]) + 1, bool)
+    mask[places] = True
+    yield block, zlib.compress(np.packbits(mask).tobytes(), LEVEL), packed(at), packed(known), *[None] * 5
+    for some in runs(bucket, np.arange(len(bucket))):
+        yield block, None, None, None, int(bucket[some[0]]), int(some[0]), packed(x[some]), packed(y[some]), packed(n[some])
 
 
 def _semi_join(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (block, kind): a block's relation, then the groups of it that are frequent; extended by a word."""
+    """Rows sorted by (block, kind): a block's relation, then which of its words or pairs are frequent; extended by a word."""
     block, body, replies = None, None, []
 
     def done() -> Iterator[pd.DataFrame]:
         if body is None or not replies:
             return
-        mask, refs = body
-        refs = unpacked(refs)
-        places = np.arange(len(refs)) if mask is None else np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(mask), np.uint8)))
+        mask, refs, known = body
+        if mask is None:
+            refs = renumbered(refs)
+            places = np.arange(len(refs))
+        else:
+            places = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(mask), np.uint8)))
+            places, refs, *_ = adjacent(places, unpacked(known)[unpacked(refs)], buckets)
         at, got = (np.concatenate(parts) for parts in zip(*replies))
         found = np.full(int(refs.max()) + 1, -1, np.int64)
         found[at] = got
@@ -200,7 +225,7 @@ def _semi_join(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Dat
                 yield from done()
                 block, body, replies = row.block, None, []
             if row.kind == 0:
-                body = row.mask, row.refs
+                body = row.mask, row.refs, row.known
             else:
                 replies.append((np.asarray(row.at, np.int64), np.asarray(row.got, np.int64)))
     yield from done()
@@ -263,9 +288,10 @@ def frequent(docs: DataFrame, least: int, longest: int, block: int = BLOCK) -> t
     replies = found.where("block >= 0")
     phrases = found.where("block < 0").select("lang", F.explode(F.arrays_zip("id", "word", "f")).alias("g")).select("lang", "g.*")
     phrases = phrases.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    levels = [phrases]
+    levels, known = [phrases], [F.lit(None).cast("binary").alias("known")]
     for length in range(2, longest + 1):
-        bodies = relation.where("refs IS NOT NULL").select("block", "mask", "refs", F.lit(0).alias("kind"))
+        bodies = relation.where("refs IS NOT NULL").select("block", "mask", "refs", *known, F.lit(0).alias("kind"))
+        known = ["known"]
         both = bodies.unionByName(replies.select("block", "at", "got", F.lit(1).alias("kind")), allowMissingColumns=True)
         dealt = both.repartition(tasks, "block").sortWithinPartitions("block", "kind")
         small_batches(spark, rows=16, mb=8)
