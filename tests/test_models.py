@@ -70,7 +70,7 @@ def test_naive_bayes_against_formulas(train, features, corpus_rows, kind, bound,
 
 
 def test_naive_bayes_agrees_with_spark_ml(train):
-    words = classifiers.vocabulary(train, None)
+    words = sorted({w for r in train.collect() for w in r.tokens})
     rows = classifiers.vectorizer(words).transform(classifiers.numeric_label(train))
     ml = NaiveBayes(smoothing=1.0).fit(rows).transform(rows).select("doc_id", F.col("prediction").alias("ml"))
     ours = nb.fit(train).transform(train)

@@ -12,12 +12,9 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import NEG, POS, materialize, union_all
+from ..session import NEG, POS, materialize
 from .corpus import project
-from .skew import hot_keys, split_join
-
-# A weight table of at most this many rows is broadcast (some 60 MB).
-BROADCAST_ROWS = 1_000_000
+from .presence import BROADCAST_ROWS, weight_sums
 
 MULTINOMIAL, BERNOULLI = "multinomial", "bernoulli"
 
@@ -56,28 +53,14 @@ class NaiveBayesTable:
         """The columns of ``docs`` with ``s_pos, s_neg`` in place of ``tokens``, for documents without
         features too. Those columns must identify the row.
 
-        Explode keeps a document in its task, so partial aggregation leaves one narrow row per
-        document to shuffle. A weight table of counted small size is broadcast; beyond that, common
-        features are answered from a bounded broadcast and the rest by a join Spark picks.
+        The joins are those of ``presence.weight_sums``.
         """
         keys = [c for c in docs.columns if c != "tokens"]
-        words = F.array_distinct("tokens")
-        if self.size <= BROADCAST_ROWS:
-            rows = docs.select(*keys, F.explode_outer(words).alias("feature"))
-            x = rows.join(F.broadcast(self.weights()), "feature", "left")
-        else:
-            rows = docs.select(*keys, F.explode(words).alias("feature"))
-            # frequent in the corpus that is scored, seen in training or not
-            hot = hot_keys(rows.groupBy("feature").agg(F.count("*").alias("n"))).select("feature")
-            x = split_join(rows, self.weights(), "feature", hot)
-            none = F.lit(None).cast("double")
-            every = docs.select(*keys, none.alias("w_pos"), none.alias("w_neg"))
-            x = union_all(x.select(*keys, "w_pos", "w_neg"), every)
-        sums = x.groupBy(*keys).agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("q"))
+        sums = weight_sums(docs, self.weights(), ["w_pos", "w_neg"], self.size, BROADCAST_ROWS)
         return sums.select(
             *keys,
-            (F.coalesce("p", F.lit(0.0)) + self.bias[0]).alias("s_pos"),
-            (F.coalesce("q", F.lit(0.0)) + self.bias[1]).alias("s_neg"),
+            (F.coalesce("w_pos", F.lit(0.0)) + self.bias[0]).alias("s_pos"),
+            (F.coalesce("w_neg", F.lit(0.0)) + self.bias[1]).alias("s_neg"),
         )
 
     def transform(self, docs: DataFrame) -> DataFrame:

@@ -18,17 +18,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_rows
 from ..operators import naive_bayes as nb
+from ..operators.skew import within
 from ..operators.vectors import sentence_vectors
 from ..session import POS, materialize
+from . import linear
 from .training import training_rows
 
-# Linear models keep one coefficient per word on the driver and in every task.
-MAX_VOCABULARY = 1 << 22
+# A selection of at most this many words is fitted by Spark ML, which keeps one coefficient per word on the driver; a larger
+# one, and all words of a corpus, by the table form.
+MAX_VOCABULARY = 1 << 20
 
 # Stopping tolerances customary for linear and for kernel support vector machines.
 LINEAR_TOLERANCE = 1e-4
 KERNEL_TOLERANCE = 1e-3
 
+# A table fit ends when the gradient has this share of its first length.
+SLOPE = 1e-3
+# Or when a step improves the loss by less than this share.
+GAIN = 1e-5
+
 RANDOM_FEATURES = 256
 NU = 0.5
 NU_GRID = (1e-4, 1e-3, 1e-2, 1e-1)
@@ -38,16 +46,14 @@ def numeric_label(docs: DataFrame) -> DataFrame:
     return docs.withColumn("label", (F.col("label") == POS).cast("double"))
 
 
-def vocabulary(docs: DataFrame, features: DataFrame | None) -> list[str]:
-    """Selected single words by rank, or all words of the corpus; more than the bound is an error."""
-    if features is None:
-        words = token_rows(docs).select(F.col("token").alias("w")).distinct().withColumn("rank", F.lit(0))
-    else:
-        words = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("w"), "rank")
-    rows = words.limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"linear models take at most {MAX_VOCABULARY} words; select features or use naive Bayes")
-    return [r.w for r in sorted(rows, key=lambda r: (r["rank"], r.w))]
+def selected_words(features: DataFrame) -> DataFrame:
+    """``(word, rank)`` of the single words of a selection."""
+    return features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("word"), "rank")
+
+
+def vocabulary(features: DataFrame) -> list[str]:
+    """Selected single words by rank. The caller has made sure that the selection is small."""
+    return [r.word for r in sorted(selected_words(features).collect(), key=lambda r: (r["rank"], r.word))]
 
 
 def vectorizer(words: list[str]) -> CountVectorizerModel:
@@ -139,9 +145,26 @@ class NaiveBayesModel:
         _write_meta(t.counts.sparkSession, f"{path}/meta", meta)
 
 
+@dataclass
+class TableModel:
+    """A linear model over a word table, with the meta data of its saved form."""
+
+    model: linear.TableLinearModel
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        return self.model.transform(docs)
+
+    def save(self, path: str) -> None:
+        m = self.model
+        m.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        _write_meta(m.weights.sparkSession, f"{path}/meta", {"shape": "table", "bias": m.bias, "size": m.size, "report": m.report})
+
+
 def load(spark: SparkSession, path: str):
     """Read any saved classifier."""
     meta = read_meta(spark, path)
+    if meta["shape"] == "table":
+        return TableModel(linear.TableLinearModel(spark.read.parquet(f"{path}/weights"), meta["bias"], meta["size"], meta["report"]))
     if meta["shape"] == "presence":
         return PresenceModel(PipelineModel.load(f"{path}/pipeline"))
     if meta["shape"] == "fourier":
@@ -177,9 +200,12 @@ def linear_svm(n: int) -> LinearSVC:
     return LinearSVC(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, tol=LINEAR_TOLERANCE)
 
 
-def _fit_linear(estimator):
-    def fit(docs: DataFrame, features: DataFrame | None) -> PresenceModel:
-        return fit_presence(estimator, docs, vocabulary(docs, features))
+def _fit_linear(estimator, loss: str):
+    def fit(docs: DataFrame, features: DataFrame | None) -> PresenceModel | TableModel:
+        if features is not None and within(selected_words(features), MAX_VOCABULARY):
+            return fit_presence(estimator, docs, vocabulary(features))
+        words = None if features is None else selected_words(features).select("word")
+        return TableModel(linear.fit_linear(docs, words, loss, tolerance=SLOPE, gain=GAIN))
 
     return fit
 
@@ -232,11 +258,11 @@ def fit_nu_svm(
 # Factories: every call fits anew.
 CLASSIFIERS = {
     "SVC": fit_kernel_svm,
-    "LinearSVC": _fit_linear(linear_svm),
+    "LinearSVC": _fit_linear(linear_svm, "hinge"),
     "NuSVC": fit_nu_svm,
     "MultinomialNB": _fit_naive_bayes(nb.MULTINOMIAL),
     "BernoulliNB": _fit_naive_bayes(nb.BERNOULLI),
-    "LogisticRegression": _fit_linear(logistic),
+    "LogisticRegression": _fit_linear(logistic, "logistic"),
 }
 
 

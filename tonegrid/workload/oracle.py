@@ -279,6 +279,10 @@ ORACLE = {
     "best_feature_count": sql(
         f"SELECT {AUC} AS auc_hard, k FROM series ORDER BY 1 DESC, k LIMIT 1", "docs", "bags", "top", "fcounts", "sizes",
         extra=SWEEP_MNB | {"says": SAYS_MNB, "series": PARTS["series"]}),
+    "all_words_lr": sql(
+        """SELECT (SELECT count(*) FROM all_counts) AS n_words, (dp + dn)::BIGINT AS n_docs, true AS converged,
+        round(sqrt(sum(((n_pos - n_neg) / (2 * (dp + dn))) ** 2) + any_value(((dp - dn) / (2 * (dp + dn))) ** 2)), 6) AS first_gradient
+        FROM all_counts, sizes GROUP BY dp, dn""", "all_counts", "sizes"),
     "features_roundtrip": sql("SELECT feature, rank, 'selected' AS source FROM selected", "selected"),
     "model_roundtrip": """SELECT model, count(*) AS n, count(*) AS same FROM labels SEMI JOIN documents USING (doc_id),
         (SELECT unnest(['MultinomialNB', 'LogisticRegression', 'SVC']) AS model) GROUP BY model""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text
 from ..operators import association, corpus, counts, evaluate, segment, split, vectors
 from ..operators import naive_bayes as nb
-from ..plans import classifiers, dense, sweeps
+from ..plans import classifiers, dense, linear, sweeps
 from ..plans.selection import select_features
 from ..plans.sentiment import SentimentModel, VectorSentimentModel
 from ..session import materialize, scratch_path, tune
@@ -430,6 +430,17 @@ def model_compare(spark, sf):
     return sweeps.compare(docs, docs)
 
 
+@query
+def all_words_lr(spark, sf):
+    """Logistic regression on every word: its gradient is measured again from the word table, at the start and at the end."""
+    docs = t.labelled(spark, sf)
+    model = linear.fit_linear(docs, tolerance=1e-3)
+    n, first = docs.count(), model.report["first"]
+    last = linear.gradient_length(model, docs, 1.0 / n)
+    row = [(model.size, n, round(first, 6), last <= 1.001e-3 * first)]
+    return spark.createDataFrame(row, "n_words long, n_docs long, first_gradient double, converged boolean")
+
+
 @query
 def lr_feature_sweep(spark, sf):
     docs = materialize(split.positional_split(t.labelled(spark, sf), 0.9, 42))
