@@ -267,9 +267,13 @@ def test_quality_ties_repeats_and_clashes(spark):
 def test_quality_measures_once(spark, docs):
     """The pipeline's stage reads stored measures: no Python, and no text, goes with the verdict by language and source."""
     plan = corpus_pipeline.quality_rules(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" not in plan
+    assert "ArrowEvalPython" not in plan and "Exchange hashpartitioning(" not in plan
+    far = quality.filter_documents(docs, broadcast_rows=0)
+    plan = far._jdf.queryExecution().executedPlan().toString()
     for line in plan.splitlines():
         assert not ("Exchange hashpartitioning(" in line and "source" in line and "text" in line)
+    near = corpus_pipeline.quality_rules(spark, docs, "")
+    assert sorted(map(str, far.collect())) == sorted(map(str, near.collect()))
 
 
 def test_quality_sketch_merges_exactly(spark):

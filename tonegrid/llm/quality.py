@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.skew import small_side
+from ..operators.skew import small_side, within
 from .common import small_batches, stored, table, utf8
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -173,25 +173,28 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
         passes &= F.coalesce(value <= F.col(f"__t_high_{name}"), F.lit(True))
         if lower:
             passes &= F.coalesce(value >= F.col(f"__t_low_{name}"), F.lit(True))
-    return rows.join(small_side(named), both, "left").withColumn("__kept", passes).drop(*named.columns)
+    return rows.join(named, both, "left").withColumn("__kept", passes).drop(*named.columns)
 
 
-def filter_documents(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def filter_documents(docs: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; columns named like a measure stay as they are.
 
-    Each text is measured once, into a stored table that holds it with its measures and a row number. Verdicts come from
-    the narrow columns of that table and go back by row number, so no text is dealt out by language or source. A text of any
-    length is measured whole; NULL and empty ones fail the base rule.
+    Each text is measured once, into a stored table that holds it with its measures and a row number. Limits of at most
+    ``broadcast_rows`` groups are sent to the rows, so no text is dealt out; more meet the narrow columns of the table,
+    and the verdicts go back by row number. A text of any length is measured whole; NULL and empty ones fail the base rule.
     """
     whole = stored(measured(docs).withColumn("__row", F.monotonically_increasing_id()), "measured")
     narrow = whole.select("__row", "lang", "source", "__m", "__failed")
-    kept = judged(narrow, limits_of(narrow, group_rows)).where("__kept").select("__row")
+    limits = limits_of(narrow, group_rows)
+    if within(limits, broadcast_rows):
+        return judged(whole, F.broadcast(limits)).where("__kept").select(docs.columns)
+    kept = judged(narrow, limits.hint("merge")).where("__kept").select("__row")
     return whole.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     narrow = stored(measured(docs).drop("text"), "measures")
-    out = judged(narrow, limits_of(narrow))
+    out = judged(narrow, small_side(limits_of(narrow)))
     base = [F.col(f"__m.{name}").alias(name) for name in MEASURES if name != "n_lines"]
     return out.select("doc_id", *base, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
