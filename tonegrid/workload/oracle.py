@@ -165,6 +165,8 @@ ORACLE = {
     "corpus_tokens": sql("SELECT doc_id, label, pos, token FROM ltoks", "ltoks"),
     "json_corpus_roundtrip": sql("SELECT doc_id, label, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS words FROM docs", "docs"),
     "json_array_corpus": sql("SELECT label, array_to_string(tokens, ' ') AS words, count(*) AS n FROM docs GROUP BY ALL", "docs"),
+    "json_two_files": sql(
+        "SELECT label, array_to_string(tokens, ' ') AS words, count(*) AS n, count(*) AS n_ids FROM docs GROUP BY ALL", "docs"),
     "csv_vector_scan": """SELECT (label < 5)::INT::DOUBLE AS label, generate_subscripts(embedding, 1) - 1 AS dim,
         unnest(embedding)::DOUBLE AS value FROM embeddings""",
     "stopword_antijoin": sql(

@@ -15,6 +15,7 @@ from ..plans.selection import select_features
 from ..plans.sentiment import SentimentModel, VectorSentimentModel
 from ..session import materialize, scratch_path, tune
 from ..sources import artefacts, corpora
+from ..sources.json_arrays import read_json_arrays
 from ..streaming.scoring import score_stream
 from . import tables as t
 
@@ -62,6 +63,18 @@ def json_array_corpus(spark, sf):
     return corpus.stack(*parts).groupBy("label", words).agg(F.count("*").alias("n"))
 
 
+@query
+def json_two_files(spark, sf):
+    """Both classes as JSON arrays, read by byte range: unique ids over all files."""
+    docs, paths = t.labelled(spark, sf), {}
+    for label in ("pos", "neg"):
+        paths[label] = scratch_path(spark, label)
+        docs.where(F.col("label") == label).select(F.to_json(F.array("tokens")).alias("value")).write.text(paths[label])
+    rows = read_json_arrays(spark, paths)
+    words = F.array_join("tokens", " ").alias("words")
+    return rows.groupBy("label", words).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_ids"))
+
+
 @query
 def csv_vector_scan(spark, sf):
     rows = t.table(spark, sf, "embeddings")
