@@ -19,9 +19,11 @@ def table(spark):
 
 
 @pytest.mark.parametrize("block", [4096, 3])
-def test_nearest_words_against_brute_force(table, monkeypatch, block):
+@pytest.mark.parametrize("part", [1 << 14, 9])
+def test_nearest_words_against_brute_force(table, monkeypatch, block, part):
     rows, df = table
     monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "PART_WORDS", part)
     queries = [r for r in rows if r[0] in ("w000", "w005", "w017", "same1", "zero")]
     got = vectors.nearest_words(df.where(F.col("word").isin(*[q[0] for q in queries])), df, 10)
     got = {(r["query"], r["rank"]): (r.word, r.cosine) for r in got.collect()}
@@ -40,6 +42,33 @@ def test_nearest_words_against_brute_force(table, monkeypatch, block):
     assert got["w000", 1] == ("same1", 1.0) and got["w000", 2] == ("same2", 1.0)
 
 
+def test_nearest_words_of_nothing(spark, table):
+    _, df = table
+    assert vectors.nearest_words(df.limit(0), df).count() == 0 == vectors.nearest_words(df.where("word = 'w000'"), df.limit(0)).count()
+    assert vectors.nearest_words(df.where("word = 'zero'"), df).count() == 0
+
+
+def test_lsh_finds_most_of_the_nearest(table):
+    _, df = table
+    exact = vectors.nearest_words(df, df, 5)
+    near = vectors.recall(vectors.nearest_words_lsh(df, df, 5, 5, bits=3, bands=24), exact).first()
+    far = vectors.recall(vectors.nearest_words_lsh(df, df, 5, 5, bits=12, bands=1), exact).first()
+    assert near.n_queries == 122 and near.n_exact == 610 and near.recall >= 0.95 > 0.5 > far.recall > 0
+    both = vectors.nearest_words_lsh(df, df, 5, 5, bits=1, bands=16).select("query", "word", "cosine", "rank")
+    assert sorted(map(tuple, both.collect())) == sorted((r["query"], r.word, r.cosine, r["rank"]) for r in exact.collect())
+
+
+def test_pair_queries_by_hand(spark):
+    rows = [("a", [2.0, 0.0]), ("b", [0.0, 5.0]), ("c", [1.0, 1.1]), ("d", [1.0, -1.0]), ("e", [3.0, 3.0]), ("z", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "word string, vec array<double>")
+    features = spark.createDataFrame([(["a", "b"], 1), (["d"], 2), (["a", "z"], 3), (["a", "none"], 4)], "feature array<string>, rank int")
+    queries = {r.word: (r.vec, r.excluded) for r in vectors.pair_queries(features.where(F.size("feature") == 2), df).collect()}
+    assert queries == {"a b": ([0.5, 0.5], ["a", "b"])}
+    got = {tuple(r.feature): (r["rank"], r.source) for r in vectors.expand_features(features, df, 1, pairs=True).collect()}
+    assert got == {("a", "b"): (1, "selected"), ("e",): (1, "expanded"), ("d",): (2, "selected"), ("a",): (2, "expanded"),
+                   ("a", "z"): (3, "selected"), ("a", "none"): (4, "selected")}
+
+
 def test_sentence_vectors_both_ways(spark, docs):
     rows = [("good", [1.0, 0.5]), ("bad", [-1.0, 0.25])]
     df = spark.createDataFrame(rows, "word string, vec array<float>")

@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import dot
 from ..functions.text import token_rows
-from ..session import union_all
+from ..session import materialize, union_all
 from .counts import word_freq
 from .skew import hot_keys, small_side, split_join, within
 
-# Query vectors shipped to the tasks at a time (400-wide doubles: 13 MB).
-QUERY_BLOCK = 4096
+# Query vectors of a row (400-wide doubles: 0.8 MB), and vocabulary words that meet them in one task (52 MB).
+QUERY_BLOCK = 256
+PART_WORDS = 1 << 14
 # A vector table of at most this many numbers is broadcast (64 MB of doubles).
 BROADCAST_CELLS = 8_000_000
 
@@ -56,81 +58,150 @@ def _first(n: int, q: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndar
     return q[keep], s[order][keep], w[order][keep]
 
 
-def _block_top(queries: list[str], matrix: np.ndarray, n: int, digits: int):
-    """Arrow task: best ``n`` words of this partition for each query, by rounded cosine, ties by word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.empty(0, np.int64), np.empty(0), np.empty(0, str)
-        own: dict[str, list[int]] = {}
-        for q, name in enumerate(queries):
-            own.setdefault(name, []).append(q)
-        for batch in batches:
-            words = np.array(batch.column("word").to_pylist(), dtype=object)
-            if not len(words):
+def _blocked(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Unit query vectors as blocks of one row; zero and NULL vectors ask for nothing."""
+    for batch in batches:
+        batch = batch[batch["vec"].notna()]
+        for at in range(0, len(batch), size):
+            rows = batch.iloc[at : at + size]
+            matrix = np.stack([np.asarray(v, np.float64) for v in rows["vec"]])
+            norms = np.linalg.norm(matrix, axis=1)
+            rows, unit = rows[norms > 0], matrix[norms > 0] / norms[norms > 0][:, None]
+            if len(rows):
+                one = (rows["word"].tolist(), [list(x) for x in rows["excluded"]], unit.tobytes())
+                yield pd.DataFrame([one], columns=["queries", "excluded", "unit"])
+
+
+def _part_top(batches: Iterator[pd.DataFrame], n: int, digits: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (part, kind): the words of a part, then the blocks of queries that meet it; the best ``n`` of each."""
+    part, held, words, table = None, [], None, None
+    for batch in batches:
+        out = []
+        for number, kind, word, vec, queries, excluded, unit in batch[_COLUMNS].itertuples(index=False):
+            if number != part:
+                part, held, table = number, [], None
+            if kind == 0:
+                held.append((word, np.asarray(vec, np.float64)))
+                continue
+            if not held:
                 continue
-            values = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            table = values.reshape(len(words), -1)
-            norms = np.linalg.norm(table, axis=1)
-            sims = np.round((table @ matrix.T) / np.where(norms == 0.0, np.nan, norms)[:, None], digits)
-            sims = np.where(np.isnan(sims), -np.inf, sims)
-            for i, word in enumerate(words):
-                sims[i, own.get(word, [])] = -np.inf
+            if table is None:
+                words = np.array([w for w, _ in held], dtype=str)
+                table = np.stack([v for _, v in held])
+                norms = np.linalg.norm(table, axis=1)
+                table = table / np.where(norms == 0.0, np.nan, norms)[:, None]
+                own: dict[str, list[int]] = {}
+                for i, w in enumerate(words.tolist()):
+                    own.setdefault(w, []).append(i)
+            sims = np.round(table @ np.frombuffer(unit, np.float64).reshape(len(queries), -1).T, digits)
+            sims[np.isnan(sims)] = -np.inf
+            for q, names in enumerate(excluded):
+                for name in names:
+                    sims[own.get(name, []), q] = -np.inf
             cut = np.partition(sims, len(words) - n, axis=0)[len(words) - n] if len(words) > n else -np.inf
             i, q = np.nonzero((sims >= cut) & (sims > -np.inf))
-            best = _first(n, *[np.concatenate(p) for p in zip(best, (q, sims[i, q], words[i].astype(str)))])
-        out_q, out_s, out_w = [queries[q] for q in best[0]], best[1], best[2].tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out_q, pa.string()), pa.array(out_w, pa.string()), pa.array(out_s, pa.float64())],
-            names=["query", "word", "cosine"],
-        )
+            q, s, w = _first(n, q, sims[i, q], words[i])
+            out.append(pd.DataFrame({"query": [queries[k] for k in q], "word": w.tolist(), "cosine": s}))
+        if out:
+            yield pd.concat(out)
 
-    return run
+
+_COLUMNS = ["part", "kind", "word", "vec", "queries", "excluded", "unit"]
 
 
 def nearest_words(queries: DataFrame, vectors: DataFrame, n: int = 10, digits: int = 6) -> DataFrame:
-    """The ``n`` most similar words of each query: ``(query, word, cosine, rank)``, the query excluded.
+    """The ``n`` most similar words of each query: ``(query, word, cosine, rank)``, ties by word.
 
-    ``queries`` is ``(word, vec)``, e.g. a selected feature set. Its vectors are shipped in blocks of
-    bounded size while the vocabulary is streamed once per block; every task returns only its best
-    ``n`` per query, so nothing of the size of the product is ever stored or shuffled.
+    ``queries`` is ``(word, vec)``, e.g. a selected feature set, and may name in ``excluded`` the words it must not find;
+    otherwise that is the query itself. Queries become rows of ``QUERY_BLOCK``; the vocabulary is dealt into parts of about
+    ``PART_WORDS`` words, and every block meets every part there, whose task returns its best ``n`` per query. So nothing
+    passes through the driver, and nothing of the size of the product is stored or shuffled.
     """
-    spark = vectors.sparkSession
+    excluded = F.col("excluded") if "excluded" in queries.columns else F.array("word")
+    asked = queries.select("word", F.col("vec").cast("array<double>").alias("vec"), excluded.alias("excluded"))
+    size = QUERY_BLOCK
+    blocks = asked.mapInPandas(lambda batches: _blocked(batches, size), "queries array<string>, excluded array<array<string>>, unit binary")
     table = vectors.where("vec IS NOT NULL").select("word", F.col("vec").cast("array<double>").alias("vec"))
-    parts, names, rows = [], [], []
-
-    def flush():
-        m = np.array(rows, dtype=np.float64)
-        norms = np.linalg.norm(m, axis=1)
-        keep = norms > 0
-        if keep.any():
-            kept = [w for w, k in zip(names, keep) if k]
-            task = _block_top(kept, m[keep] / norms[keep][:, None], n, digits)
-            parts.append(table.mapInArrow(task, "query string, word string, cosine double"))
-        names.clear()
-        rows.clear()
-
-    for row in queries.select("word", F.col("vec").cast("array<double>").alias("vec")).toLocalIterator():
-        names.append(row.word)
-        rows.append(row.vec)
-        if len(names) == QUERY_BLOCK:
-            flush()
-    if names:
-        flush()
-    if not parts:
-        return spark.createDataFrame([], "query string, word string, cosine double, rank int")
-    found = union_all(*parts)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-table.count() // PART_WORDS))
+    left = table.select(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part"), F.lit(0).alias("kind"), "word", "vec")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    right = materialize(blocks).select(every.alias("part"), F.lit(1).alias("kind"), "queries", "excluded", "unit")
+    rows = left.unionByName(right, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = rows.mapInPandas(lambda batches: _part_top(batches, n, digits), "query string, word string, cosine double")
     best = W.partitionBy("query").orderBy(F.desc("cosine"), "word")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def expand_features(features: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
+def _signs(vec: str, bits: int, bands: int, dim: int, seed: int) -> Column:
+    """Per band the signs of ``bits`` random projections as one number; the directions are fixed by ``seed``."""
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+    side = lambda i: (dot(F.col(vec), F.array(*[F.lit(float(x)) for x in planes[i]])) > 0).cast("int")
+    codes = [sum((side(b * bits + k) * (1 << k) for k in range(1, bits)), side(b * bits)) for b in range(bands)]
+    return F.array(*codes)
+
+
+def nearest_words_lsh(
+    queries: DataFrame, vectors: DataFrame, dim: int, n: int = 10, bits: int = 4, bands: int = 32, seed: int = 0, digits: int = 6
+) -> DataFrame:
+    """As ``nearest_words``, but a query meets only words that share the signs of a band with it: ``(query, word, cosine, rank)``.
+
+    Sign projections find words at angle a with odds 1 - (1 - (1 - a / pi)^bits)^bands. More bits make buckets
+    smaller, more bands raise recall; ``recall`` measures it. A bucket joins its queries with its words, and pairs
+    that meet in several bands are compared once.
+    """
+
+    def banded(rows: DataFrame, name: str) -> DataFrame:
+        unit = rows.where("vec IS NOT NULL").select(F.col("word").alias(name), F.col("vec").cast("array<double>").alias("vec"))
+        unit = unit.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0")
+        return unit.select(name, F.transform("vec", lambda x: x / F.col("norm")).alias(f"{name}_vec")).withColumn("codes", _signs(f"{name}_vec", bits, bands, dim, seed))
+
+    words, asked = materialize(banded(vectors, "word")), materialize(banded(queries, "query"))
+    left, right = (x.select(name, F.posexplode("codes").alias("band", "code")) for x, name in ((words, "word"), (asked, "query")))
+    pairs = left.join(right.hint("merge"), ["band", "code"]).where("word <> query").select("query", "word").distinct()
+    met = pairs.join(words.select("word", "word_vec").hint("merge"), "word").join(asked.select("query", "query_vec").hint("merge"), "query")
+    scored = met.select("query", "word", F.round(dot(F.col("query_vec"), F.col("word_vec")), digits).alias("cosine"))
+    best = W.partitionBy("query").orderBy(F.desc("cosine"), "word")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``(n_queries, n_exact, n_found, recall)``: which of the exact neighbours were found."""
+    hits = exact.select("query", "word").join(found.select("query", "word", F.lit(1).alias("hit")), ["query", "word"], "left")
+    counts = hits.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return counts.withColumn("recall", F.col("n_found") / F.col("n_exact"))
+
+
+def pair_queries(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(word, vec, excluded)`` of two-word features: the mean of the two unit vectors, both words excluded.
+
+    ``pairs`` has ``feature``; a pair of which a word has no vector, or none of any length, asks for nothing.
+    """
+    square = F.aggregate(F.col("vec"), F.lit(0.0), lambda s, x: s + x * x)
+    unit = vectors.select("word", F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", F.sqrt(square)).where("norm > 0")
+    unit = unit.select("word", F.transform("vec", lambda x: x / F.col("norm")).alias("unit"))
+    sides = [unit.select(F.col("word").alias(f"w{i}"), F.col("unit").alias(f"u{i}")) for i in (1, 2)]
+    two = pairs.select(F.col("feature")[0].alias("w1"), F.col("feature")[1].alias("w2"))
+    both = sides[0].join(small_side(two), "w1")
+    both = sides[1].join(small_side(both), "w2")
+    mean = F.zip_with("u1", "u2", lambda a, b: (a + b) / 2)
+    return both.select(F.concat_ws(" ", "w1", "w2").alias("word"), mean.alias("vec"), F.array("w1", "w2").alias("excluded"))
+
+
+def expand_features(features: DataFrame, vectors: DataFrame, n: int = 10, pairs: bool = False) -> DataFrame:
     """Selected features plus the nearest words of each: ``(feature, rank, source)``.
 
-    Words without a vector, and pairs, bring in nothing. A neighbour carries the best rank of the
-    features that brought it in, so ``rank <= k`` gives the expansion of the first k features.
+    Words without a vector bring in nothing; neither do pairs, unless ``pairs`` asks for the words nearest to the mean of their
+    two vectors. A neighbour carries the best rank of the features that brought it in, so ``rank <= k`` gives the
+    expansion of the first k features.
     """
     single = features.where(F.size("feature") == 1).select(F.col("feature")[0].alias("word"), "rank")
     queries = vectors.join(small_side(single), "word").select("word", "vec")
+    if pairs:
+        two = features.where(F.size("feature") == 2)
+        single = union_all(single, two.select(F.array_join("feature", " ").alias("word"), "rank"))
+        one = queries.select("word", F.col("vec").cast("array<double>").alias("vec"), F.array("word").alias("excluded"))
+        queries = union_all(one, pair_queries(two, vectors))
     near = nearest_words(queries, vectors, n).select(F.col("query").alias("by"), "word")
     near = near.join(single.withColumnRenamed("word", "by"), "by")
     added = near.select(F.array("word").alias("feature"), "rank", F.lit("expanded").alias("source"))

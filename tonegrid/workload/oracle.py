@@ -214,6 +214,21 @@ ORACLE = {
     "nearest_words": sql(
         "SELECT query, word, cosine, rank FROM (" + NEAR + ")", "wv", "top",
         extra={"picked": "SELECT word, vec FROM wv SEMI JOIN top ON feature = word"}, q="picked"),
+    "nearest_words_lsh": sql(
+        "SELECT count(DISTINCT query) AS n_queries, count(*) AS n_exact, true AS enough FROM (" + NEAR + ")", "wv", "top",
+        extra={"picked": "SELECT word, vec FROM wv SEMI JOIN top ON feature = word"}, q="picked"),
+    "expand_features_pairs": sql(
+        """SELECT feature, min(rank)::INT AS rank, CASE WHEN bool_or(own) THEN 'selected' ELSE 'expanded' END AS source FROM (
+        SELECT w1 || ' ' || w2 AS feature, rank, true AS own FROM chosen UNION ALL SELECT word, rank, false FROM near) GROUP BY feature""",
+        "wv", "top_pairs",
+        extra={
+            "chosen": "SELECT w1, w2, min(rank) AS rank FROM top_pairs WHERE rank <= 50 GROUP BY w1, w2",
+            "u": "SELECT word, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM wv",
+            "asked": """SELECT c.w1, c.w2, c.rank, list_transform(range(1, len(a.vec) + 1), lambda i: (a.vec[i] + b.vec[i]) / 2) AS vec
+        FROM chosen c JOIN u a ON a.word = c.w1 JOIN u b ON b.word = c.w2""",
+            "near": """SELECT q.rank, v.word, round(list_cosine_similarity(q.vec, v.vec), 6) AS cosine FROM asked q
+        JOIN wv v ON v.word <> q.w1 AND v.word <> q.w2 QUALIFY row_number() OVER (PARTITION BY q.w1, q.w2 ORDER BY cosine DESC, v.word) <= 10""",
+        }),
     "expand_features": sql(
         """SELECT feature, min(rank) AS rank, CASE WHEN bool_or(own) THEN 'selected' ELSE 'expanded' END AS source FROM (
         SELECT feature, rank, true AS own FROM selected UNION ALL

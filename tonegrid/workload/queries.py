@@ -230,6 +230,21 @@ def nearest_words(spark, sf):
     return vectors.nearest_words(table.join(chosen, "word"), table)
 
 
+@query
+def nearest_words_lsh(spark, sf):
+    """Recall of the banded search against the exact one."""
+    table = t.word_vectors(spark, sf)
+    chosen = table.join(t.top_words(spark, sf).select(F.col("feature")[0].alias("word")), "word")
+    found = vectors.recall(vectors.nearest_words_lsh(chosen, table, t.DIM), vectors.nearest_words(chosen, table))
+    return found.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def expand_features_pairs(spark, sf):
+    pairs = association.top_bigrams(t.labelled(spark, sf), 50).select(F.array("w1", "w2").alias("feature"), "rank")
+    return shown(vectors.expand_features(pairs.groupBy("feature").agg(F.min("rank").alias("rank")), t.word_vectors(spark, sf), pairs=True), "rank", "source")
+
+
 @query
 def expand_features(spark, sf):
     chosen = select_features(t.labelled(spark, sf), t.K, t.word_vectors(spark, sf))
