@@ -161,7 +161,14 @@ NEAR = """SELECT q.word AS query, v.word, round(list_cosine_similarity(q.vec, v.
     row_number() OVER (PARTITION BY q.word ORDER BY cosine DESC, v.word) AS rank
     FROM {q} q JOIN wv v ON v.word <> q.word QUALIFY rank <= 10"""
 
+HELD_OUT = "(FROM embeddings WHERE ('0x' || substr(md5(vec_id || '-7'), 1, 8))::BIGINT >= 3435973836)"
+NODES = "SELECT '{0}' AS model, count(*) AS n, count(*) AS same FROM " + HELD_OUT
+
 ORACLE = {
+    "dense_tree_nodes": NODES.format("DecisionTree"),
+    "dense_forest_nodes": NODES.format("RandomForest"),
+    "dense_gbt_nodes": NODES.format("GBT"),
+    "gbt_stages_nodes": f"SELECT k::INT AS k, count(*) AS n, count(*) AS same FROM {HELD_OUT}, (SELECT unnest(range(1, 30, 5)) AS k) GROUP BY k",
     "corpus_tokens": sql("SELECT doc_id, label, pos, token FROM ltoks", "ltoks"),
     "json_corpus_roundtrip": sql("SELECT doc_id, label, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS words FROM docs", "docs"),
     "json_array_corpus": sql("SELECT label, array_to_string(tokens, ' ') AS words, count(*) AS n FROM docs GROUP BY ALL", "docs"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text
 from ..operators import association, corpus, counts, evaluate, segment, split, vectors
 from ..operators import naive_bayes as nb
-from ..plans import classifiers, dense, linear, sweeps
+from ..plans import classifiers, dense, linear, sweeps, trees
 from ..plans.selection import select_features
 from ..plans.sentiment import SentimentModel, VectorSentimentModel
 from ..session import materialize, scratch_path, tune
@@ -439,6 +439,33 @@ QUERIES["dense_forest"] = _dense_model("RandomForest")
 QUERIES["dense_gbt"] = _dense_model("GBT")
 
 
+def _node_table(name, **params):
+    """The model as a node table scored by joins, against its own transform."""
+
+    def run(spark, sf):
+        train, test = t.keyed_dense_split(spark, sf)
+        model = dense.fit(name, train, **params)
+        return trees.agreement(model, test).select(F.lit(name).alias("model"), "n", "same")
+
+    return run
+
+
+QUERIES["dense_tree_nodes"] = _node_table("DecisionTree")
+QUERIES["dense_forest_nodes"] = _node_table("RandomForest")
+QUERIES["dense_gbt_nodes"] = _node_table("GBT")
+
+
+@query
+def gbt_stages_nodes(spark, sf):
+    """Stages of boosting from the node table, against those from leaf numbers."""
+    train, test = t.keyed_dense_split(spark, sf)
+    stages = list(range(1, 30, 5))
+    model = dense.fit("GBT", train, iterations=max(stages))
+    mine = trees.node_model(model).staged(test.select("vec_id", "features"), stages).select("vec_id", "k", F.col("prediction").alias("p"))
+    both = dense.staged_predictions(model, test, stages).join(mine, ["vec_id", "k"])
+    return both.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("prediction")).alias("same"))
+
+
 @query
 def gbt_error_sweep(spark, sf):
     train, test = t.dense_split(spark, sf)

@@ -94,6 +94,11 @@ def _dense_rows(spark: SparkSession, sf: str) -> DataFrame:
     return dense.to_vectors(table(spark, sf, "embeddings").select("vec_id", label, F.col("embedding").alias("features")))
 
 
+def keyed_dense_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The two parts below, with ``vec_id``."""
+    return random_split(_dense_rows(spark, sf), 0.8, 7, "vec_id")
+
+
 def dense_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    train, test = random_split(_dense_rows(spark, sf), 0.8, 7, "vec_id")
+    train, test = keyed_dense_split(spark, sf)
     return train.drop("vec_id"), test.drop("vec_id")
