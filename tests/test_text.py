@@ -75,6 +75,20 @@ def test_document_bigrams_against_brute_force(docs):
     }
 
 
+def test_document_bigrams_stay_in_their_row(spark, tmp_path):
+    """No exchange; rows of one id are documents of their own; NULL and short documents have no pair; a long one is whole."""
+    long = [f"w{i % 700}" for i in range(50_000)]
+    rows = [(1, ["a", "b"]), (1, ["a", "b", "a"]), (2, None), (3, ["x"]), (4, []), (5, long)]
+    spark.createDataFrame(rows, "doc_id long, tokens array<string>").write.parquet(str(tmp_path / "t"))
+    out = corpus.document_bigrams(spark.read.parquet(str(tmp_path / "t")), 2000)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((tuple(r.feature), r.n))
+    assert sorted(got[1]) == [(("a", "b"), 1), (("a", "b"), 1), (("b", "a"), 1)] and set(got) == {1, 5}
+    assert len(got[5]) == 700 and sum(n for _, n in got[5]) == 49_999
+
+
 def test_score_function_is_a_parameter(docs):
     by_count = corpus.document_bigrams(docs, 1, lambda n_ii, n_ix, n_xi, n_xx: n_ii / n_xx)
     assert by_count.where("doc_id = 4").first().feature == ["bad", "film"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats, text
 from ..session import NEG, POS, union_all
@@ -108,31 +111,42 @@ def project(docs: DataFrame, features: DataFrame, match_bigrams: bool = False) -
     return stack(single, pairs.select(*kept, "feature"))
 
 
+PAIRS = T.StructType(
+    [T.StructField(c, T.ArrayType(T.StringType())) for c in ("w1", "w2")]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("n", "n1", "n2")]
+)
+
+
+@F.pandas_udf(PAIRS)
+def _pair_counts(tokens: pd.Series) -> pd.DataFrame:
+    """Adjacent pairs of each token array, how often they occur, and how often their words do."""
+    rows = []
+    for own in tokens:
+        own = [] if own is None else list(own)
+        words, pairs = Counter(own), Counter(zip(own, own[1:]))
+        first, second = ([p[i] for p in pairs] for i in (0, 1))
+        rows.append((first, second, list(pairs.values()), [words[w] for w in first], [words[w] for w in second]))
+    return pd.DataFrame(rows, columns=PAIRS.names)
+
+
 def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:
-    """The ``n`` best adjacent pairs of each document by association inside that document.
+    """The ``n`` best adjacent pairs of each document by association inside that document, ties by pair.
 
-    ``score(n_ii, n_ix, n_xi, n_xx)`` is any Column function. A word's count is the number of pairs
-    it starts plus one if it ends the document (likewise for second words), so no join is needed;
-    one exchange on ``doc_id`` serves the counts, both marginals and the ranking.
+    ``score(n_ii, n_ix, n_xi, n_xx)`` is any Column function. A document is one row, so counting, scoring and ranking happen
+    inside it: nothing is exchanged, and rows with the same ``doc_id`` stay apart. NULL or one-word documents have no pair.
     """
-    from pyspark.sql import Window as W
-
-    spread = docs.select("doc_id", "tokens").repartition("doc_id")
-    pairs = spread.select(
-        "doc_id",
-        F.size("tokens").alias("size"),
-        F.get("tokens", F.lit(0)).alias("first"),
-        F.get("tokens", F.size("tokens") - 1).alias("last"),
-        F.explode(text.bigrams(F.col("tokens"))).alias("p"),
-    ).select("doc_id", "size", "first", "last", F.col("p")[0].alias("w1"), F.col("p")[1].alias("w2"))
-    counts = pairs.groupBy("doc_id", "size", "first", "last", "w1", "w2").agg(F.count("*").alias("n"))
-    starts = F.sum("n").over(W.partitionBy("doc_id", "w1")) + (F.col("w1") == F.col("last")).cast("long")
-    ends = F.sum("n").over(W.partitionBy("doc_id", "w2")) + (F.col("w2") == F.col("first")).cast("long")
-    scored = counts.withColumn("n1", starts).withColumn("n2", ends)
-    scored = scored.withColumn("score", F.round(score(F.col("n"), F.col("n1"), F.col("n2"), F.col("size")), 6))
-    best = W.partitionBy("doc_id").orderBy(F.desc_nulls_last("score"), "w1", "w2")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-    return ranked.select("doc_id", F.array("w1", "w2").alias("feature"), "n", "score", "rank")
+    rows = docs.select("doc_id", F.size("tokens").alias("size"), _pair_counts("tokens").alias("p"))
+    pairs = F.arrays_zip(*[F.col(f"p.{c}").alias(c) for c in PAIRS.names])
+
+    def scored(p: Column) -> Column:
+        value = F.round(score(p["n"], p["n1"], p["n2"], F.col("size")), 6).cast("double")
+        return F.struct(p["w1"].alias("w1"), p["w2"].alias("w2"), p["n"].alias("n"), value.alias("score"))
+
+    # highest score first, pairs without one last
+    order = lambda p: F.struct(p["score"].isNull().alias("none"), (-p["score"]).alias("down"), p["w1"].alias("w1"), p["w2"].alias("w2"), p.alias("p"))
+    best = F.slice(F.sort_array(F.transform(F.transform(pairs, scored), order)), 1, n)
+    ranked = rows.select("doc_id", F.posexplode(best).alias("at", "b"))
+    return ranked.select("doc_id", F.array("b.w1", "b.w2").alias("feature"), "b.p.n", "b.p.score", (F.col("at") + 1).alias("rank"))
 
 
 def words_and_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:
