@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def small_batches(spark: SparkSession, rows: int = 1024, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on batches; when it ends, what it has freed goes back to the system.
+
+    Workers are kept from task to task and from stage to stage, and allocators keep what has been freed.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def utf8(column: str = "text"):
     """A text column as its UTF-8 bytes, NULL as none."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import union_all
-from .common import partitions, small_batches, stored, table, utf8, with_key
+from .common import partitions, released, small_batches, stored, table, utf8, with_key
 from .graph import components
 
 SHINGLE = 5
@@ -116,7 +116,7 @@ def _sign(batches: Iterator[pd.DataFrame], link: int) -> Iterator[pd.DataFrame]:
 def signatures(docs: DataFrame, link: int = LINK) -> DataFrame:
     """Per row of ``docs`` (__key, __text): set size, set fingerprint, band keys and odd sketch."""
     small_batches(docs.sparkSession)
-    return docs.select("__key", "__text").mapInPandas(lambda batches: _sign(batches, link), SIGNATURE)
+    return docs.select("__key", "__text").mapInPandas(released(lambda batches: _sign(batches, link)), SIGNATURE)
 
 
 def bits_apart(sketches: np.ndarray) -> np.ndarray:
@@ -292,7 +292,7 @@ def _compared(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sch
         return _per_block(batches, work)
 
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "__key")
-    return dealt.mapInPandas(by_block, schema)
+    return dealt.mapInPandas(released(by_block), schema)
 
 
 def candidates(signed: DataFrame, block: int = BLOCK, link: int = LINK) -> tuple[DataFrame, DataFrame]:
@@ -387,7 +387,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK, part: int =
     lefts = count.select("a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     left = lefts.join(texts.hint("merge"), lefts.a == texts["__key"]).select("a", "part", F.lit(None).cast("long").alias("b"), "__text")
     rows = union_all(left, right).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return rows.mapInPandas(lambda batches: _confirm(batches, link), "u long, v long")
+    return rows.mapInPandas(released(lambda batches: _confirm(batches, link)), "u long, v long")
 
 
 def clustered(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFrame:

@@ -62,7 +62,7 @@ class Ids:
 
     LONG, SPARE = 256, 250
 
-    def __init__(self, tokenizer_file: str, limit: int = 96 << 20):
+    def __init__(self, tokenizer_file: str, limit: int = 56 << 20):
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import union_all
-from .common import offsets, small_batches, stored, table, utf8, with_key
+from .common import offsets, released, small_batches, stored, table, utf8, with_key
 from .near_dup import mix
 
 #: Bytes of a repeated string, of a gram, and gram positions in a string.
@@ -356,20 +356,20 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     per batch into the shuffle, not one per document.
     """
     small_batches(keyed.sparkSession, rows=2048, mb=8)
-    runs = keyed.mapInPandas(_local, MARKED)
+    runs = keyed.mapInPandas(released(_local), MARKED)
     runs = stored(runs, "runs")
     dealt = runs.where("m IS NOT NULL").drop("from", "to").repartition("m").sortWithinPartitions("m", "s", "__key", "start")
-    settled = stored(dealt.mapInPandas(_shared, MARKED), "settled")
+    settled = stored(dealt.mapInPandas(released(_shared), MARKED), "settled")
     wanted = settled.where("m IS NOT NULL").groupBy("__key").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
     texts = keyed.join(wanted.hint("merge"), "__key")
     small_batches(keyed.sparkSession, rows=512, mb=2)  # a run is some hundred bytes in Python
-    segments = texts.select("__key", "__text", "runs").mapInPandas(_segments, SEGMENT)
+    segments = texts.select("__key", "__text", "runs").mapInPandas(released(_segments), SEGMENT)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _resolve(batches, shard_bytes)
 
     dealt = segments.repartition("shard").sortWithinPartitions("shard", "__key", "start")
-    found = stored(dealt.mapInPandas(resolve, "__key long, `from` long, `to` long"), "resolved")
+    found = stored(dealt.mapInPandas(released(resolve), "__key long, `from` long, `to` long"), "resolved")
     spans = [x.where("`from` IS NOT NULL").select("__key", "from", "to") for x in (runs, settled, found)]
     return union_all(*spans).groupBy("__key").agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
 
