@@ -128,3 +128,29 @@ def test_selection_does_not_depend_on_partitioning(skewed):
     assert select_features(df.repartition(1), 30).orderBy("rank").collect() == first
     assert [r["rank"] for r in first] == list(range(1, 31))
     assert all(s.score is None or s.score >= 0 for s in association.word_bigram_scores(df).collect())
+
+
+def test_a_selection_reads_the_corpus_once(spark, docs):
+    """Words, pairs and borders come from one pass: each document's tokens are made once."""
+    from pyspark.sql.types import ArrayType, StringType
+
+    made = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        made.add(1)
+        return text.split(" ") if text else []
+
+    texts = docs.select("doc_id", "label", F.array_join("tokens", " ").alias("t")).repartition(2).checkpoint()
+    lazily = texts.select("doc_id", "label", F.udf(split, ArrayType(StringType()))("t").alias("tokens"))
+    got = select_features(lazily, 5).select("feature", "rank")
+    assert sorted(map(str, got.collect())) == sorted(map(str, select_features(docs, 5).select("feature", "rank").collect()))
+    assert made.value == docs.count()
+
+
+def test_borders_with_repeated_and_empty_documents(spark):
+    rows = [(1, "pos", ["a", "b"]), (1, "pos", ["a", "b"]), (2, "pos", []), (3, "pos", None), (4, "pos", ["c"]), (1, "neg", ["x"])]
+    df = spark.createDataFrame(rows, "doc_id long, label string, tokens array<string>")
+    words, pairs = counts.corpus_counts(df)
+    assert sorted(map(tuple, words.collect())) == [("a", 2, 0, 2), ("b", 2, 0, 2), ("c", 1, 0, 1), ("x", 0, 1, 1)]
+    assert sorted(map(tuple, pairs.collect())) == [("pos", "a", "b", 2), ("pos", "b", "a", 1), ("pos", "b", "c", 1)]
+    assert counts.corpus_counts(df.limit(0))[1].count() == 0

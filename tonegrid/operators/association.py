@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chi_square
 from ..session import GROUP_LIMIT, NEG, POS, materialize, tune, union_all
-from .counts import bigram_freq, by_class, class_word_freq
+from .counts import by_class, class_word_freq, corpus_counts
 from .skew import hot_keys, lookup, top_n
 
 DIGITS = 6
@@ -39,13 +39,15 @@ def best(scores: DataFrame, k: int, key: str = "feature") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("score"), key)))
 
 
-def bigram_scores(docs: DataFrame, cross_docs: bool = True, words: DataFrame | None = None) -> DataFrame:
-    """Association of the two words of each pair inside its class: ``(label, w1, w2, n, n1, n2, score)``.
+def bigram_scores(docs: DataFrame, cross_docs: bool = True) -> DataFrame:
+    """Association of the two words of each pair inside its class: ``(label, w1, w2, n, n1, n2, score)``."""
+    words, pairs = corpus_counts(docs, cross_docs)
+    return pair_scores(materialize(words), pairs)
 
-    ``words`` is the stored class count table of ``docs``, if the caller has it.
-    """
-    pairs = bigram_freq(docs, cross_docs)
-    words = by_class(materialize(class_word_freq(docs)) if words is None else words)
+
+def pair_scores(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``bigram_scores`` from the stored word counts and the pair counts of a corpus."""
+    words = by_class(words)
     totals = words.groupBy("label").agg(F.sum("n").alias("n_all"))
     hot = hot_keys(words)
     first = words.select("label", F.col("token").alias("w1"), F.col("n").alias("n1"))
@@ -59,13 +61,14 @@ def bigram_scores(docs: DataFrame, cross_docs: bool = True, words: DataFrame | N
     return x.select("label", "w1", "w2", "n", "n1", "n2", F.round(score, DIGITS).alias("score"))
 
 
-def top_bigrams(
-    docs: DataFrame, n: int = GROUP_LIMIT, cross_docs: bool = True, words: DataFrame | None = None
-) -> DataFrame:
+def top_bigrams(docs: DataFrame, n: int = GROUP_LIMIT, cross_docs: bool = True) -> DataFrame:
     """The ``n`` best pairs of each class, ties by pair."""
-    tune(docs.sparkSession)
-    order = [F.desc_nulls_last("score"), F.asc("w1"), F.asc("w2")]
-    return top_n(bigram_scores(docs, cross_docs, words), ["label"], order, n)
+    return best_pairs(bigram_scores(docs, cross_docs), n)
+
+
+def best_pairs(scores: DataFrame, n: int) -> DataFrame:
+    tune(scores.sparkSession)
+    return top_n(scores, ["label"], [F.desc_nulls_last("score"), F.asc("w1"), F.asc("w2")], n)
 
 
 def word_bigram_scores(
@@ -77,8 +80,9 @@ def word_bigram_scores(
     class total by 1. ``negative_pairs_only`` gives both classes the pairs of the negative corpus,
     as one of the known implementations of this scoring does.
     """
-    words = materialize(class_word_freq(docs))
-    pairs = top_bigrams(docs, n, cross_docs, words).select("label", F.array("w1", "w2").alias("feature"))
+    words, found = corpus_counts(docs, cross_docs)
+    words = materialize(words)
+    pairs = best_pairs(pair_scores(words, found), n).select("label", F.array("w1", "w2").alias("feature"))
     if negative_pairs_only:
         pairs = pairs.where(F.col("label") == NEG).select(F.explode(F.array(F.lit(POS), F.lit(NEG))).alias("label"), "feature")
     pair_counts = pairs.groupBy("feature").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import NEG, POS, materialize, union_all
+from ..session import NEG, POS, scratch_path, union_all
 from .skew import with_next
 
 
@@ -38,26 +38,53 @@ def by_class(counts: DataFrame, key: str = "token") -> DataFrame:
     return counts.select(key, F.inline(sides)).where("n > 0").select("label", key, "n")
 
 
-def border_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs across document borders of each class, documents in ``doc_id`` order, empty ones skipped."""
-    ends = docs.select(
-        "label",
-        "doc_id",
-        F.get("tokens", F.lit(0)).alias("first"),
-        F.get("tokens", F.size("tokens") - 1).alias("w1"),
-    )
-    # one narrow row per document, read three times below
-    ends = materialize(ends).where(F.col("first").isNotNull())
+def border_pairs(ends: DataFrame) -> DataFrame:
+    """Pairs across document borders of each class, documents in ``doc_id`` order: ``(label, w1, w2)``.
+
+    ``ends`` is a stored table with one narrow row ``(label, doc_id, first, w1)`` per document that has words.
+    """
     return with_next(ends, "label", "doc_id", "first", "w2").where(F.col("w2").isNotNull()).select("label", "w1", "w2")
 
 
+def corpus_counts(docs: DataFrame, cross_docs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(token, n_pos, n_neg, n)`` and ``(label, w1, w2, n)`` of a corpus, from one pass over it.
+
+    Every document emits its words, its inner pairs and, with ``cross_docs``, one row with its first and last word. They
+    are counted together and stored; all else reads that table by column.
+    """
+    none = F.lit(None)
+    doc_type, spark = docs.schema["doc_id"].dataType, docs.sparkSession
+    word = lambda t: F.struct(t.alias("w1"), none.cast("string").alias("w2"), none.cast(doc_type).alias("doc"))
+    pair = lambda p: F.struct(p[0].alias("w1"), p[1].alias("w2"), none.cast(doc_type).alias("doc"))
+    parts = [F.transform("tokens", word), F.transform(text.bigrams(F.col("tokens")), pair)]
+    if cross_docs:
+        last = F.get("tokens", F.size("tokens") - 1)
+        ends = F.array(F.struct(F.get("tokens", F.lit(0)).alias("w1"), last.alias("w2"), F.col("doc_id").alias("doc")))
+        parts.append(F.when(F.size("tokens") > 0, ends).otherwise(F.slice(ends, 1, 0)))
+    rows = docs.select("label", F.explode_outer(F.concat(*parts)).alias("e")).where("e IS NOT NULL").select("label", "e.*")
+    path = scratch_path(spark, "counts")
+    rows.groupBy("label", "w1", "w2", "doc").agg(F.count("*").alias("n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    inner = counts.where("doc IS NULL")
+    sides = [F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n_{c}") for c in (POS, NEG)]
+    words = inner.where("w2 IS NULL").groupBy(F.col("w1").alias("token")).agg(*sides, F.sum("n").alias("n"))
+    pairs = inner.where("w2 IS NOT NULL").select("label", "w1", "w2", "n")
+    if cross_docs:
+        ends = counts.where("doc IS NOT NULL").select(
+            "label", F.col("doc").alias("doc_id"), F.col("w1").alias("first"), F.col("w2").alias("w1"), F.explode(F.expr("array_repeat(0, int(n))"))
+        )
+        border = border_pairs(ends.drop("col")).select("label", "w1", "w2", F.lit(1).cast("long").alias("n"))
+        pairs = union_all(pairs, border).groupBy("label", "w1", "w2").agg(F.sum("n").alias("n"))
+    return words, pairs
+
+
 def bigram_freq(docs: DataFrame, cross_docs: bool = True) -> DataFrame:
     """Adjacent pairs per class: ``(label, w1, w2, n)``.
 
     With ``cross_docs`` the class is one long token sequence, as if its documents were chained.
     """
+    if cross_docs:
+        return corpus_counts(docs)[1]
     inside = docs.select("label", F.explode(text.bigrams(F.col("tokens"))).alias("p"))
     pairs = inside.select("label", F.col("p")[0].alias("w1"), F.col("p")[1].alias("w2"))
-    if cross_docs:
-        pairs = union_all(pairs, border_pairs(docs))
     return pairs.groupBy("label", "w1", "w2").agg(F.count("*").alias("n"))
