@@ -60,8 +60,9 @@ def remove_stopwords(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
 
 
 def remove_stopword_rows(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """Anti join form over flattened tokens."""
-    return tokens.join(stopwords.select("token").where("token <> ''").distinct(), "token", "left_anti").select(tokens.columns)
+    """Anti join form over flattened tokens. A list of counted small size is broadcast: estimates ignore what explode adds."""
+    listed = small_side(stopwords.select("token").where("token <> ''").distinct())
+    return tokens.join(listed, "token", "left_anti").select(tokens.columns)
 
 
 def remove_flags(tokens: DataFrame, lexicon: DataFrame | None = None, flags=text.DROP_FLAGS) -> DataFrame:

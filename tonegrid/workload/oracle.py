@@ -169,6 +169,8 @@ ORACLE = {
     "dense_forest_nodes": NODES.format("RandomForest"),
     "dense_gbt_nodes": NODES.format("GBT"),
     "gbt_stages_nodes": f"SELECT k::INT AS k, count(*) AS n, count(*) AS same FROM {HELD_OUT}, (SELECT unnest(range(1, 30, 5)) AS k) GROUP BY k",
+    "sentence_text_gbt": "SELECT 'GBT' AS model, count(*) AS n, count(*) AS same FROM conversations",
+    "text_vectors_roundtrip": sql("SELECT word, generate_subscripts(vec, 1) - 1 AS dim, unnest(vec) AS value FROM wv", "wv"),
     "corpus_tokens": sql("SELECT doc_id, label, pos, token FROM ltoks", "ltoks"),
     "json_corpus_roundtrip": sql("SELECT doc_id, label, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS words FROM docs", "docs"),
     "json_array_corpus": sql("SELECT label, array_to_string(tokens, ' ') AS words, count(*) AS n FROM docs GROUP BY ALL", "docs"),

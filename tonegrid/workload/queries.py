@@ -37,6 +37,16 @@ def shown(features: DataFrame, *columns: str) -> DataFrame:
 # text and sources
 
 
+@query
+def text_vectors_roundtrip(spark, sf):
+    """Word vectors written as lines ``word v1 … vn`` and read back."""
+    path = scratch_path(spark, "word_vectors")
+    table = t.word_vectors(spark, sf)
+    table.select(F.concat_ws(" ", "word", F.transform("vec", lambda v: v.cast("string"))).alias("value")).write.text(path)
+    back = corpora.read_word_vectors_text(spark, path)
+    return back.select("word", F.posexplode("vec").alias("dim", "v")).select("word", "dim", F.col("v").cast("double").alias("value"))
+
+
 @query
 def corpus_tokens(spark, sf):
     return corpus.flatten(t.labelled(spark, sf))
@@ -560,6 +570,14 @@ def sentence_vector_gbt(spark, sf):
     return loaded.predict(t.conversations(spark, sf), t.word_vectors(spark, sf)).select("conv_id", "turn", "prediction")
 
 
+@query
+def sentence_text_gbt(spark, sf):
+    """Raw sentences through a boosted model: as many predictions as turns, equal to those of their tokens."""
+    model, words = VectorSentimentModel.fit(t.dense_rows(spark, sf), iterations=10), t.word_vectors(spark, sf)
+    raw = model.predict_text(t.raw_turns(spark, sf), words, pattern=text.LETTERS, flags=())
+    return _agreement("GBT", raw, model.predict(t.conversations(spark, sf), words), ["conv_id", "turn"])
+
+
 # streams
 
 
