@@ -131,7 +131,7 @@ def _words(batches: Iterator[pd.DataFrame], size: int, buckets: int) -> Iterator
         yield from frames(RELATION, flush())
 
 
-SINGLES = "block long, at array<long>, got array<long>, lang string, id array<long>, word array<binary>, f array<long>"
+SINGLES = "block long, at binary, got binary, lang string, id array<long>, word array<binary>, f array<long>"
 
 
 def _count_words(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -153,7 +153,7 @@ def _count_words(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
         for block, words, ref, _ in held:
             hit = [(at, ids[word]) for word, at in zip(words, ref) if word in ids]
             if hit:
-                yield block, *map(list, zip(*hit)), None, None, None, None
+                yield block, *[packed(np.array(side, np.int64)) for side in zip(*hit)], None, None, None, None
 
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -191,9 +191,12 @@ def extended(block: int, places: np.ndarray, ids: np.ndarray, buckets: int) -> I
     _, refs, bucket, x, y, n = adjacent(places, ids, buckets)
     if not len(refs):
         return
-    known, at = np.unique(ids, return_inverse=True)
+    # a place without a neighbour in the relation is of no further use
+    beside = np.diff(places) == 1
+    paired = np.r_[beside, False] | np.r_[False, beside]
+    known, at = np.unique(ids[paired], return_inverse=True)
     mask = np.zeros(int(places[-1]) + 1, bool)
-    mask[places] = True
+    mask[places[paired]] = True
     yield block, zlib.compress(np.packbits(mask).tobytes(), LEVEL), packed(at), packed(known), *[None] * 5
     for some in runs(bucket, np.arange(len(bucket))):
         yield block, None, None, None, int(bucket[some[0]]), int(some[0]), packed(x[some]), packed(y[some]), packed(n[some])
@@ -227,11 +230,11 @@ def _semi_join(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Dat
             if row.kind == 0:
                 body = row.mask, row.refs, row.known
             else:
-                replies.append((np.asarray(row.at, np.int64), np.asarray(row.got, np.int64)))
+                replies.append((unpacked(row.at), unpacked(row.got)))
     yield from done()
 
 
-GROUPS = "block long, at array<long>, got array<long>, id array<long>, x array<long>, y array<long>, f array<long>"
+GROUPS = "block long, at binary, got binary, id array<long>, x array<long>, y array<long>, f array<long>"
 
 
 def _count(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -258,7 +261,7 @@ def _count(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
             low += len(own)
             hit = np.flatnonzero(some >= 0)
             if len(hit):
-                yield block, (hit + base).tolist(), some[hit].tolist(), None, None, None, None
+                yield block, packed(hit + base), packed(some[hit]), None, None, None, None
 
     for batch in batches:
         for row in batch.itertuples(index=False):
