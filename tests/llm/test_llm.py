@@ -187,6 +187,21 @@ def test_chat_digests(spark):
     assert chat.read_back(chat.formatted_turns(chat.fold(chat.as_events(turns.limit(0))))).count() == 0
 
 
+def test_chat_cuts_long_messages_in_one_walk(spark):
+    """Characters beyond the basic plane count once; 8 MB take no more than some seconds a MB."""
+    import time
+
+    text = ("é😀\n" * 700 + "x") * 3
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    deltas = chat.as_events(rows).where("kind = 'delta'").orderBy("seq").collect()
+    assert [d.text for d in deltas] == [*[text[i : i + 400] for i in range(0, len(text), 400)], ""]
+    long = spark.range(1).selectExpr("id conv_id", "0L turn", "'assistant' role", "repeat('0123456789', 800000) text")
+    start = time.time()
+    row = chat.read_back(chat.formatted_turns(chat.fold(chat.as_events(long)))).first()
+    assert row.loss_chars == 8_000_000 and time.time() - start < 60
+    assert row.loss_sha256 == hashlib.sha256(b"0123456789" * 800_000).hexdigest()
+
+
 def slow_measure(text):
     words, dup = text.encode().split(), 0
     seen = set()

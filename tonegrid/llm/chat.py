@@ -136,8 +136,10 @@ def as_events(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(twin).alias("twin"))
     seq = F.coalesce(F.col("turn").cast("decimal(30,0)") * (1 << 20), F.lit(-(2**62)).cast("decimal(30,0)"))
     base = (seq + F.col("twin")).cast("decimal(38,0)")
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(delta))
-    deltas = F.transform(starts, lambda at: F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring("text", at, F.lit(delta)).alias("text"), at.cast("long").alias("sub")))
+    # cut in one walk over the text, so a long message takes time in proportion to its length
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
+    deltas = F.transform(parts, lambda part, i: F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), part.alias("text"), (i * delta + 1).cast("long").alias("sub")))
     first = F.array(F.struct(F.lit("open").alias("kind"), "role", F.lit("").alias("text"), F.lit(0).cast("long").alias("sub")))
     rows = turns.select("conv_id", base.alias("message_id"), F.explode(F.concat(first, deltas)).alias("e"))
     return rows.select("conv_id", "message_id", F.struct("message_id", "e.sub").alias("seq"), "e.kind", "e.role", "e.text")
