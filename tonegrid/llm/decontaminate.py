@@ -193,7 +193,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, column: str = "text", block_
     it; ranges of the array give all places of a window, and runs of windows the maximal matches. NULL or empty texts
     have no words; an empty benchmark finds nothing; repeated items are found each under its own name (NULL: "").
     """
-    small_batches(docs.sparkSession, rows=4096, mb=16)
+    small_batches(docs.sparkSession, rows=1024, mb=4)
     out, found = docs, []
     for number, items in enumerate(blocks(benchmark, block_words)):
         windows = docs.sparkSession.sparkContext.broadcast(Windows(items))

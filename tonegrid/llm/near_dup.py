@@ -115,7 +115,7 @@ def _sign(batches: Iterator[pd.DataFrame], link: int) -> Iterator[pd.DataFrame]:
 
 def signatures(docs: DataFrame, link: int = LINK) -> DataFrame:
     """Per row of ``docs`` (__key, __text): set size, set fingerprint, band keys and odd sketch."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     return docs.select("__key", "__text").mapInPandas(released(lambda batches: _sign(batches, link)), SIGNATURE)
 
 

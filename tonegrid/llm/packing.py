@@ -222,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     A NULL or empty text is a document of the end token alone. Equal rows are packed each for itself. An empty
     table gives no piece.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     cut = docs.select("doc_id", tokenized(utf8(), tokenizer_file, capacity).alias("p"))
     cut = cut.select("doc_id", F.posexplode(F.arrays_zip("p.lengths", "p.crcs")).alias("piece", "c"))
     pieces = cut.select(

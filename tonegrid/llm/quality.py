@@ -69,7 +69,7 @@ def _metrics(texts: pd.Series) -> pd.DataFrame:
 
 def measured(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with a struct ``__m`` of the base measures and ``__failed``, the fixed base rule. NULL text is empty."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     out = docs.withColumn("__m", _metrics(utf8(column)))
     failed = (F.col("__m.n_words") < 10) | (100 * F.col("__m.n_repeat_words") > 20 * F.col("__m.n_words"))
     return out.withColumn("__failed", failed)

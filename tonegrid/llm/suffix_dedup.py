@@ -355,7 +355,7 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     A segment that repeats inside a batch is settled there, so a passage that many documents hold sends one run
     per batch into the shuffle, not one per document.
     """
-    small_batches(keyed.sparkSession, rows=2048, mb=8)
+    small_batches(keyed.sparkSession, rows=1024, mb=4)
     runs = keyed.mapInPandas(released(_local), MARKED)
     runs = stored(runs, "runs")
     dealt = runs.where("m IS NOT NULL").drop("from", "to").repartition("m").sortWithinPartitions("m", "s", "__key", "start")
@@ -407,7 +407,7 @@ def deduplicated(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     """
     keyed = with_key(docs)
     spans = spans_to_remove(keyed.select("__key", utf8().alias("__text")), shard_bytes)
-    small_batches(docs.sparkSession, rows=2048, mb=8)
+    small_batches(docs.sparkSession, rows=1024, mb=4)
     joined = keyed.join(spans.hint("merge"), "__key", "left")
     return joined.withColumn("__cut", _cut(utf8(), "__spans")).withColumn("__bytes", F.length(utf8())).drop("__spans", "__key")
 
