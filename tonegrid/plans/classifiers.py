@@ -169,8 +169,8 @@ def load(spark: SparkSession, path: str):
         return PresenceModel(PipelineModel.load(f"{path}/pipeline"))
     if meta["shape"] == "fourier":
         words = spark.read.parquet(f"{path}/words")
-        linear = LinearSVCModel.load(f"{path}/linear")
-        return FourierModel(words, meta["size"], meta["dim"], meta["gamma"], meta["seed"], linear)
+        fitted = LinearSVCModel.load(f"{path}/linear")
+        return FourierModel(words, meta["size"], meta["dim"], meta["gamma"], meta["seed"], fitted)
     counts = spark.read.parquet(f"{path}/counts")
     return NaiveBayesModel(nb.NaiveBayesTable(meta["kind"], counts, *meta["sizes"]))
 
