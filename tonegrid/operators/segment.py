@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches, released
 from .skew import within
 
 # A lexicon of at most this many words is shipped to the tasks (some 100 MB).
@@ -57,11 +60,14 @@ def _walked(words: DataFrame, max_length: int | None):
         sizes.setdefault(token[:2], set()).add(len(token))
     lengths = {h: sorted(n, reverse=True) for h, n in sizes.items()}
     shared = words.sparkSession.sparkContext.broadcast((flags, lengths))
+    bounded_batches(words.sparkSession)
 
     @F.pandas_udf("run array<int>, start array<int>, token array<string>, flag array<string>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [walk([] if runs is None else runs, *shared.value) for runs in texts]
-        return pd.DataFrame(rows, columns=["run", "start", "token", "flag"], dtype=object)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [walk([] if runs is None else runs, *shared.value) for runs in texts]
+            yield pd.DataFrame(rows, columns=["run", "start", "token", "flag"], dtype=object)
+        released()
 
     return lambda column: found(F.regexp_extract_all(F.col(column), F.lit(RUNS), F.lit(0)))
 

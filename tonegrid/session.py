@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 POS, NEG = "pos", "neg"
@@ -40,6 +42,20 @@ def raise_group_limit(spark: SparkSession, n: int) -> None:
         spark.conf.set(key, str(n))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024, mb: int = 2) -> None:
+    """Bound what one Arrow batch holds in a Python worker, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def released() -> None:
+    """Give back what a Python worker has freed: workers live from task to task, and allocators keep their memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     """Rows of all parts, columns matched by name, under the settings above."""
     tune(parts[0].sparkSession)
