@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats, text
-from ..session import NEG, POS, union_all
+from ..session import NEG, POS, bounded_batches, released, union_all
 from .skew import small_side
 
 # A stopword list up to this size travels inside the plan; a longer one is joined.
@@ -118,16 +118,19 @@ PAIRS = T.StructType(
 )
 
 
+def _pairs(own) -> tuple[list, ...]:
+    own = [] if own is None else list(own)
+    words, pairs = Counter(own), Counter(zip(own, own[1:]))
+    first, second = ([p[i] for p in pairs] for i in (0, 1))
+    return first, second, list(pairs.values()), [words[w] for w in first], [words[w] for w in second]
+
+
 @F.pandas_udf(PAIRS)
-def _pair_counts(tokens: pd.Series) -> pd.DataFrame:
+def _pair_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Adjacent pairs of each token array, how often they occur, and how often their words do."""
-    rows = []
-    for own in tokens:
-        own = [] if own is None else list(own)
-        words, pairs = Counter(own), Counter(zip(own, own[1:]))
-        first, second = ([p[i] for p in pairs] for i in (0, 1))
-        rows.append((first, second, list(pairs.values()), [words[w] for w in first], [words[w] for w in second]))
-    return pd.DataFrame(rows, columns=PAIRS.names)
+    for tokens in batches:
+        yield pd.DataFrame([_pairs(own) for own in tokens], columns=PAIRS.names)
+    released()
 
 
 def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column] = stats.chi_square) -> DataFrame:
@@ -136,6 +139,7 @@ def document_bigrams(docs: DataFrame, n: int = 1000, score: Callable[..., Column
     ``score(n_ii, n_ix, n_xi, n_xx)`` is any Column function. A document is one row, so counting, scoring and ranking happen
     inside it: nothing is exchanged, and rows with the same ``doc_id`` stay apart. NULL or one-word documents have no pair.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.size("tokens").alias("size"), _pair_counts("tokens").alias("p"))
     pairs = F.arrays_zip(*[F.col(f"p.{c}").alias(c) for c in PAIRS.names])
 
