@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tonegrid.operators import corpus, segment
+from tonegrid.operators import corpus, segment, vectors
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -23,3 +23,27 @@ def test_document_pairs_bound_their_batches(spark):
     assert int(spark.conf.get(BATCH)) <= 4 << 20
     assert {(r.doc_id, r.f): r.n for r in got.collect()} == {(1, "a b"): 3, (1, "b a"): 1}
     corpus.words_and_bigrams(docs).collect()
+
+
+def test_a_block_asks_once_for_each_of_its_words(spark):
+    many = ["good"] * 1000 + ["bad", "none", None]
+    docs = spark.createDataFrame([(1, many), (1, ["bad"]), (None, None), (2, []), (3, ["none"])], "doc_id long, tokens array<string>")
+    table = spark.createDataFrame([("good", [1.0, None]), ("bad", [0.5, 2.0, 9.0]), ("bad", [0.0, 1.0]), ("none", None)], "word string, vec array<float>")
+    seen = []
+    whole = vectors._summed_in_blocks
+
+    def summed(*args):
+        seen.append(args)
+        return whole(*args)
+
+    vectors._summed_in_blocks = summed
+    try:
+        got = vectors.sentence_vectors(docs.coalesce(1), table, 2, 10**9)
+    finally:
+        vectors._summed_in_blocks = whole
+    assert seen and {r.doc_id: r.vec for r in got.collect()} == {1: [1001.0, 6.0], None: [0.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    small = vectors.sentence_vectors(docs, table, 2)
+    assert {r.doc_id: r.vec for r in small.collect()} == {r.doc_id: r.vec for r in got.collect()}
+    names = [b for b in docs.coalesce(1).mapInArrow(lambda batches: vectors._word_blocks(batches, ["doc_id"]),
+             "block long, keys array<struct<doc_id: long>>, starts binary, cells binary, words array<string>").collect()]
+    assert [sorted(b.words) for b in names] == [["bad", "good", "none"]]

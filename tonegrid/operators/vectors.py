@@ -6,21 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import dot
-from ..functions.text import token_rows
-from ..session import materialize, union_all
-from .counts import word_freq
-from .skew import hot_keys, small_side, split_join, within
+from ..session import bounded_batches, materialize, released, scratch_path, union_all
+from .skew import small_side, within
 
 # Query vectors of a row (400-wide doubles: 0.8 MB), and vocabulary words that meet them in one task (52 MB).
 QUERY_BLOCK = 256
 PART_WORDS = 1 << 14
 # A vector table of at most this many numbers is broadcast (64 MB of doubles).
 BROADCAST_CELLS = 8_000_000
+# Documents, and MB of them, that ask for vectors together; documents of an output batch, and tokens gathered at once.
+BLOCK_ROWS, BLOCK_MB = 20_000, 8
+SUMMED_ROWS, SUMMED_TOKENS = 1024, 1 << 14
 
 
 def sum_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -> DataFrame:
@@ -34,9 +38,8 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     """Sum of the vectors of a document's words: the columns of ``docs``, ``vec`` in place of ``tokens``.
 
     Words without a vector are skipped; a document with none gets zeros. A vector table of known
-    (``max_words``) or counted small size is broadcast. Beyond that, frequent words meet their
-    vectors in a bounded broadcast and are summed before any shuffle; the others go to the vector
-    table by a join without hot keys.
+    (``max_words``) or counted small size is broadcast. Beyond that, blocks of documents ask for the
+    vectors of their distinct words.
     """
     keys = [c for c in docs.columns if c != "tokens"]
     table = vectors.select(F.col("word").alias("token"), "vec")
@@ -44,10 +47,89 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     if small:
         rows = docs.select(*keys, F.explode_outer("tokens").alias("token"))
         return sum_vectors(rows.join(F.broadcast(table), "token", "left"), keys, dim)
-    hot_words = hot_keys(word_freq(docs)).select("token")
-    found = split_join(token_rows(docs, *keys), table, "token", hot_words).select(*keys, "vec")
-    every = docs.select(*keys, F.lit(None).cast(table.schema["vec"].dataType).alias("vec"))
-    return sum_vectors(union_all(found, every), keys, dim)
+    return sum_vectors(_summed_in_blocks(docs, keys, table, dim), keys, dim)
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch of documents as one row: their keys, where each begins, the places of its words, and the block's own words."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        tokens = batch.column("tokens")
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        flat = pc.dictionary_encode(tokens.flatten())
+        cells = pc.fill_null(flat.indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        own = pa.StructArray.from_arrays([batch.column(k) for k in keys], names=keys)
+        whole = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
+        columns = {"block": pa.array([block]), "keys": whole(own), "starts": pa.array([starts.tobytes()]),
+                   "cells": pa.array([cells.tobytes()]), "words": whole(flat.dictionary.cast(pa.string()))}
+        yield pa.RecordBatch.from_pydict(columns)
+        block += 1
+    released()
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, kind): the vectors of a block's words by place, then its body; the sum of each document."""
+    block, places, held = None, [], []
+    for batch in batches:
+        kinds, numbers = batch.column("kind").to_pylist(), batch.column("block").to_pylist()
+        for i, (number, kind) in enumerate(zip(numbers, kinds)):
+            if number != block:
+                block, places, held = number, [], []
+            if kind == 0:
+                places.append(batch.column("place")[i].as_py())
+                held.append(np.asarray(batch.column("vec")[i].values.to_numpy(zero_copy_only=False), np.float64))
+                continue
+            starts, cells = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("starts", np.int64), ("cells", np.int32)))
+            table = np.zeros((len(places) + 1, dim))
+            at = np.full(max(cells.max(initial=0), max(places, default=0)) + 2, len(places))
+            # a word that the vector table has several times counts as often
+            order, first = np.unique(places, return_inverse=True) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for k, vec in zip(first, held):
+                table[k] += vec
+            at[order.astype(np.int64)] = np.arange(len(order))
+            rows, keys = at[cells], batch.column("keys")[i].values
+            for low in range(0, len(keys), SUMMED_ROWS):
+                spans = list(zip(starts[low : low + SUMMED_ROWS], starts[low + 1 : low + 1 + SUMMED_ROWS]))
+                sums = np.zeros((len(spans), dim))
+                for k, (begin, end) in enumerate(spans):
+                    for piece in range(begin, end, SUMMED_TOKENS):
+                        sums[k] += table[rows[piece : min(end, piece + SUMMED_TOKENS)]].sum(axis=0)
+                ends = np.arange(len(spans) + 1, dtype=np.int32) * dim
+                part = keys.slice(low, len(spans))
+                columns = [part.field(k) for k in range(part.type.num_fields)]
+                names = [part.type.field(k).name for k in range(part.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, sums.ravel())], names=[*names, "vec"])
+    released()
+
+
+def _summed_in_blocks(docs: DataFrame, keys: list[str], table: DataFrame, dim: int) -> DataFrame:
+    """``(keys…, vec)`` of every row of ``docs``. A batch of documents asks once for the vector of each of its own words.
+
+    What is shuffled is one vector per block and distinct word, not one per token; a frequent word has one row per block.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark, rows=BLOCK_ROWS, mb=BLOCK_MB)
+    part = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "tokens")
+    names = [f"k{i}" for i in range(len(keys))]
+    fields = ", ".join(f"{n}: {part.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"block long, keys array<struct<{fields}>>, starts binary, cells binary, words array<string>"
+    path = scratch_path(spark, "word_blocks")
+    part.mapInArrow(lambda batches: _word_blocks(batches, names), schema).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    listed = blocks.select("block", F.posexplode("words").alias("place", "token"))
+    # NULL components and missing ones count as zeros
+    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get("vec", i), F.lit(0).cast(table.schema["vec"].dataType.elementType)))
+    # the size estimate of exploded words is far too low to choose a broadcast side by
+    pulled = listed.join(table.where("vec IS NOT NULL").select("token", full.alias("vec")).hint("merge"), "token")
+    pulled = pulled.select("block", F.lit(0).alias("kind"), "place", "vec")
+    bodies = blocks.select("block", F.lit(1).alias("kind"), "keys", "starts", "cells")
+    rows = union_all(pulled.withColumns({c: F.lit(None).cast(bodies.schema[c].dataType) for c in ("keys", "starts", "cells")}),
+                     bodies.withColumns({c: F.lit(None).cast(pulled.schema[c].dataType) for c in ("place", "vec")}))
+    dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
+    out = f"{', '.join(f'{n} {part.schema[n].dataType.simpleString()}' for n in names)}, vec array<double>"
+    found = dealt.mapInArrow(lambda batches: _block_sums(batches, dim), out)
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "vec")
 
 
 def _first(n: int, q: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
