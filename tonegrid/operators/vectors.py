@@ -9,11 +9,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import dot
 from ..session import bounded_batches, materialize, released, scratch_path, union_all
 from .skew import small_side, within
 
@@ -47,7 +46,7 @@ def sentence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_words: i
     if small:
         rows = docs.select(*keys, F.explode_outer("tokens").alias("token"))
         return sum_vectors(rows.join(F.broadcast(table), "token", "left"), keys, dim)
-    return sum_vectors(_summed_in_blocks(docs, keys, table, dim), keys, dim)
+    return sum_vectors(summed_in_blocks(docs, keys, table, dim), keys, dim)
 
 
 def _word_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +102,7 @@ def _block_sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Reco
     released()
 
 
-def _summed_in_blocks(docs: DataFrame, keys: list[str], table: DataFrame, dim: int) -> DataFrame:
+def summed_in_blocks(docs: DataFrame, keys: list[str], table: DataFrame, dim: int) -> DataFrame:
     """``(keys…, vec)`` of every row of ``docs``. A batch of documents asks once for the vector of each of its own words.
 
     What is shuffled is one vector per block and distinct word, not one per token; a frequent word has one row per block.
@@ -154,14 +153,31 @@ def _blocked(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFram
                 yield pd.DataFrame([one], columns=["queries", "excluded", "unit"])
 
 
-def _part_top(batches: Iterator[pd.DataFrame], n: int, digits: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (part, kind): the words of a part, then the blocks of queries that meet it; the best ``n`` of each."""
-    part, held, words, table = None, [], None, None
+def _met(codes: np.ndarray, asked: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query the words that share the number of at least one band with it; ``codes`` has a column per band."""
+    order = np.argsort(codes, axis=0, kind="stable")
+    spans = []
+    for band in range(codes.shape[1]):
+        sorted_codes = codes[order[:, band], band]
+        spans.append((np.searchsorted(sorted_codes, asked[:, band]), np.searchsorted(sorted_codes, asked[:, band], "right")))
+    for q in range(len(asked)):
+        mask = np.zeros(len(codes), bool)
+        for band, (low, high) in enumerate(spans):
+            mask[order[low[q] : high[q], band]] = True
+        yield mask
+
+
+def _part_top(batches: Iterator[pd.DataFrame], n: int, digits: int, coded=None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (part, kind): the words of a part, then the blocks of queries that meet it; the best ``n`` of each.
+
+    With ``coded``, a function from unit vectors to a number per band, a query is compared only with words that share one.
+    """
+    part, held, words, table, codes = None, [], None, None, None
     for batch in batches:
         out = []
         for number, kind, word, vec, queries, excluded, unit in batch[_COLUMNS].itertuples(index=False):
             if number != part:
-                part, held, table = number, [], None
+                part, held, table, codes = number, [], None, None
             if kind == 0:
                 held.append((word, np.asarray(vec, np.float64)))
                 continue
@@ -175,7 +191,14 @@ def _part_top(batches: Iterator[pd.DataFrame], n: int, digits: int) -> Iterator[
                 own: dict[str, list[int]] = {}
                 for i, w in enumerate(words.tolist()):
                     own.setdefault(w, []).append(i)
-            sims = np.round(table @ np.frombuffer(unit, np.float64).reshape(len(queries), -1).T, digits)
+            unit = np.frombuffer(unit, np.float64).reshape(len(queries), -1)
+            if coded is None:
+                sims = np.round(table @ unit.T, digits)
+            else:
+                sims = np.full((len(words), len(queries)), -np.inf)
+                codes = coded(table) if codes is None else codes
+                for q, mask in enumerate(_met(codes, coded(unit))):
+                    sims[mask, q] = np.round(table[mask] @ unit[q], digits)
             sims[np.isnan(sims)] = -np.inf
             for q, names in enumerate(excluded):
                 for name in names:
@@ -199,6 +222,10 @@ def nearest_words(queries: DataFrame, vectors: DataFrame, n: int = 10, digits: i
     ``PART_WORDS`` words, and every block meets every part there, whose task returns its best ``n`` per query. So nothing
     passes through the driver, and nothing of the size of the product is stored or shuffled.
     """
+    return _searched(queries, vectors, n, digits, None)
+
+
+def _searched(queries: DataFrame, vectors: DataFrame, n: int, digits: int, coded) -> DataFrame:
     excluded = F.col("excluded") if "excluded" in queries.columns else F.array("word")
     asked = queries.select("word", F.col("vec").cast("array<double>").alias("vec"), excluded.alias("excluded"))
     size = QUERY_BLOCK
@@ -210,17 +237,20 @@ def nearest_words(queries: DataFrame, vectors: DataFrame, n: int = 10, digits: i
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     right = materialize(blocks).select(every.alias("part"), F.lit(1).alias("kind"), "queries", "excluded", "unit")
     rows = left.unionByName(right, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    found = rows.mapInPandas(lambda batches: _part_top(batches, n, digits), "query string, word string, cosine double")
+    found = rows.mapInPandas(lambda batches: _part_top(batches, n, digits, coded), "query string, word string, cosine double")
     best = W.partitionBy("query").orderBy(F.desc("cosine"), "word")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def _signs(vec: str, bits: int, bands: int, dim: int, seed: int) -> Column:
-    """Per band the signs of ``bits`` random projections as one number; the directions are fixed by ``seed``."""
+def _signs(bits: int, bands: int, dim: int, seed: int):
+    """A function from vectors to the signs of ``bits`` random projections per band, as one number; directions are fixed by ``seed``."""
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    side = lambda i: (dot(F.col(vec), F.array(*[F.lit(float(x)) for x in planes[i]])) > 0).cast("int")
-    codes = [sum((side(b * bits + k) * (1 << k) for k in range(1, bits)), side(b * bits)) for b in range(bands)]
-    return F.array(*codes)
+    powers = 1 << np.arange(bits)
+
+    def codes(unit: np.ndarray) -> np.ndarray:
+        return (unit @ planes.T > 0).reshape(len(unit), bands, bits) @ powers
+
+    return codes
 
 
 def nearest_words_lsh(
@@ -229,22 +259,10 @@ def nearest_words_lsh(
     """As ``nearest_words``, but a query meets only words that share the signs of a band with it: ``(query, word, cosine, rank)``.
 
     Sign projections find words at angle a with odds 1 - (1 - (1 - a / pi)^bits)^bands. More bits make buckets
-    smaller, more bands raise recall; ``recall`` measures it. A bucket joins its queries with its words, and pairs
-    that meet in several bands are compared once.
+    smaller, more bands raise recall; ``recall`` measures it. Blocks of queries meet parts of the vocabulary as there; inside a
+    task, words are sorted by the number of each band, so pairs are neither listed nor shuffled.
     """
-
-    def banded(rows: DataFrame, name: str) -> DataFrame:
-        unit = rows.where("vec IS NOT NULL").select(F.col("word").alias(name), F.col("vec").cast("array<double>").alias("vec"))
-        unit = unit.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0")
-        return unit.select(name, F.transform("vec", lambda x: x / F.col("norm")).alias(f"{name}_vec")).withColumn("codes", _signs(f"{name}_vec", bits, bands, dim, seed))
-
-    words, asked = materialize(banded(vectors, "word")), materialize(banded(queries, "query"))
-    left, right = (x.select(name, F.posexplode("codes").alias("band", "code")) for x, name in ((words, "word"), (asked, "query")))
-    pairs = left.join(right.hint("merge"), ["band", "code"]).where("word <> query").select("query", "word").distinct()
-    met = pairs.join(words.select("word", "word_vec").hint("merge"), "word").join(asked.select("query", "query_vec").hint("merge"), "query")
-    scored = met.select("query", "word", F.round(dot(F.col("query_vec"), F.col("word_vec")), digits).alias("cosine"))
-    best = W.partitionBy("query").orderBy(F.desc("cosine"), "word")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return _searched(queries, vectors, n, digits, _signs(bits, bands, dim, seed))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
