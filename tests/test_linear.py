@@ -126,3 +126,11 @@ def test_scratch_is_left_clean(spark, train):
     linear.fit_linear(train, most=2)
     left = set(os.listdir(shared_dir(spark))) - before
     assert {name.split("-")[0] for name in left} <= {"weights"}
+
+
+def test_a_vocabulary_of_many_parts_gives_the_same_fit(spark, train):
+    """Values travel as one array per block and part; how the vocabulary is cut changes nothing."""
+    fits = [linear.fit_linear(train, most=4, rows=60, cells=500, part=part) for part in (64, 1 << 16)]
+    few, one = ({r.feature: r.w for r in m.weights.collect()} for m in fits)
+    assert few.keys() == one.keys() and all(abs(few[v] - one[v]) < 1e-9 for v in one)
+    assert fits[0].bias == pytest.approx(fits[1].bias) and fits[0].report["iterations"] == fits[1].report["iterations"]
