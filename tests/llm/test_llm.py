@@ -517,3 +517,24 @@ def test_pipeline_stages(spark, docs, empty):
         last = corpus_pipeline.STAGES[-1][1](spark, own, folder)
         assert {"doc_id", "sequence_id", "offset"} <= set(last.columns)
         assert (last.count() > 0) == (start is docs)
+
+
+def test_suffix_order_breaks_ties_by_place(monkeypatch):
+    """Packed or not, suffixes that agree on more bytes than a string has stay in text order, as the prefixes need."""
+    rng = np.random.default_rng(4)
+    data = np.tile(rng.integers(97, 100, 300, dtype=np.uint8), 5)
+    order, spot = suffix_dedup.suffix_array(data)
+    plain = sorted(range(len(data)), key=lambda p: (bytes(data[p : p + 128]), p))
+    assert order.tolist() == plain and spot[order].tolist() == list(range(len(data)))
+    monkeypatch.setattr(suffix_dedup, "PACKED", 1)
+    assert suffix_dedup.suffix_array(data)[0].tolist() == plain
+
+
+def test_repeats_are_cut_by_one_worker_a_task(spark):
+    text = "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(5))[:300]
+    docs = spark.createDataFrame([(1, text, 300), (2, text, 300), (3, None, None), (4, "é" + text[:150] + "ü", 152)], "doc_id long, text string, n_chars long")
+    out = suffix_dedup.drop_repeats(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {1: (text, 300), 3: (None, None), 4: ("éü", 2)}

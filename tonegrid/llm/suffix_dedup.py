@@ -26,7 +26,9 @@ REACH = LENGTH - GRAM + 1
 #: Ranges of the anchor's offset in a string; a shard's segments agree on all but 17 bytes of a string.
 PARTS = 4
 #: Bytes that are hashed at once, and bytes in one suffix array.
-CHUNK, SHARD = 1 << 20, 1 << 20
+CHUNK, SHARD = 1 << 19, 1 << 20
+#: Three numbers below this fit a long.
+PACKED = 1 << 21
 #: Segments that are handed on at once.
 HANDED = 20_000
 
@@ -226,7 +228,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(8):
         key <<= np.uint64(8)
         key |= padded[k : k + n]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)  # equal ones take text order in the first round
     key = key[order]
     fresh = np.r_[True, key[1:] != key[:-1]]
     del key, padded
@@ -242,10 +244,16 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sub = order[tied]
         after = rank[np.minimum(sub + step, n)]
         own = rank[sub]
-        again = np.lexsort((after, own))
-        sub, after, own = sub[again], after[again], own[again]
+        if n < PACKED:  # (own, after, sub) fit one number, and numbers sort faster than places
+            packed = (own.astype(np.int64) * PACKED + (after + 1)) * PACKED + sub
+            packed.sort()
+            sub, pair = (packed % PACKED).astype(np.int32), packed // PACKED
+            new = np.r_[True, pair[1:] != pair[:-1]]
+        else:
+            again = np.lexsort((sub, after, own))
+            sub, after, own = sub[again], after[again], own[again]
+            new = np.r_[True, (own[1:] != own[:-1]) | (after[1:] != after[:-1])]
         order[tied] = sub
-        new = np.r_[True, (own[1:] != own[:-1]) | (after[1:] != after[:-1])]
         rank[sub] = np.maximum.accumulate(np.where(new, tied, 0))
         fresh[tied] = new
         step *= 2
@@ -317,7 +325,9 @@ def repeats(
 
 def _resolve(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
     """Segments sorted by (shard, __key, start): whole groups fill a suffix array; a larger group takes several."""
-    held, known, last = None, np.empty(0, f"S{LENGTH}"), None
+    known, last = np.empty(0, f"S{LENGTH}"), None
+    parts: list[pd.DataFrame] = []
+    size = 0
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
         nonlocal known, last
@@ -330,18 +340,23 @@ def _resolve(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFra
         return spans
 
     for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        size = int(held["segment"].map(len).sum())
+        parts.append(batch)
+        size += int(batch["segment"].map(len).sum())
         if size < limit:
             continue
+        held = pd.concat(parts, ignore_index=True)
         open_ = (held["shard"] == held["shard"].iloc[-1]).to_numpy()
         if not open_.all():
             yield flush(held[~open_])
-            held = held[open_]
+            parts = [held[open_]]
+            size = int(parts[0]["segment"].map(len).sum())
         elif size >= 2 * limit:
             yield flush(held)
-            held = None
-    if held is not None and len(held):
+            parts, size = [], 0
+        else:
+            parts = [held]
+    if parts:
+        held = pd.concat(parts, ignore_index=True)
         open_ = (held["shard"] == held["shard"].iloc[0]).to_numpy()
         if not open_.all() and held["shard"].iloc[0] == last:
             yield flush(held[open_])
@@ -359,6 +374,7 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     runs = keyed.mapInPandas(released(_local), MARKED)
     runs = stored(runs, "runs")
     dealt = runs.where("m IS NOT NULL").drop("from", "to").repartition("m").sortWithinPartitions("m", "s", "__key", "start")
+    small_batches(keyed.sparkSession, rows=1 << 15, mb=4)  # runs are six numbers
     settled = stored(dealt.mapInPandas(released(_shared), MARKED), "settled")
     wanted = settled.where("m IS NOT NULL").groupBy("__key").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
     texts = keyed.join(wanted.hint("merge"), "__key")
@@ -383,20 +399,39 @@ CUT = T.StructType(
 )
 
 
+def _kept(text: bytes, spans) -> tuple[int, int, bytes]:
+    kept, end, count = [], 0, 0
+    for a, b in sorted((s["from"], s["to"]) for s in spans) if spans is not None else []:
+        if a > end or not count:
+            kept.append(text[end:a])
+            count += 1
+        end = max(end, b)
+    kept.append(text[end:])
+    rest = b"".join(kept)
+    return len(text) - len(rest), count, rest
+
+
 @F.pandas_udf(CUT)
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, own in zip(texts, spans):
-        kept, end, count = [], 0, 0
-        for a, b in sorted((s["from"], s["to"]) for s in own) if own is not None else []:
-            if a > end or not count:
-                kept.append(text[end:a])
-                count += 1
-            end = max(end, b)
-        kept.append(text[end:])
-        rest = b"".join(kept)
-        rows.append((len(text) - len(rest), count, rest))
-    return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
+    return pd.DataFrame([_kept(text, own) for text, own in zip(texts, spans)], columns=["n_removed", "n_spans", "kept"])
+
+
+@F.pandas_udf(T.StringType())
+def _rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """The text that is left; NULL if nothing is removed."""
+    found = (_kept(text, own) for text, own in zip(texts, spans))
+    return pd.Series([rest.decode("utf-8", "ignore") if n else None for n, _, rest in found], dtype=object)
+
+
+def _with_spans(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
+    """``docs`` with ``__key`` and ``__spans``.
+
+    Rows with one id count as documents in text order; of equal rows the first keeps its text.
+    """
+    keyed = with_key(docs)
+    spans = spans_to_remove(keyed.select("__key", utf8().alias("__text")), shard_bytes)
+    small_batches(docs.sparkSession, rows=1024, mb=4)
+    return keyed.join(spans.hint("merge"), "__key", "left")
 
 
 def deduplicated(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
@@ -405,10 +440,7 @@ def deduplicated(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     NULL or short texts lose nothing. Rows with one id count as documents in text order; of equal rows the first
     keeps its text.
     """
-    keyed = with_key(docs)
-    spans = spans_to_remove(keyed.select("__key", utf8().alias("__text")), shard_bytes)
-    small_batches(docs.sparkSession, rows=1024, mb=4)
-    joined = keyed.join(spans.hint("merge"), "__key", "left")
+    joined = _with_spans(docs, shard_bytes)
     return joined.withColumn("__cut", _cut(utf8(), "__spans")).withColumn("__bytes", F.length(utf8())).drop("__spans", "__key")
 
 
@@ -417,20 +449,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that is cut in two are dropped with it.
     """
-    out = deduplicated(docs)
-    text = F.when(F.col("__cut.n_removed") > 0, _decoded("__cut.kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text).where("NOT (__cut.n_removed > 0 AND text = '')")
+    # not deterministic, so that Spark runs one worker a task and does not copy the function into the filter
+    out = _with_spans(docs).withColumn("__rest", _rest.asNondeterministic()(utf8(), "__spans"))
+    out = out.where("__rest IS NULL OR __rest <> ''").withColumn("text", F.coalesce("__rest", "text"))
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("__cut.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        n_chars = F.when(F.col("__rest").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
