@@ -125,3 +125,18 @@ def test_single_document_class(spark):
     df = spark.createDataFrame([(1, "pos"), (2, "neg"), (3, "neg")], "doc_id long, label string")
     got = Counter((r.label, r.part) for r in split.positional_split(df).collect())
     assert got == {("pos", "test"): 1, ("neg", "train"): 1, ("neg", "test"): 1}
+
+
+def test_expansion_computes_its_features_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rank(i):
+        made.add(1)
+        return i
+
+    table = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate("abcdef")], "word string, vec array<double>")
+    rows = spark.createDataFrame([(["a"], 1), (["b", "c"], 2)], "feature array<string>, i int")
+    features = rows.select("feature", F.udf(rank, "int")("i").alias("rank"))
+    got = vectors.expand_features(features, table, 2, pairs=True)
+    assert {tuple(r.feature) for r in got.where("source = 'selected'").collect()} == {("a",), ("b", "c")}
+    assert made.value == 2
