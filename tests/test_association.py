@@ -154,3 +154,13 @@ def test_borders_with_repeated_and_empty_documents(spark):
     assert sorted(map(tuple, words.collect())) == [("a", 2, 0, 2), ("b", 2, 0, 2), ("c", 1, 0, 1), ("x", 0, 1, 1)]
     assert sorted(map(tuple, pairs.collect())) == [("pos", "a", "b", 2), ("pos", "b", "a", 1), ("pos", "b", "c", 1)]
     assert counts.corpus_counts(df.limit(0))[1].count() == 0
+
+
+def test_pairs_are_counted_in_one_exchange_and_looked_up_unsorted(spark, docs):
+    """Borders are counted with the inner pairs, and neither lookup sorts the pairs; words are sums of pairs."""
+    words, pairs = counts.corpus_counts(docs)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in association.pair_scores(words, pairs)._jdf.queryExecution().executedPlan().toString()
+    for cross in (True, False):
+        words = counts.corpus_counts(docs, cross)[0]
+        assert sorted(map(tuple, words.collect())) == sorted(map(tuple, counts.class_word_freq(docs).collect()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import NEG, POS, scratch_path, union_all
+from ..session import NEG, POS, delete, scratch_path, union_all
 from .skew import with_next
 
 
@@ -39,43 +39,38 @@ def by_class(counts: DataFrame, key: str = "token") -> DataFrame:
 
 
 def border_pairs(ends: DataFrame) -> DataFrame:
-    """Pairs across document borders of each class, documents in ``doc_id`` order: ``(label, w1, w2)``.
+    """Each document's last word with the first of the next, documents in ``doc_id`` order: ``(label, w1, w2)``.
 
-    ``ends`` is a stored table with one narrow row ``(label, doc_id, first, w1)`` per document that has words.
+    ``ends`` is a stored table with one narrow row ``(label, doc_id, first, w1)`` per document that has words. The last word
+    of a class has no next one.
     """
-    return with_next(ends, "label", "doc_id", "first", "w2").where(F.col("w2").isNotNull()).select("label", "w1", "w2")
+    return with_next(ends, "label", "doc_id", "first", "w2").select("label", "w1", "w2")
 
 
 def corpus_counts(docs: DataFrame, cross_docs: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(token, n_pos, n_neg, n)`` and ``(label, w1, w2, n)`` of a corpus, from one pass over it.
+    """``(token, n_pos, n_neg, n)`` and ``(label, w1, w2, n)`` of a corpus, from one tokenisation and one count.
 
-    Every document emits its words, its inner pairs and, with ``cross_docs``, one row with its first and last word. They
-    are counted together and stored; all else reads that table by column.
+    Every word starts one pair: with the next word of its document or, the last one, across the border (with
+    ``cross_docs``) or with nothing. So the counts of words are sums of those of pairs. Tokens are stored while borders
+    are found and go when the counts are written.
     """
-    none = F.lit(None)
-    doc_type, spark = docs.schema["doc_id"].dataType, docs.sparkSession
-    word = lambda t: F.struct(t.alias("w1"), none.cast("string").alias("w2"), none.cast(doc_type).alias("doc"))
-    pair = lambda p: F.struct(p[0].alias("w1"), p[1].alias("w2"), none.cast(doc_type).alias("doc"))
-    parts = [F.transform("tokens", word), F.transform(text.bigrams(F.col("tokens")), pair)]
-    if cross_docs:
-        last = F.get("tokens", F.size("tokens") - 1)
-        ends = F.array(F.struct(F.get("tokens", F.lit(0)).alias("w1"), last.alias("w2"), F.col("doc_id").alias("doc")))
-        parts.append(F.when(F.size("tokens") > 0, ends).otherwise(F.slice(ends, 1, 0)))
-    rows = docs.select("label", F.explode_outer(F.concat(*parts)).alias("e")).where("e IS NOT NULL").select("label", "e.*")
-    path = scratch_path(spark, "counts")
-    rows.groupBy("label", "w1", "w2", "doc").agg(F.count("*").alias("n")).write.parquet(path)
-    counts = spark.read.parquet(path)
-    inner = counts.where("doc IS NULL")
+    spark = docs.sparkSession
+    size = F.greatest(F.size("tokens") - 1, F.lit(0))
+    tokens = docs.select("label", "doc_id", "tokens", F.get("tokens", F.lit(0)).alias("first"), F.get("tokens", F.size("tokens") - 1).alias("w1"))
+    texts, path = scratch_path(spark, "tokens"), scratch_path(spark, "counts")
+    tokens.write.parquet(texts)
+    tokens = spark.read.schema(tokens.schema).parquet(texts)
+    ends = tokens.where("size(tokens) > 0").select("label", "doc_id", "first", "w1")
+    last = border_pairs(ends) if cross_docs else ends.select("label", "w1", F.lit(None).cast("string").alias("w2"))
+    pairs = F.arrays_zip(F.slice("tokens", F.lit(1), size).alias("w1"), F.slice("tokens", F.lit(2), size).alias("w2"))
+    inner = tokens.select("label", F.explode(pairs).alias("p")).select("label", "p.w1", "p.w2")
+    rows = union_all(inner, last).groupBy("label", "w1", "w2").agg(F.count("*").alias("n"))
+    rows.write.parquet(path)
+    delete(spark, texts)
+    counts = spark.read.schema(rows.schema).parquet(path)
     sides = [F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n_{c}") for c in (POS, NEG)]
-    words = inner.where("w2 IS NULL").groupBy(F.col("w1").alias("token")).agg(*sides, F.sum("n").alias("n"))
-    pairs = inner.where("w2 IS NOT NULL").select("label", "w1", "w2", "n")
-    if cross_docs:
-        ends = counts.where("doc IS NOT NULL").select(
-            "label", F.col("doc").alias("doc_id"), F.col("w1").alias("first"), F.col("w2").alias("w1"), F.explode(F.expr("array_repeat(0, int(n))"))
-        )
-        border = border_pairs(ends.drop("col")).select("label", "w1", "w2", F.lit(1).cast("long").alias("n"))
-        pairs = union_all(pairs, border).groupBy("label", "w1", "w2").agg(F.sum("n").alias("n"))
-    return words, pairs
+    words = counts.groupBy(F.col("w1").alias("token")).agg(*sides, F.sum("n").alias("n"))
+    return words, counts.where("w2 IS NOT NULL")
 
 
 def bigram_freq(docs: DataFrame, cross_docs: bool = True) -> DataFrame:

@@ -33,7 +33,8 @@ def lookup(
     ``hot`` names the hot keys (at most ``HOT_SLOTS`` per group) and carries their values; it is
     broadcast. Rows it answers go into the shuffle join under a key made from ``spread``, which
     cannot match, so they are dealt out evenly; every other key is light by definition.
-    ``values`` must not be NULL in ``table``.
+    ``values`` must not be NULL in ``table``, whose rows have keys of their own: a task hashes its even share of them, and
+    ``left`` is not sorted.
     """
     small = hot.select(*on, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__hot"))
     rest = table.select(
@@ -48,7 +49,7 @@ def lookup(
     rest = rest.withColumn(f"__{last}", F.col(f"__{last}").cast("string"))
     match = [F.col(k) == F.col(f"__{k}") for k in on[:-1]]
     match += [F.col("__key") == F.col(f"__{last}"), F.col("__hot") == F.col("__is_hot")]
-    x = x.join(rest, match, "left")
+    x = x.join(rest.hint("shuffle_hash"), match, "left")
     if how == "inner":
         x = x.where(F.col("__hot") | F.col("__is_hot").isNotNull())
     return x.select(
