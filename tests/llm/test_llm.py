@@ -538,3 +538,25 @@ def test_repeats_are_cut_by_one_worker_a_task(spark):
     assert plan.count("ArrowEvalPython") == 1
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: (text, 300), 3: (None, None), 4: ("éü", 2)}
+
+
+def test_intermediates_take_little_disk(spark):
+    """Anchor runs are dealt without being stored, and near duplicates leave neither texts nor blocks behind."""
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir")
+
+    def left(work):
+        before = set(os.listdir(root))
+        rows = work().count()
+        new = [os.path.join(at, f) for d in set(os.listdir(root)) - before for at, _, files in os.walk(os.path.join(root, d)) for f in files]
+        return rows, sum(os.path.getsize(f) for f in new)
+
+    long = [" ".join(hashlib.sha256(b"%d %d" % (i, j)).hexdigest() for j in range(300)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long + [t + " tail" for t in long])], "doc_id long, text string").persist()
+    size = sum(map(len, long)) * 2
+    assert left(lambda: suffix_dedup.drop_repeats(docs.limit(30)))[0] == 30
+    rows, kept = left(lambda: suffix_dedup.spans_to_remove(docs.where("doc_id < 30").select(F.col("doc_id").alias("__key"), F.col("text").cast("binary").alias("__text"))))
+    assert rows == 0 and kept < size / 20
+    rows, kept = left(lambda: near_dup.drop_near_duplicates(docs))
+    assert rows == 30 and kept < size / 4

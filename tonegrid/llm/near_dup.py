@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import union_all
-from .common import partitions, released, small_batches, stored, table, utf8, with_key
+from .common import discard, partitions, released, small_batches, stored, table, utf8, with_key
 from .graph import components
 
 SHINGLE = 5
@@ -408,7 +408,8 @@ def clustered(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFram
     copies = some.join(classes.hint("merge"), [*same, "slice"]).where("__key > least")
     copies = stored(copies.select(F.col("__key").alias("u"), F.col("least").alias("v")), "copies")
     alone = some.join(copies.select(F.col("u").alias("__key")).hint("merge"), "__key", "left_anti").select("__key", "bands", "sketch")
-    pairs, blocks = candidates(stored(alone, "classes"), block, link)
+    alone = stored(alone, "classes")
+    pairs, blocks = candidates(alone, block, link)
     pairs = stored(pairs, "pairs")
     # merge joins throughout: whether a side is small enough to broadcast must not depend on the size of the corpus
     # a row of a cut bucket may have its only partner in another block
@@ -421,6 +422,7 @@ def clustered(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFram
     rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     links = union_all(links, stored(confirmed(rest, texts, link), "links"))
     links = union_all(links, stored(left_over(blocks.where("NOT of_hubs"), components(links), texts, block, link), "links"))
+    discard(alone, pairs, blocks, texts)  # only the links are read from here on
     roots = components(union_all(links, copies))
     out = signed.select("__key", "n_shingles").join(roots.hint("merge"), signed["__key"] == roots.node, "left")
     return out.select("__key", "n_shingles", F.coalesce("root", "__key").alias("root"))

@@ -134,12 +134,15 @@ def intervals(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFr
     return pd.DataFrame({"__key": key[at], "from": start[at], "to": np.maximum.reduceat(stop, at)})
 
 
-MARKED = "m long, s long, __key long, start long, n long, at long, `from` long, `to` long"
-_WIDE = ["m", "s", "__key", "start", "n", "at", "from", "to"]
+#: A run of starts with its anchor; with ``n`` 0, a span to remove from ``start`` to ``at``.
+MARKED = "m long, s long, __key long, start long, n long, at long"
+_COLUMNS = ["m", "s", "__key", "start", "n", "at"]
 
 
-def _wide(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.reindex(columns=_WIDE).astype("Int64")
+def _marked(spans: pd.DataFrame) -> pd.DataFrame:
+    """Spans as rows among the runs; they have no anchor and are dealt by their document."""
+    out = spans.rename(columns={"from": "start", "to": "at"})
+    return out.assign(m=spans["__key"], s=0, n=0)[_COLUMNS]
 
 
 def _settle(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -156,15 +159,24 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = anchors(list(batch["__text"]))
         found["__key"] = batch["__key"].to_numpy()[found["doc"]]
         kept, spans = _settle(found.sort_values(["m", "s", "__key", "start"], kind="stable"))
-        yield _wide(kept.drop(columns="doc"))
+        yield kept[_COLUMNS]
         if len(spans):
-            yield _wide(spans)
+            yield _marked(spans)
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs sorted by (m, s, __key, start): spans of repeated segments, and one run per segment of a shared anchor."""
+    """Runs sorted by (m, s, __key, start): spans of repeated segments, and one run per segment of a shared anchor.
+
+    Spans that are known already pass through.
+    """
     held = None
     for batch in batches:
+        known = (batch["n"] == 0).to_numpy()
+        if known.any():
+            yield batch[known]
+            batch = batch[~known]
+            if not len(batch):
+                continue
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         open_ = (held["m"] == held["m"].iloc[-1]).to_numpy()
         if not open_.all():
@@ -172,7 +184,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = held[open_]
         elif len(held) > 200_000:  # a hot anchor: settle what is here, keep one run per segment
             held, spans = _settle(held)
-            yield _wide(spans)
+            yield _marked(spans)
     if held is not None and len(held):
         yield from _shared_groups(held)
 
@@ -180,12 +192,12 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shared_groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     kept, spans = _settle(rows)
     if len(spans):
-        yield _wide(spans)
+        yield _marked(spans)
     m = kept["m"].to_numpy()
     same = np.r_[False, m[1:] == m[:-1]]
     kept = kept[same | np.r_[same[1:], False]]
     if len(kept):
-        yield _wide(kept)
+        yield kept
 
 
 SEGMENT = "shard long, __key long, start long, segment binary"
@@ -370,13 +382,11 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     A segment that repeats inside a batch is settled there, so a passage that many documents hold sends one run
     per batch into the shuffle, not one per document.
     """
-    small_batches(keyed.sparkSession, rows=1024, mb=4)
-    runs = keyed.mapInPandas(released(_local), MARKED)
-    runs = stored(runs, "runs")
-    dealt = runs.where("m IS NOT NULL").drop("from", "to").repartition("m").sortWithinPartitions("m", "s", "__key", "start")
-    small_batches(keyed.sparkSession, rows=1 << 15, mb=4)  # runs are six numbers
+    small_batches(keyed.sparkSession, rows=1 << 15, mb=2)  # texts and runs (six numbers) in one job: the bytes bound both
+    runs = keyed.mapInPandas(released(_local), MARKED)  # many times the rows of the texts, so they are not stored
+    dealt = runs.repartition("m").sortWithinPartitions("m", "s", "__key", "start")
     settled = stored(dealt.mapInPandas(released(_shared), MARKED), "settled")
-    wanted = settled.where("m IS NOT NULL").groupBy("__key").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
+    wanted = settled.where("n > 0").groupBy("__key").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
     texts = keyed.join(wanted.hint("merge"), "__key")
     small_batches(keyed.sparkSession, rows=512, mb=2)  # a run is some hundred bytes in Python
     segments = texts.select("__key", "__text", "runs").mapInPandas(released(_segments), SEGMENT)
@@ -386,8 +396,8 @@ def spans_to_remove(keyed: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
 
     dealt = segments.repartition("shard").sortWithinPartitions("shard", "__key", "start")
     found = stored(dealt.mapInPandas(released(resolve), "__key long, `from` long, `to` long"), "resolved")
-    spans = [x.where("`from` IS NOT NULL").select("__key", "from", "to") for x in (runs, settled, found)]
-    return union_all(*spans).groupBy("__key").agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
+    known = settled.where("n = 0").select("__key", F.col("start").alias("from"), F.col("at").alias("to"))
+    return union_all(known, found).groupBy("__key").agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
 
 
 CUT = T.StructType(
