@@ -1,4 +1,6 @@
 import random
+from functools import reduce
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +53,55 @@ def test_a_single_leaf_and_no_rows(points):
     assert table.depth() == 0
     assert table.transform(points.select("vec_id", "features")).where("prediction = 1").count() == 240
     assert table.transform(points.limit(0).select("vec_id", "features")).count() == 0
+
+
+def test_large_trees_are_not_sent_to_every_task(spark, monkeypatch):
+    """Trees of very unequal depth: every task gets some pieces only, and scores are added in the order of the trees."""
+    rng, trees_n = random.Random(5), 3
+    tables = []
+    for t in range(trees_n):
+        tables.append([])
+
+        def grow(level, table):
+            node = len(table)
+            table.append(None)
+            if level == 16 or (level > 3 and rng.random() < 0.3):
+                p = rng.random()
+                table[node] = (-1, -1, -1, None, float(p > 0.5), [1 - p, p])
+            else:
+                cut = (rng.randrange(4), rng.gauss(0, 1))
+                table[node] = (node + 1, -1, *cut, 0.0, [0.5, 0.5])
+                grow(level + 1, table)
+                right = grow(level + 1, table)
+                table[node] = (node + 1, right, *cut, 0.0, [0.5, 0.5])
+            return node
+
+        grow(0, tables[-1])
+    flat = [(t, i, *n) for t, table in enumerate(tables) for i, n in enumerate(table)]
+    assert len(flat) > 1000
+    schema = "tree int, node int, left int, right int, feature int, threshold double, value double, shares array<double>"
+    nodes = spark.createDataFrame(flat, schema).persist()
+    points = [(i, [rng.gauss(0, 1) for _ in range(4)] if i % 3 else [0.5] * 4) for i in range(120)]
+    rows = dense.to_vectors(spark.createDataFrame(points, "vec_id long, features array<double>"))
+
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(trees, "SENT", 40, raising=False)
+    model = trees.NodeModel(nodes, trees.SHARES, trees_n)
+    found = {r.vec_id: r.score for r in model.transform(rows).collect()}
+    assert max(sent) <= 40
+
+    def leaf(table, x):
+        n, level = table[0], 0
+        while n[0] >= 0:
+            n, level = table[n[0] if x[n[2]] <= n[3] else n[1]], level + 1
+        return n, level
+
+    plain = lambda x: reduce(add, [leaf(table, x)[0][5][1] for table in tables], 0.0) / trees_n  # sum() rounds in another way
+    assert found == {i: plain(x) for i, x in points}
+    assert max(leaf(table, x)[1] for table in tables for _, x in points) > 2 * trees.LEVELS
+
+    def depth(table, node=0):
+        return 0 if table[node][0] < 0 else 1 + max(depth(table, c) for c in table[node][:2])
+
+    assert model.depth() == max(map(depth, tables))

@@ -1,8 +1,9 @@
-"""Tree models as node tables, scored by joins: a row walks down all trees at once, one join per level."""
+"""Tree models as node tables, scored by joins: a row walks down all trees at once, one join for several levels."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
@@ -13,17 +14,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import small_side
-from ..session import delete, materialize, scratch_path
+from ..session import delete, materialize, scratch_path, union_all
 
 #: How the trees of a kind decide together.
 LEAF, SHARES, MARGIN = "leaf", "shares", "margin"
 KINDS = {DecisionTreeClassificationModel: LEAF, RandomForestClassificationModel: SHARES, GBTClassificationModel: MARGIN}
 
 
+#: Levels a row goes down in one join. Pieces of trees, of fewer than 2**LEVELS nodes, that one join may send to every task.
+LEVELS, SENT = 5, 2048
+
+
 @dataclass
 class NodeModel:
-    """``nodes`` (tree, node, left, right, feature, threshold, value, shares): a leaf has no children (-1).
+    """``nodes`` (tree, node, left, right, feature, threshold, value, shares): a leaf has no children (-1), a root is node 0.
 
     ``value`` is a leaf's prediction, times its tree's weight for boosted trees; ``shares`` are its class shares.
     """
@@ -32,31 +36,83 @@ class NodeModel:
     kind: str
     trees: int
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """``(tree, node, level, code)``: a root has level 0 and code 1, the children of code ``c`` have ``2c`` and ``2c + 1``.
+
+        A node knows one above it, at first its parent, and the way from there. Joining the table with itself doubles the
+        distance until all have reached their root: one join for twice the depth, none of them a broadcast.
+        """
+        turn = lambda side, bit: F.struct(F.col(side).alias("node"), F.lit(bit).cast("long").alias("way"))
+        x = self.nodes.where("left >= 0").select("tree", F.col("node").alias("up"), F.inline(F.array(turn("left", 0), turn("right", 1))))
+        x = materialize(x.withColumn("level", F.lit(1)))
+        while not x.where("up <> 0").isEmpty():
+            above = x.select("tree", F.col("node").alias("up"), *[F.col(c).alias(f"__{c}") for c in ("up", "way", "level")])
+            moved = x.where("up <> 0").join(above.hint("shuffle_hash"), ["tree", "up"])
+            way = F.call_function("shiftleft", "__way", "level") + F.col("way")
+            moved = moved.select("tree", F.col("__up").alias("up"), "node", way.alias("way"), (F.col("level") + F.col("__level")).alias("level"))
+            x = materialize(union_all(x.where("up = 0"), moved))
+        code = F.call_function("shiftleft", F.lit(1).cast("long"), "level") + F.col("way")
+        roots = self.nodes.where("node = 0").select("tree", "node", F.lit(0).alias("level"), F.lit(1).cast("long").alias("code"))
+        return union_all(roots, x.select("tree", "node", "level", code.alias("code")))
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """``(tree, step, top, at)``: trees cut at every ``LEVELS``-th level, each piece under the code of its top node.
+
+        ``at`` holds the nodes by their place in the piece: 1 is the top, and below ``p`` lie ``2p`` and ``2p + 1``.
+        """
+        down = F.col("level") % LEVELS
+        top = F.call_function("shiftright", "code", down)
+        place = F.col("code") - F.call_function("shiftleft", top - 1, down)
+        node = F.struct((F.col("left") < 0).alias("leaf"), "feature", "threshold", "value", "shares")
+        x = self.nodes.join(self.places.hint("shuffle_hash"), ["tree", "node"])
+        x = x.select("tree", ((F.col("level") - down) / LEVELS).cast("int").alias("step"), top.alias("top"), F.struct(place.cast("int"), node).alias("n"))
+        x = x.groupBy("tree", "step", "top").agg(F.map_from_entries(F.collect_list("n")).alias("m"))
+        at = F.transform(F.sequence(F.lit(0), F.lit(2**LEVELS - 1)), lambda p: F.try_element_at("m", p))
+        return materialize(x.select("tree", "step", "top", at.alias("at")))
+
+    @cached_property
+    def steps(self) -> list[int]:
+        """The number of pieces of each step, from the roots down."""
+        return [r["n"] for r in self.pieces.groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect()]
+
     def leaves(self, rows: DataFrame) -> DataFrame:
         """One row per row and tree: the columns of ``rows`` but ``features``, ``tree``, ``value``, ``shares``.
 
-        Every level is one join on (tree, node). A node table of counted small size is broadcast, so a row stays in
-        its task from the roots to the leaves; the walk ends with the deepest leaf, found by counting what still moves.
+        Every step is one join on (tree, top). Few pieces are broadcast, as the upper steps are whatever the size of the
+        trees; many meet the rows in a shuffle, where rows that have their leaf travel without features, dealt out evenly.
         """
         kept = [c for c in rows.columns if c != "features"]
-        nodes = small_side(self.nodes)
         x = rows.select(*kept, vector_to_array("features").alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"))
-        x = x.withColumn("node", F.lit(0))
-        for _ in range(self.depth()):
-            at = x.join(nodes.select("tree", "node", "left", "right", "feature", "threshold"), ["tree", "node"])
-            goes = F.when(F.get("__x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
-            x = at.select(*kept, "__x", "tree", F.when(F.col("left") < 0, F.col("node")).otherwise(goes).alias("node"))
-        return x.join(nodes.select("tree", "node", "value", "shares"), ["tree", "node"]).select(*kept, "tree", "value", "shares")
+        x = x.select("*", F.lit(1).cast("long").alias("__top"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("array<double>").alias("shares"))
+
+        def walk(p, _):
+            node = F.get("__at", p)
+            left = F.get("__x", node["feature"]) <= node["threshold"]
+            return F.when(node["leaf"], p).when(left, 2 * p).otherwise(2 * p + 1)
+
+        node, size = F.get("__at", F.col("__p")), 2**LEVELS
+        moves = F.col("__at").isNotNull()
+        ends = moves & (F.col("__p") < size)
+        away = -1 - F.pmod(F.xxhash64(*kept, "tree"), F.lit(1 << 31))  # no piece has it
+        top = F.when(ends, away).when(moves, F.col("__top") * size + F.col("__p") - size).otherwise(F.col("__top"))
+        for step, n in enumerate(self.steps):
+            part = self.pieces.where(F.col("step") == step).select("tree", F.col("top").alias("__top"), F.col("at").alias("__at"))
+            x = x.join(F.broadcast(part) if n <= SENT else part.hint("shuffle_hash"), ["tree", "__top"], "left")
+            x = x.withColumn("__p", F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.lit(1), walk))
+            x = x.select(
+                *kept,
+                F.when(~ends, F.col("__x")).alias("__x"),
+                "tree",
+                top.alias("__top"),
+                *[F.when(ends, node[c]).otherwise(F.col(c)).alias(c) for c in ("value", "shares")],
+            )
+        return x.select(*kept, "tree", "value", "shares")
 
     def depth(self) -> int:
-        """Joins from the roots down to the deepest leaf."""
-        front, levels = self.nodes.where("node = 0"), 0
-        while True:
-            front = front.where("left >= 0").select("tree", F.explode(F.array("left", "right")).alias("node"))
-            front = materialize(front.join(small_side(self.nodes), ["tree", "node"]))
-            if front.isEmpty():
-                return levels
-            levels += 1
+        """Levels from the roots down to the deepest leaf."""
+        return self.places.agg(F.max("level")).first()[0]
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """The columns of ``rows`` but ``features``, which must identify the row, plus ``score`` and ``prediction``.
@@ -64,12 +120,16 @@ class NodeModel:
         ``score`` is the leaf's prediction, the share of the positive class, or the margin.
         """
         kept = [c for c in rows.columns if c != "features"]
-        found = self.leaves(rows).groupBy(*kept)
+        shares = [F.get("shares", F.lit(i)).alias(c) for i, c in enumerate(("neg", "pos"))]
+        found = self.leaves(rows).select(*kept, F.struct("tree", *(shares if self.kind == SHARES else ["value"])).alias("__leaf"))
+        found = found.groupBy(*kept).agg(F.sort_array(F.collect_list("__leaf")).alias("__leaves"))
+        # added tree by tree, as the models do: in the order of arrival, rounding could turn a tie
+        total = lambda c: F.aggregate("__leaves", F.lit(0.0), lambda s, leaf: s + leaf[c])
         if self.kind == SHARES:
-            out = found.agg(F.sum(F.get("shares", F.lit(0))).alias("__neg"), F.sum(F.get("shares", F.lit(1))).alias("__pos"))
+            out = found.select(*kept, total("neg").alias("__neg"), total("pos").alias("__pos"))
             said = (F.col("__pos") > F.col("__neg")).cast("double")
             return out.select(*kept, (F.col("__pos") / self.trees).alias("score"), said.alias("prediction"))
-        out = found.agg(F.sum("value").alias("score"))
+        out = found.select(*kept, total("value").alias("score"))
         return out.withColumn("prediction", (F.col("score") > (0.0 if self.kind == MARGIN else 0.5)).cast("double"))
 
     def staged(self, rows: DataFrame, stages: list[int]) -> DataFrame:
