@@ -134,3 +134,34 @@ def test_a_vocabulary_of_many_parts_gives_the_same_fit(spark, train):
     few, one = ({r.feature: r.w for r in m.weights.collect()} for m in fits)
     assert few.keys() == one.keys() and all(abs(few[v] - one[v]) < 1e-9 for v in one)
     assert fits[0].bias == pytest.approx(fits[1].bias) and fits[0].report["iterations"] == fits[1].report["iterations"]
+
+
+def test_twelve_passes_reach_the_minimum_of_a_skewed_corpus(spark):
+    """The minimum over the last steps and the gradient together: quasi-Newton steps needed 19 here."""
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        label = "pos" if rng.random() < 0.8 else "neg"
+        many, words = rng.choice([5, 20, 80, 300]), []
+        for _ in range(many):
+            shift = 3 if label == "pos" and rng.random() < 0.3 else 0
+            rng.random()
+            words.append(f"w{int(rng.paretovariate(0.35)) + shift}"[:9])
+        rows.append((i, label, words))
+    docs = spark.createDataFrame(rows, "doc_id long, label string, tokens array<string>").repartition(2).persist()
+    model = linear.fit_linear(docs, tolerance=1e-3, gain=0.0, most=12)
+    assert model.report["gradient"] <= 1e-3 * model.report["first"]
+    assert linear.gradient_length(model, docs, 1 / len(rows)) <= 1.001e-3 * model.report["first"]
+
+
+def test_words_of_one_block_do_not_travel(spark, train):
+    """A block sends and receives only words that other blocks have; the rest follow in its list of ids."""
+    store = linear.Store(spark)
+    blocks, index = linear.blocks_of(train, None, store, 60, 500)
+    found = [(np.frombuffer(r.ids, np.int64).tolist(), r.shared) for r in blocks.collect()]
+    n = index.count()
+    store.close()
+    times = np.bincount([i for ids, _ in found for i in ids], minlength=n)
+    assert len(found) > 4 and (times > 0).all()
+    for ids, shared in found:
+        assert ids[:shared] == sorted(ids[:shared]) and all(times[i] > 1 for i in ids[:shared])
+        assert all(times[i] == 1 for i in ids[shared:])

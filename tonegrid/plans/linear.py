@@ -1,10 +1,11 @@
 """Linear models whose vocabulary and coefficients are tables, for corpora with more words than a driver should hold.
 
-Words get ids in word order. Documents lie in blocks: rows of ids into the block's own vocabulary. A fit is a quasi-Newton
-method (L-BFGS in the form that needs inner products only, Chen et al. 2014): a step sends each block the values of its own
-words, adds up margins inside the block, and sends back one gradient value per block and word. The vocabulary lies in parts,
-ranges of ids; values travel as arrays, one per block and part. What reaches the driver does not grow with the vocabulary or
-the corpus.
+Words get ids in word order. Documents lie in blocks: rows of ids into the block's own vocabulary. All weights that a fit can
+reach are sums over documents, so a direction is one number per document, and what it does to the margins another. A pass adds
+up, by parts of the vocabulary (ranges of ids), what the gradient's numbers give the words, and answers each block with the
+sums of its own words; words of a single block stay there. The loss is then minimised by Newton steps over the gradient and the
+last steps together (Narkiss and Zibulevsky 2005), which reads one row per block and needs no pass. What reaches the driver are
+sums; it does not grow with the vocabulary or the corpus.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.presence import weight_sums
-from ..session import POS, bounded_batches, delete, scratch_path
+from ..session import POS, bounded_batches, delete, materialize, scratch_path
 
 #: Documents of a block, and presences.
 BLOCK_ROWS, BLOCK_CELLS = 20_000, 1 << 20
+#: Partitions of the blocks at most.
+DEALT = 2048
 #: Words of a part of the vocabulary.
 PART = 1 << 16
-#: Pairs of steps and gradient changes that shape the next direction.
-MEMORY = 6
+#: Last steps that are taken into the next one.
+MEMORY = 20
+#: Newton steps between two passes.
+INNER = {"logistic": 2, "hinge": 4}
 #: Step lengths that are tried at once.
 STEPS = np.array([2.0**-k for k in range(-3, 13)])
 
@@ -90,11 +96,12 @@ def _blocks(batches: Iterator[pd.DataFrame], rows: int, cells: int) -> Iterator[
         yield flush()
 
 
-INDEXED = "block long, y binary, starts binary, cells binary, ids binary"
+INDEXED = "block long, y binary, starts binary, cells binary, ids binary, shared long"
 
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks over the ids of their words in ascending order; words without an id are left out."""
+    """Blocks over the ids of their words: those that other blocks have too in ascending order, then the rest; words without
+    an id are left out."""
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
@@ -103,8 +110,8 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at[np.array([] if r.places is None else r.places, np.int64)] = np.arange(len(ids))
             cells, starts = at[_numbers(r.cells, np.int64)], _numbers(r.starts, np.int64)
             kept = np.concatenate([[0], np.cumsum(cells >= 0)])[starts]
-            out.append((r.block, r.y, kept.tobytes(), cells[cells >= 0].astype(np.int32).tobytes(), ids.tobytes()))
-        yield pd.DataFrame(out, columns=["block", "y", "starts", "cells", "ids"])
+            out.append((r.block, r.y, kept.tobytes(), cells[cells >= 0].astype(np.int32).tobytes(), ids.tobytes(), 0 if np.isnan(r.shared) else int(r.shared)))
+        yield pd.DataFrame(out, columns=["block", "y", "starts", "cells", "ids", "shared"])
 
 
 def blocks_of(docs: DataFrame, index: DataFrame | None, store: Store, rows: int = BLOCK_ROWS, cells: int = BLOCK_CELLS):
@@ -113,8 +120,10 @@ def blocks_of(docs: DataFrame, index: DataFrame | None, store: Store, rows: int
     bodies = store(sets.mapInPandas(lambda batches: _blocks(batches, rows, cells), BODY))
     listed = bodies.select("block", F.posexplode("words").alias("place", "word"))
     index = store(word_index(listed if index is None else index, store))
-    known = listed.join(index.hint("merge"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "place"))).alias("k"))
-    known = known.select("block", F.col("k.id").alias("known"), F.col("k.place").alias("places"))
+    alone = F.count("*").over(W.partitionBy("word")) == 1  # a word has one row per block
+    named = listed.join(index.hint("merge"), "word").select("block", alone.alias("alone"), "id", "place")
+    known = named.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("alone", "id", "place"))).alias("k"), F.count_if(~F.col("alone")).alias("shared"))
+    known = known.select("block", F.col("k.id").alias("known"), F.col("k.place").alias("places"), "shared")
     bodies = bodies.withColumn("many", F.size("words")).drop("words").join(known.hint("merge"), "block", "left")
     return store(bodies.mapInPandas(_indexed, INDEXED)), index
 
@@ -135,29 +144,44 @@ def losses(margin: np.ndarray, y: np.ndarray, loss: str) -> float:
     return float(np.where(short < ROUNDED, short**2 / (2 * ROUNDED), short - ROUNDED / 2).sum())
 
 
+def bend(margin: np.ndarray, y: np.ndarray, loss: str) -> np.ndarray:
+    """Second derivative of a document's loss by its margin; for the hinge, that of a parabola which follows it further."""
+    signed = margin * y
+    if loss == "logistic":
+        p = 1 / (1 + np.exp(np.clip(signed, -700, 700)))
+        return p * (1 - p)
+    return 1 / (8 * np.maximum(np.abs(1 - signed - ROUNDED / 2), 2 * ROUNDED))
+
+
 def _numbers(data, dtype=np.float64) -> np.ndarray:
-    return np.frombuffer(data, dtype)
+    return np.frombuffer(b"" if data is None else data, dtype)
+
 
+@dataclass
+class Step:
+    """Shares of the directions kept so far, of the constant, and how many of the oldest directions go afterwards."""
 
-def _change(r) -> np.ndarray:
-    """Sums over the documents of a block of what its words have."""
-    starts, cells = _numbers(r.starts, np.int64), _numbers(r.cells, np.int32)
-    own = np.concatenate([_numbers(b""), *[_numbers(p["values"]) for p in ([] if r.pulled is None else r.pulled)]])
-    return np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), own[cells], len(starts) - 1)
+    shares: np.ndarray
+    constant: float
+    drop: int
 
 
-def _margins(batches: Iterator[pd.DataFrame], loss: str, bias: float, step: float) -> Iterator[pd.DataFrame]:
-    """The margins of a block after the last step, how they change along a direction, and for each step length (and for
-    none) the loss and the slopes' sum."""
-    for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            change = _change(r) + bias
-            y, margin = _numbers(r.y), _numbers(r.margin) + step * _numbers(r.change)
-            reached = [margin + t * change for t in (0.0, *STEPS)]
-            tried, slopes = [losses(m, y, loss) for m in reached], [float(slope(m, y, loss).sum()) for m in reached]
-            out.append((r.block, r.y, margin.tobytes(), change.tobytes(), tried, slopes))
-        yield pd.DataFrame(out, columns=["block", "y", "margin", "change", "tried", "slopes"])
+def _moved(r, step: Step | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """After the step: a document's share in the weights, its margin, and for each direction that is kept, the shares and what
+    it does to the margins."""
+    n = len(r.y) // 8
+    if step is None:
+        return np.zeros(n), np.zeros(n), np.zeros((0, n)), np.zeros((0, n))
+    along, changes = (_numbers(v).reshape(-1, n) for v in (r.along, r.changes))
+    move, change = step.shares @ along, step.shares @ changes
+    kept = slice(step.drop, len(along) - 1)  # the last one was the gradient
+    margin = _numbers(r.margin) + change + step.constant
+    return _numbers(r.coef) + move, margin, np.vstack([along[kept], move]), np.vstack([changes[kept], change])
+
+
+def _summed(r, values: np.ndarray, words: int) -> np.ndarray:
+    """Sums of the documents' values for each word of a block."""
+    return np.bincount(_numbers(r.cells, np.int32), np.repeat(values, np.diff(_numbers(r.starts, np.int64))), words)
 
 
 def _by_part(ids: np.ndarray, part: int) -> Iterator[tuple[int, int, int]]:
@@ -166,68 +190,113 @@ def _by_part(ids: np.ndarray, part: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(ids)])
 
 
-def _asked(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
-    """The words of a block by parts, as places in the part."""
-    for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            ids = _numbers(r.ids, np.int64)
-            out += [(p, r.block, (ids[a:b] - p * part).astype(np.int32).tobytes()) for p, a, b in _by_part(ids, part)]
-        yield pd.DataFrame(out, columns=["part", "block", "ids"])
+SENT = "part long, block long, ids binary, values binary"
 
 
-def _slopes(batches: Iterator[pd.DataFrame], loss: str, step: float, part: int) -> Iterator[pd.DataFrame]:
-    """What a block adds to the gradient after the step, by parts."""
+def _pushed(batches: Iterator[pd.DataFrame], loss: str, step: Step | None, penalty: float, n: int, part: int) -> Iterator[pd.DataFrame]:
+    """What the gradient after the step gives those words of a block that other blocks have too, by parts."""
     for batch in batches:
         for r in batch.itertuples(index=False):
-            starts, cells, ids = _numbers(r.starts, np.int64), _numbers(r.cells, np.int32), _numbers(r.ids, np.int64)
-            push = slope(_numbers(r.margin) + step * _numbers(r.change), _numbers(r.y), loss)
-            values = np.bincount(cells, np.repeat(push, np.diff(starts)), len(ids))
+            coef, margin, _, _ = _moved(r, step)
+            ids = _numbers(r.ids, np.int64)
+            values = _summed(r, slope(margin, _numbers(r.y), loss) / n + penalty * coef, len(ids))
+            ids = ids[: r.shared]
             out = [(p, r.block, (ids[a:b] - p * part).astype(np.int32).tobytes(), values[a:b].tobytes()) for p, a, b in _by_part(ids, part)]
             yield pd.DataFrame(out, columns=["part", "block", "ids", "values"])
 
 
-def _vectors(r) -> np.ndarray:
-    """The rows s1 ..., y1 ..., g, w of a part."""
-    return _numbers(r.vectors).reshape(-1, r.size)
-
-
-def _pulled(batches: Iterator[pd.DataFrame], q: np.ndarray) -> Iterator[pd.DataFrame]:
-    """The direction's values for the words that each block asks for."""
+def _answered(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
+    """The sums over all blocks of what a part's words were given, for the words of each block."""
     for batch in batches:
         for r in batch.itertuples(index=False):
-            along = q @ _vectors(r)[:-1]
-            out = [(a["block"], r.part, along[_numbers(a["ids"], np.int32)].tobytes()) for a in r.asked]
+            sums = _total(r.pushed, part)
+            out = [(p["block"], r.part, sums[_numbers(p["ids"], np.int32)].tobytes()) for p in r.pushed]
             yield pd.DataFrame(out, columns=["block", "part", "values"])
 
 
-MODEL = "part long, size long, vectors binary, gram array<double>"
+def _total(pushed, size: int) -> np.ndarray:
+    sums = np.zeros(size)
+    for p in pushed:
+        sums[_numbers(p["ids"], np.int32)] += _numbers(p["values"])
+    return sums
+
+
+STATE = "block long, y binary, coef binary, margin binary, along binary, changes binary, sums array<double>"
 
 
-def _advanced(batches: Iterator[pd.DataFrame], q: np.ndarray, step: float, drop: int, penalty: float, n: int) -> Iterator[pd.DataFrame]:
-    """Parts after the step: steps and turns without the first ``drop`` and with the new one, gradient, weights; inner products."""
+def _met(batches: Iterator[pd.DataFrame], loss: str, step: Step | None, bias: float, penalty: float, n: int) -> Iterator[pd.DataFrame]:
+    """Blocks after the step with the gradient as their last direction; and the loss, its derivatives along the directions and
+    the constant, the product of the weights with themselves and with the directions, and those of the directions."""
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            pushed = np.zeros(r.size)
-            for p in [] if r.pushed is None else r.pushed:
-                pushed[_numbers(p["ids"], np.int32)] += _numbers(p["values"])
-            if r.vectors is None:
-                new = np.stack([pushed / n, np.zeros(r.size)])
-            else:
-                old = _vectors(r)
-                pairs, move = len(old) // 2 - 1, step * (q @ old[:-1])
-                w = old[-1] + move
-                g = pushed / n + penalty * w
-                new = np.vstack([old[drop:pairs], move, old[pairs + drop : 2 * pairs], g - old[-2], g, w])
-            out.append((r.part, r.size, new.tobytes(), (new @ new.T).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["part", "size", "vectors", "gram"])
+            coef, margin, along, changes = _moved(r, step)
+            y = _numbers(r.y)
+            push = slope(margin, y, loss) / n + penalty * coef
+            own = _summed(r, push, r.many)
+            own[: r.shared] = np.concatenate([_numbers(b""), *[_numbers(p["values"]) for p in ([] if r.pulled is None else r.pulled)]])
+            starts = _numbers(r.starts, np.int64)
+            reached = np.bincount(np.repeat(np.arange(len(y)), np.diff(starts)), own[_numbers(r.cells, np.int32)], len(y))
+            along, changes = np.vstack([along, push]), np.vstack([changes, reached])
+            sums = [*_derivatives(margin, y, changes, loss), coef @ (margin - bias), *(changes @ coef), *(along @ changes.T).ravel()]
+            out.append((r.block, r.y, coef.tobytes(), margin.tobytes(), along.tobytes(), changes.tobytes(), sums))
+        yield pd.DataFrame(out, columns=["block", "y", "coef", "margin", "along", "changes", "sums"])
+
+
+def _derivatives(margin: np.ndarray, y: np.ndarray, changes: np.ndarray, loss: str) -> np.ndarray:
+    """The loss, its first and its second derivatives along the directions and the constant."""
+    both = np.vstack([changes, np.ones(len(y))])
+    return np.concatenate([[losses(margin, y, loss)], both @ slope(margin, y, loss), ((both * bend(margin, y, loss)) @ both.T).ravel()])
+
+
+def _probed(batches: Iterator[pd.DataFrame], loss: str, at: np.ndarray, move: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The loss for each step length along ``move`` from ``at``, and the derivatives at its end."""
+    sums = np.zeros(0)
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            y = _numbers(r.y)
+            changes = _numbers(r.changes).reshape(-1, len(y))
+            margin, change = (t[:-1] @ changes + t[-1] for t in (at, move))
+            margin = margin + _numbers(r.margin)
+            tried = [losses(margin + t * change, y, loss) for t in STEPS]
+            found = np.concatenate([tried, _derivatives(margin + change, y, changes, loss)])
+            sums = found if not len(sums) else sums + found
+    if len(sums):
+        yield pd.DataFrame([(sums,)], columns=["sums"])
+
+
+def _totals(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of the arrays in ``sums``, place by place."""
+    out = np.zeros(size)
+    for r in rows.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
+    return out
 
 
 def _weights(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for r in batch.itertuples(index=False):
-            yield pd.DataFrame({"id": r.part * part + np.arange(r.size), "w": _vectors(r)[-1]})
+            yield pd.DataFrame({"id": r.part * part + np.arange(part), "w": _total(r.pushed, part)})
+
+
+def _shares(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
+    """What the documents give the words of a block, by parts."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            ids = _numbers(r.ids, np.int64)
+            values = _summed(r, _numbers(r.coef), len(ids))
+            order = np.argsort(ids)
+            ids, values = ids[order], values[order]
+            out = [(p, r.block, (ids[a:b] - p * part).astype(np.int32).tobytes(), values[a:b].tobytes()) for p, a, b in _by_part(ids, part)]
+            yield pd.DataFrame(out, columns=["part", "block", "ids", "values"])
+
+
+def newton(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The step to the minimum of a parabola; directions that the others nearly give are left alone."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(second), 1e-300))
+    values, vectors = np.linalg.eigh(second * scale * scale[:, None])
+    sound = values > 1e-12 * values.max()
+    return -scale * (vectors[:, sound] @ ((vectors[:, sound].T @ (scale * first)) / values[sound]))
 
 
 def direction(gram: np.ndarray, pairs: int) -> np.ndarray:
@@ -283,102 +352,95 @@ def fit_linear(
     store = Store(spark)
     bounded_batches(spark, mb=8)  # a block or a part is a row of some MB
     blocks, index = blocks_of(docs, words, store, rows, cells)
-    n = (blocks.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
+    labels, many = blocks.agg(F.sum(F.octet_length("y")), F.count("*")).first()
+    n = (labels or 0) // 8
     penalty = 1.0 / max(n, 1) if penalty is None else penalty
-    held = blocks.repartition("block").persist(StorageLevel.DISK_ONLY)
+    # a number of its own, so that what is kept lies as the states are dealt; else every pass would deal the blocks anew
+    deal = lambda df: df.repartition(min(max(many, 1), DEALT), "block")
+    held = deal(blocks).sortWithinPartitions("block").persist(StorageLevel.DISK_ONLY)
     try:
-        return _descend(held, index, store, loss, penalty, tolerance, gain, most, max(n, 1), part)
+        return _descend(held, index, store, loss, penalty, tolerance, gain, most, max(n, 1), part, deal)
     finally:
         held.unpersist()
         store.close()
 
 
-def _descend(blocks, index, store, loss, penalty, tolerance, gain, most, n, part) -> TableLinearModel:
+def _descend(blocks, index, store, loss, penalty, tolerance, gain, most, n, part, deal) -> TableLinearModel:
     spark = index.sparkSession
-    zeros = F.udf(lambda y: bytes(len(y)), "binary")
-    state = store(blocks.select("block", "y", zeros("y").alias("margin"), zeros("y").alias("change")))
-    asked = blocks.select("block", "ids").mapInPandas(lambda batches: _asked(batches, part), "part long, block long, ids binary")
-    asked = store(asked.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("asked")))
-    size = index.count()
-    left = F.least(F.lit(part), F.lit(size) - F.col("id") * part)
-    model = spark.range(-(-size // part)).select(F.col("id").alias("part"), left.cast("long").alias("size"), F.lit(None).cast("binary").alias("vectors"))
-
-    def advanced(model: DataFrame, state: DataFrame, q: np.ndarray, step: float, drop: int) -> DataFrame:
-        """The model after a step, with the gradient there."""
-        joined = blocks.drop("y").join(state.select("block", "y", "margin", "change").hint("merge"), "block")
-        schema = "part long, block long, ids binary, values binary"
-        pushed = joined.mapInPandas(lambda batches: _slopes(batches, loss, step, part), schema).groupBy("part")
-        pushed = pushed.agg(F.sort_array(F.collect_list(F.struct("block", "ids", "values"))).alias("pushed"))
-        both = model.select("part", "size", "vectors").join(pushed.hint("merge"), "part", "left")
-        return store(both.mapInPandas(lambda batches: _advanced(batches, q, step, drop, penalty, n), MODEL))
-
-    slope_b = state.select(F.sum(_flat(loss)("y"))).first()[0] or 0.0
-    model, b, slope_b, step = advanced(model, state, np.zeros(1), 0.0, 0), 0.0, slope_b / n, 0.0
-    steps_b: list[float] = []
-    turns_b: list[float] = []
-    first = None
+
+    def sent(joined: DataFrame, values) -> DataFrame:
+        rows = joined.mapInPandas(values, SENT).groupBy("part")
+        return rows.agg(F.sort_array(F.collect_list(F.struct("block", "ids", "values"))).alias("pushed"))
+
+    def passed(state: DataFrame | None, step: Step | None, bias: float) -> DataFrame:
+        """The blocks after a step, with the gradient there and what it does to the margins."""
+        if state is None:
+            none = F.lit(None).cast("binary")
+            joined = blocks.select("*", *[none.alias(c) for c in ("coef", "margin", "along", "changes")])
+        else:
+            joined = blocks.join(deal(state.select("block", "coef", "margin", "along", "changes")).hint("merge"), "block")
+        pushed = sent(joined, lambda batches: _pushed(batches, loss, step, penalty, n, part))
+        pulled = deal(pushed.mapInPandas(lambda batches: _answered(batches, part), "block long, part long, values binary")).groupBy("block")
+        pulled = pulled.agg(F.sort_array(F.collect_list(F.struct("part", "values"))).alias("pulled"))
+        met = joined.withColumn("many", F.octet_length("ids") / 8).withColumn("many", F.col("many").cast("long")).drop("ids")
+        met = met.join(pulled.hint("merge"), "block", "left")
+        return store(met.mapInPandas(lambda batches: _met(batches, loss, step, bias, penalty, n), STATE))
+
+    state, bias, kept, first = passed(None, None, 0.0), 0.0, 0, None
     report = {"iterations": 0}
     while True:
-        pairs = len(steps_b)
-        gram = np.zeros((2 * pairs + 2) ** 2)
-        for r in model.select(F.posexplode("gram").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
-            gram[r["at"]] = r.v
-        gram = gram.reshape(2 * pairs + 2, -1)
-        squares = gram[-1, -1]
-        constants = np.array([*steps_b, *turns_b, slope_b])
-        full = gram[:-1, :-1] + np.outer(constants, constants)
-        length = float(np.sqrt(full[-1, -1]))
+        size = kept + 2  # the last steps, the gradient and the constant
+        derived = 1 + size + size * size
+        sums = _totals(state, derived + 1 + (size - 1) + (size - 1) ** 2)
+        own, with_weights, products = np.split(sums[derived:], [1, size])
+        with_weights, products = np.append(with_weights, 0.0), np.pad(products.reshape(size - 1, -1), (0, 1))
+
+        def value(tried: float, t: np.ndarray) -> float:
+            return tried / n + penalty / 2 * (own[0] + 2 * with_weights @ t + t @ products @ t)  # noqa: B023
+
+        at, slopes, bends = np.zeros(size), *np.split(sums[1:derived], [size])
+        before = now = value(sums[0], at)
+        length = float(np.sqrt(max(products[-2, -2], 0.0) + (slopes[-1] / n) ** 2))
         first = length if first is None else first
-        report |= {"gradient": length, "first": first}
+        report |= {"gradient": length, "first": first, "loss": float(before)}
         if length <= tolerance * first or report["iterations"] >= most:
             break
-        sound = [i for i in range(pairs) if full[i, pairs + i] > 1e-12 * full[pairs + i, pairs + i]]
-        chosen = [*sound, *[pairs + i for i in sound], 2 * pairs]
-        q = np.zeros(2 * pairs + 1)
-        q[chosen] = direction(full[np.ix_(chosen, chosen)], len(sound))
-        change_b = float(q @ constants)
-        pulled = asked.join(model.select("part", "size", "vectors").hint("merge"), "part")
-        pulled = pulled.mapInPandas(lambda batches: _pulled(batches, q), "block long, part long, values binary").groupBy("block")  # noqa: B023
-        pulled = pulled.agg(F.sort_array(F.collect_list(F.struct("part", "values"))).alias("pulled"))
-        before = state.select("block", "y", "margin", "change")
-        joined = blocks.drop("y", "ids").join(before.hint("merge"), "block").join(pulled.hint("merge"), "block", "left")
-        schema = "block long, y binary, margin binary, change binary, tried array<double>, slopes array<double>"
-        state = store(joined.mapInPandas(lambda batches: _margins(batches, loss, change_b, step), schema))  # noqa: B023
-        sums = state.agg(*[F.sum(F.get(c, F.lit(i))) for c in ("tried", "slopes") for i in range(len(STEPS) + 1)]).first()
-        tried, slopes = np.array([v or 0.0 for v in sums]).reshape(2, -1) / n
-        w_d, d_d = float(gram[-1, :-1] @ q), float(q @ gram[:-1, :-1] @ q)
-        at = np.concatenate([[0.0], STEPS])
-        value = tried + penalty / 2 * (squares + 2 * at * w_d + at**2 * d_d)
-        best = int(value.argmin())
-        report["loss"] = float(value[best])
-        if best == 0 or value[0] - value[best] < gain * abs(value[0]):
+        for _ in range(INNER[loss]):
+            move = newton(slopes / n + penalty * (with_weights + products @ at), bends.reshape(size, size) / n + penalty * products)
+            probed = state.select("y", "margin", "changes").mapInPandas(lambda batches: _probed(batches, loss, at, move), "sums array<double>")  # noqa: B023
+            found = _totals(probed, len(STEPS) + derived)
+            reached = [value(v, at + t * move) for v, t in zip(found, STEPS)]
+            best = int(np.argmin(reached))
+            if reached[best] >= now:
+                break
+            at, now = at + STEPS[best] * move, reached[best]
+            if STEPS[best] != 1.0:
+                break  # the derivatives are known for a step of length 1
+            slopes, bends = np.split(found[len(STEPS) + 1 :], [size])
+        if before - now < gain * abs(before) or now >= before:
             break
-        step, drop = float(at[best]), 1 if pairs == MEMORY else 0
-        model = advanced(model, state, q, step, drop)
-        steps_b, turns_b = [*steps_b[drop:], step * change_b], [*turns_b[drop:], float(slopes[best]) - slope_b]
-        b, slope_b = b + step * change_b, float(slopes[best])
+        drop = 1 if kept == MEMORY else 0
+        kept, bias = kept + 1 - drop, bias + float(at[-1])
+        state = passed(state, Step(at[:-1], float(at[-1]), drop), bias)
         report["iterations"] += 1
     path = scratch_path(spark, "weights")
-    values = model.select("part", "size", "vectors").mapInPandas(lambda batches: _weights(batches, part), "id long, w double")
-    index.join(values.hint("merge"), "id").select(F.col("word").alias("feature"), "w").write.parquet(path)
+    values = sent(blocks.join(deal(state.select("block", "coef")).hint("merge"), "block"), lambda batches: _shares(batches, part))
+    values = values.mapInPandas(lambda batches: _weights(batches, part), "id long, w double")
+    index.join(values.hint("merge"), "id", "left").select(F.col("word").alias("feature"), F.coalesce("w", F.lit(0.0)).alias("w")).write.parquet(path)
     weights = spark.read.parquet(path)
-    return TableLinearModel(weights, b, weights.count(), report)
-
-
-def _flat(loss: str):
-    """Sum of a block's slopes where all margins are 0."""
-    return F.udf(lambda y: float(slope(np.zeros(len(y) // 8), _numbers(y), loss).sum()), "double")
+    return TableLinearModel(weights, bias, weights.count(), report)
 
 
 def gradient_length(model: TableLinearModel, docs: DataFrame, penalty: float, loss: str = "logistic") -> float:
     """Length of the objective's gradient at ``model``, from its word table by joins; independent of the fit."""
-    scored = model.transform(docs.select("doc_id", "label", "tokens")).select("doc_id", "label", "margin")
+    scored = materialize(model.transform(docs.select("doc_id", "label", "tokens")).select("doc_id", "label", "margin"))
     y = F.when(F.col("label") == POS, 1.0).otherwise(-1.0)
     signed = y * F.col("margin")
     push = -y / (1.0 + F.exp(signed)) if loss == "logistic" else -y * F.least(F.greatest((1.0 - signed) / ROUNDED, F.lit(0.0)), F.lit(1.0))
-    rows = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("feature")).join(scored.withColumn("push", push).hint("merge"), "doc_id")
     n = scored.count()
-    sums = rows.groupBy("feature").agg(F.sum("push").alias("p")).join(model.weights.hint("merge"), "feature")
+    # joined before the words are listed, so that a document travels once and its words are added up where it lies
+    rows = docs.select("doc_id", "tokens").join(scored.select("doc_id", push.alias("push")).hint("merge"), "doc_id")
+    sums = rows.select("push", F.explode(F.array_distinct("tokens")).alias("feature")).groupBy("feature").agg(F.sum("push").alias("p")).join(model.weights.hint("merge"), "feature")
     part = F.col("p") / n + penalty * F.col("w")
     squares = sums.agg(F.sum(part * part)).first()[0] or 0.0
     constant = (scored.agg(F.sum(push)).first()[0] or 0.0) / n
