@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
@@ -225,3 +226,24 @@ def test_documents_partitioned_by_id_stay_whole(spark, train, monkeypatch, limit
     assert pick(model.transform(by_id)) == pick(model.transform(train)) and len(pick(model.transform(by_id))) == 160
     both = corpus.stack(by_id.select("doc_id", "label"), corpus.bag_of_words(by_id).select("doc_id", "label"))
     assert both.groupBy("doc_id").count().count() == 160
+
+
+def test_drawn_vectors_are_those_of_the_word_table(spark, monkeypatch):
+    """Beyond the broadcast bound vectors are drawn where they are added up: the same features, and no vector travels per word."""
+    rng = random.Random(4)
+    docs = [(i, "pos", [rng.choice(["é", "w", "long word"]) + str(int(rng.paretovariate(0.5)))[:6] for _ in range(rng.randint(0, 60))]) for i in range(80)]
+    docs += [(3, "pos", docs[3][2]), (90, None, None), (91, "neg", ["never", None]), (None, "neg", docs[5][2])]
+    df = spark.createDataFrame(docs, "doc_id long, label string, tokens array<string>").repartition(5)
+    words = spark.createDataFrame([(w,) for w in sorted({w for d in docs[:80] for w in d[2]})] + [("w1",)], "word string")
+    model = classifiers.FourierModel(words, words.count(), 50, 0.01, 7)
+    table = {r.word: r.vec for r in model.gaussians().collect()}
+    codes = words.select("word", F.xxhash64("word").alias("code")).distinct().collect()
+    drawn = classifiers.gaussian_columns(np.array([r.code for r in codes]), 3, 50, 7) * (2 * 0.01) ** 0.5
+    assert np.allclose(drawn, [table[r.word][3:] for r in codes], atol=1e-12)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, str(r.label))
+    joined = sorted(model.features(df).collect(), key=key)
+    monkeypatch.setattr(classifiers, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(classifiers, "sentence_vectors", None)
+    mine = sorted(model.features(df).collect(), key=key)
+    assert [key(r) for r in mine] == [key(r) for r in joined] and len(mine) == 83
+    assert np.allclose([r.features.toArray() for r in mine], [r.features.toArray() for r in joined], atol=1e-9)
